@@ -171,9 +171,12 @@ def mark_ahead(jumps: list[DataFrame], starts: DataFrame, keys: Sequence[str], n
 
     Going from the longest jump to the shortest reaches every distance once.
     """
-    cols = [*keys, node]
-    marked = cut(starts.select(*cols).distinct())
-    for level in reversed(jumps):
-        ahead = marked.join(level, cols).select(*keys, F.col(nxt).alias(node))
-        marked = cut(marked.union(ahead).distinct())
-    return marked
+    rest = starts.columns
+    marked = starts.distinct()
+    for i, level in enumerate(reversed(jumps)):
+        there = level.withColumnRenamed(nxt, "_ahead")
+        ahead = marked.join(there, [*keys, node]).withColumn(node, F.col("_ahead")).select(*rest)
+        marked = marked.union(ahead).distinct()
+        if i % 2 == 1:
+            marked = cut(marked)
+    return cut(marked)

@@ -109,7 +109,7 @@ SELECT l.rid AS ord, f.repo_id, f.path AS file, f.module AS module_name,
   5e-1 + ROUND(l_discount * 100) / 2e1 AS confidence,
   CASE WHEN l_linestatus = 'F' THEN 'UNREVIEWED' WHEN l_discount < 0.045 THEN 'FALSE_POSITIVE' ELSE 'CONFIRMED' END AS status,
   CASE WHEN l_suppkey % 7 = 0 THEN 'try { run(); }' WHEN l_suppkey % 11 = 0 THEN NULL
-       WHEN l_suppkey % 13 = 0 THEN CONCAT('pass', 'word=', 'p', CAST(l_partkey AS STRING)) ELSE CONCAT('x.call(', CAST(l_partkey AS STRING), ')') END AS evidence,
+       WHEN l_suppkey % 13 = 3 THEN CONCAT('pass', 'word=', 'p', CAST(l_partkey AS STRING)) ELSE CONCAT('x.call(', CAST(l_partkey AS STRING), ')') END AS evidence,
   CASE WHEN l_suppkey % 5 = 0 THEN NULL WHEN l_suppkey % 5 = 1 THEN ' ' ELSE CONCAT('case ', CAST(l_partkey % 50 AS STRING)) END AS trigger_text,
   CASE WHEN l_suppkey % 6 = 0 THEN 'wrap the call' END AS suggested_fix,
   CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CONCAT('dev', CAST(l_suppkey % 37 AS STRING)) END AS candidate_handler,

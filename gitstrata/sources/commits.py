@@ -33,27 +33,28 @@ def time_window(commits: DataFrame, since=None, until=None) -> DataFrame:
 
 
 def reachable(commits: DataFrame, starts: DataFrame) -> DataFrame:
-    """(repo_id, id) of every commit reachable from ``starts``, starts included.
+    """(repo_id, tag, id) of every commit reachable from ``starts`` (same columns), starts included.
 
     First-parent links form chains, which pointer doubling walks in log2(depth)
     joins.  Second parents then open new chains; the loop ends when none is new,
     so its length is the nesting depth of merges, not the depth of the history.
+    ``tag`` keeps several start sets apart in one pass.
     """
-    keys = ["repo_id", "id"]
-    links = commits.select(*keys, "parent_ids")
-    first = links.select(*keys, F.try_element_at("parent_ids", F.lit(1)).alias("nxt"))
+    links = commits.select("repo_id", "id", "parent_ids")
+    first = links.select("repo_id", "id", F.try_element_at("parent_ids", F.lit(1)).alias("nxt"))
     side = cut(
-        links.where(F.size("parent_ids") > 1).select(*keys, F.explode(F.slice("parent_ids", 2, 1 << 30)).alias("side"))
+        links.where(F.size("parent_ids") > 1)
+        .select("repo_id", "id", F.explode(F.slice("parent_ids", 2, 1 << 30)).alias("side"))
     )
     jumps = jump_tables(first, ["repo_id"], "id", "nxt")
-    seen = cut(mark_ahead(jumps, starts, ["repo_id"], "id", "nxt"))
+    cols = ["repo_id", "tag", "id"]
+    seen = mark_ahead(jumps, starts.select(*cols), ["repo_id"], "id", "nxt")
     while True:
-        entry = side.join(seen, keys, "left_semi").select("repo_id", F.col("side").alias("id")).distinct()
-        entry = cut(entry.join(seen, keys, "left_anti"))
+        entry = seen.join(side, ["repo_id", "id"]).select("repo_id", "tag", F.col("side").alias("id")).distinct()
+        entry = cut(entry.join(seen, cols, "left_anti"))
         if entry.isEmpty():
-            break
+            return seen
         seen = cut(seen.union(mark_ahead(jumps, entry, ["repo_id"], "id", "nxt")).distinct())
-    return seen
 
 
 def hash_range(commits: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -77,9 +78,12 @@ def hash_range(commits: DataFrame, ranges: DataFrame) -> DataFrame:
             .otherwise(F.col("tip")).alias("until"),
         )
     )
-    inside = reachable(commits, ends.select("repo_id", F.col("until").alias("id")))
-    outside = reachable(commits, ends.where("since IS NOT NULL").select("repo_id", F.col("since").alias("id")))
-    return commits.join(inside, ["repo_id", "id"], "left_semi").join(outside, ["repo_id", "id"], "left_anti")
+    starts = ends.select("repo_id", F.lit("in").alias("tag"), F.col("until").alias("id")).union(
+        ends.where("since IS NOT NULL").select("repo_id", F.lit("out"), "since")
+    )
+    seen = reachable(commits, starts)
+    marks = seen.groupBy("repo_id", "id").agg(F.max(F.col("tag") == "out").alias("_out"))
+    return commits.join(marks.where(~F.col("_out")), ["repo_id", "id"], "left_semi")
 
 
 def hash_range_by_position(commits: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def compare(df, con, sql):
         only_got = [r for r in got if r not in want][:3] if len(got) < 3000 else []
         for g, w in zip(got, want):
             if g != w:
-                return f"rows {len(got)} vs {len(want)}; first diff\n  got  {g}\n  want {w}\n  extra {only_got}"
-        return f"rows {len(got)} vs {len(want)}; extra {only_got or got[len(want):len(want)+2] or want[len(got):len(got)+2]}"
+                return f"rows {len(got)} vs {len(want)}; first diff\n  got  {str(g)[:600]}\n  want {str(w)[:600]}\n  extra {str(only_got)[:600]}"
+        return f"rows {len(got)} vs {len(want)}; extra {only_got or got[len(want):len(want)+2] or want[len(got):len(got)+2]}"[:900]
     if not got:
         return "EMPTY"
     return None
