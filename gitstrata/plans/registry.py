@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gitstrata.functions import dims
-from gitstrata.plans.fixtures import view, with_views
+from gitstrata.plans.fixtures import BASE_TABLES, table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,8 +24,8 @@ class Source:
         return view(self.spark, self.sf_dir, name)
 
     def sql(self, text: str) -> DataFrame:
-        for name in ("commits",):
-            view(self.spark, self.sf_dir, name)
+        for base in BASE_TABLES:
+            table(self.spark, self.sf_dir, base).createOrReplaceTempView(base)
         return self.spark.sql(with_views(text, engine="spark"))
 
 
