@@ -47,31 +47,26 @@ def _chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return cut(placed)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[f"_r_{k}"])
-    return cond
-
-
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Exact ``row_number`` per key without gathering a key in one task.
 
     ``order`` must be total inside a key (end it with a unique column).
     """
-    rows = _chunks(df, keys, order)
-    per = rows.groupBy(*keys, "_chunk").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        F.col("_chunk").alias("_r__chunk"),
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-    )
-    return (
-        rows.join(per, _same(rows, per, [*keys, "_chunk"]))
-        .withColumn(name, (F.col("_pos") + F.col("_shift") + 1).cast("long"))
-        .select(*df.columns, name)
-    )
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))})
+
+
+FOLD = {
+    "sum": F.sum,
+    "max": F.max,
+    "min": F.min,
+    "last": lambda c: F.last(c, ignorenulls=True),
+}
+JOIN = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "max": lambda a, b: F.greatest(a, b),
+    "min": lambda a, b: F.least(a, b),
+    "last": lambda a, b: F.coalesce(b, a),
+}
 
 
 def running(
@@ -87,47 +82,42 @@ def running(
     ``outs`` maps an output column to (``sum`` | ``max`` | ``min`` | ``last``, input).
     ``last`` keeps the latest non-null input.  With ``inclusive=False`` the current
     row is left out.
+
+    Rows are sorted across chunks, so only the first key of a chunk can have rows in
+    earlier chunks: the carried values are at most one row per chunk, which is the
+    size bound behind the broadcast.
     """
-    fold = {
-        "sum": F.sum,
-        "max": F.max,
-        "min": F.min,
-        "last": lambda c: F.last(c, ignorenulls=True),
-    }
-    join2 = {
-        "sum": lambda a, b: F.coalesce(a + b, a, b),
-        "max": lambda a, b: F.greatest(a, b),
-        "min": lambda a, b: F.least(a, b),
-        "last": lambda a, b: F.coalesce(b, a),
-    }
     rows = df
     for out, (_, expr) in outs.items():
         rows = rows.withColumn(f"_in_{out}", expr)
     rows = _chunks(rows, keys, order)
 
-    inner = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
-    local = rows
-    for out, (kind, _) in outs.items():
-        local = local.withColumn(f"_loc_{out}", fold[kind](F.col(f"_in_{out}")).over(inner))
-
     aggs = []
     for out, (kind, _) in outs.items():
         src = F.col(f"_in_{out}")
-        agg = F.max_by(src, F.when(src.isNotNull(), F.col("_pos"))) if kind == "last" else fold[kind](src)
+        agg = F.max_by(src, F.when(src.isNotNull(), F.col("_pos"))) if kind == "last" else FOLD[kind](src)
         aggs.append(agg.alias(f"_sum_{out}"))
     per = rows.groupBy(*keys, "_chunk").agg(*aggs)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
         F.col("_chunk").alias("_r__chunk"),
-        *[fold[kind](F.col(f"_sum_{out}")).over(before).alias(f"_car_{out}") for out, (kind, _) in outs.items()],
+        F.row_number().over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_nth"),
+        *[FOLD[kind](F.col(f"_sum_{out}")).over(earlier).alias(f"_car_{out}") for out, (kind, _) in outs.items()],
+    ).where("_nth > 1")
+
+    inner = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1
     )
-    joined = local.join(per, _same(local, per, [*keys, "_chunk"]))
-    return joined.select(
+    local = rows
+    for out, (kind, _) in outs.items():
+        local = local.withColumn(f"_loc_{out}", FOLD[kind](F.col(f"_in_{out}")).over(inner))
+    same = local["_chunk"] == carried["_r__chunk"]
+    for k in keys:
+        same = same & local[k].eqNullSafe(carried[f"_r_{k}"])
+    return local.join(F.broadcast(carried), same, "left").select(
         *df.columns,
-        *[join2[kind](F.col(f"_car_{out}"), F.col(f"_loc_{out}")).alias(out) for out, (kind, _) in outs.items()],
+        *[JOIN[kind](F.col(f"_car_{out}"), F.col(f"_loc_{out}")).alias(out) for out, (kind, _) in outs.items()],
     )
 
 

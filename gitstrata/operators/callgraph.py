@@ -107,8 +107,9 @@ def module_flows(flows: DataFrame, flow_files: DataFrame, modules: DataFrame, n:
 def module_community(communities: DataFrame, modules: DataFrame) -> DataFrame:
     """Largest community whose name (lower case, no dashes) occurs in a path of the module."""
     c = communities.select("repo_id", "id", "name", "size", F.replace(F.lower("name"), F.lit("-"), F.lit("")).alias("word"))
-    texts = modules.select("repo_id", "module", F.lower("path").alias("body"))
-    hits = containing(texts, c, ["repo_id"]).select("repo_id", "module", "word").distinct().join(c, ["repo_id", "word"])
+    texts = modules.select("repo_id", "module", "path", F.lower("path").alias("body"))
+    found = containing(texts, c, ["repo_id"], ["module", "path"]).select("repo_id", "module", "word").distinct()
+    hits = found.join(c, ["repo_id", "word"])
     best = F.struct(-F.col("size"), F.col("id"))
     return hits.groupBy("repo_id", "module").agg(F.min_by("name", best).alias("community"), F.max("size").alias("size"))
 

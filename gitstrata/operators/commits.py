@@ -21,7 +21,7 @@ def dedupe_by_message(commits: DataFrame) -> DataFrame:
     The first-row filter is applied before the shuffle as well, so copies of one
     message collapse inside each task.
     """
-    rows = cleaned(commits).where(F.col("cleaned").isNotNull() & (F.col("cleaned") != ""))
+    rows = cleaned(commits).where(F.length("cleaned") > 0)
     w = Window.partitionBy("repo_id", "cleaned").orderBy("ord")
     first = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
     return first.withColumn("raw_message", F.col("message")).withColumn("message", F.col("cleaned")).drop("_rn", "cleaned")

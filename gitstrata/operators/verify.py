@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gitstrata.functions import dims, text
+from gitstrata.functions.scale import cut
 from gitstrata.operators import findings as N
 
 
@@ -126,7 +127,7 @@ def reject_compile_errors(findings: DataFrame) -> DataFrame:
 def review_chain(findings, blame, last_authors, reviews, sources, resolved, callers) -> DataFrame:
     """From raw findings to report input: dedupe, owner, cross review, masking, checks, secrets."""
     first = N.dedupe_exact(findings)
-    reviewed = N.apply_reviews(N.trace_owner(first, blame, last_authors), reviews)
+    reviewed = cut(N.apply_reviews(N.trace_owner(first, blame, last_authors), reviews))
     secrets = N.secret_findings(reviewed)
     masked = N.mask_findings(reviewed)
     merged = N.merge_overlaps(check_lines(masked, sources)).drop("merged_count")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gitstrata.functions.scale import cut
 from gitstrata.operators import churn as X
 from gitstrata.operators import commits as C
 from gitstrata.operators import hunks as H
@@ -99,7 +100,7 @@ def statuses(df):
 
 
 def metrics(src):
-    found = links(src)
+    found = cut(links(src))
     return E.developer_metrics(src.commits, found, statuses(found))
 
 
@@ -242,7 +243,7 @@ UNION ALL SELECT repo_id, 'confirmed', NULL, sum(confirmed) FROM m GROUP BY 1
 UNION ALL SELECT repo_id, 'false_positive', NULL, sum(false_positive) FROM m GROUP BY 1
 UNION ALL SELECT repo_id, 'open_high', NULL, h FROM ({HIGH}) UNION ALL SELECT repo_id, 'open_files', NULL, files FROM ({HIGH})""")
 def _(src):
-    found = links(src)
+    found = cut(links(src))
     n = fixing(src).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     return E.collaboration_signals(E.developer_metrics(src.commits, found, statuses(found)), found, n, src.findings)
 
