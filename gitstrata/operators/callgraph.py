@@ -34,10 +34,18 @@ def symbols_of_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return symbols.join(files.select("repo_id", F.col("path").alias("file")).distinct(), ["repo_id", "file"], "left_semi")
 
 
-def capped(neighbours: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` neighbours by name and how many there are in all."""
-    total = neighbours.groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("total"))
-    return _top(neighbours, ["repo_id", "name"], [F.col("neighbour")], n).join(total, ["repo_id", "name"])
+def capped(edges: DataFrame, names: DataFrame, n: int = 5, *, callers: bool = True) -> DataFrame:
+    """The first ``n`` callers (or callees) of each name and how many there are in all.
+
+    Edges are limited and counted before the names are joined, so the edges of a
+    node with very many callers never meet in one task.
+    """
+    node, other = ("target", "source") if callers else ("source", "target")
+    rows = edges.select("repo_id", F.col(node).alias("name"), F.col(other).alias("neighbour"))
+    total = rows.groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("total"))
+    first = _top(rows, ["repo_id", "name"], [F.col("neighbour")], n)
+    asked = names.select("repo_id", "name").distinct()
+    return first.join(total, ["repo_id", "name"]).join(asked, ["repo_id", "name"], "left_semi")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -190,12 +198,11 @@ def module_summary(edges, symbols, modules, flows, flow_files, communities) -> D
 def symbol_candidates(symbols: DataFrame, requests: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """Functions with the method name of each requested symbol, at most ``n``.
 
-    Candidates are picked once per (repo, method), not per request.
+    Candidates are picked once per (repo, method), not per request, and before the
+    join, so a name shared by very many functions stays small.
     """
     asked = split_symbol(requests)
-    methods = asked.select("repo_id", F.col("method").alias("name")).distinct()
-    functions = symbols.where(F.col("kind") == "Function").join(methods, ["repo_id", "name"], "left_semi")
-    few = _top(functions, ["repo_id", "name"], [F.col("ord")], n, "candidate")
+    few = _top(symbols.where(F.col("kind") == "Function"), ["repo_id", "name"], [F.col("ord")], n, "candidate")
     return asked.join(few.withColumnRenamed("name", "method"), ["repo_id", "method"])
 
 

@@ -99,15 +99,14 @@ def signature_lines(facts: DataFrame) -> DataFrame:
     )
 
 
-def signatures_outside(chunked: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """For every chunk the signatures of its group's files in other chunks.
+def chunk_signatures(chunked: DataFrame, facts: DataFrame) -> DataFrame:
+    """Signature of every file with its chunk; one row per file, whatever the number of chunks."""
+    return chunked.drop("content").join(signature_lines(facts), ["repo_id", "path"])
 
-    The rows are the answer itself, one per (chunk, other file); a text per chunk
-    would be the same data in one cell.
-    """
-    lines = chunked.select(*keys, "path", "chunk").join(signature_lines(facts), ["repo_id", "path"])
-    heads = chunked.select(*keys, "chunk").distinct().withColumnRenamed("chunk", "for_chunk")
-    return lines.join(heads, keys).where(F.col("chunk") != F.col("for_chunk")).select(*keys, "for_chunk", "path", "signature")
+
+def signatures_outside(chunked: DataFrame, facts: DataFrame, chunk: int) -> DataFrame:
+    """Signatures of the files outside one chunk of their group."""
+    return chunk_signatures(chunked, facts).where(F.col("chunk") != chunk)
 
 
 # Modifiers that open a method, and annotations worth keeping.

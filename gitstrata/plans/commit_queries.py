@@ -299,7 +299,7 @@ def _(src):
     return replies(src).select("message", label_in_reply(F.col("reply")).alias("category"))
 
 
-GATED = "SELECT id, branch AS batch, CAST(row_number() OVER (PARTITION BY branch ORDER BY ord) - 1 AS INT) AS position, ord FROM commits"
+GATED = "SELECT rid AS id, l_orderkey AS batch, CAST(rid - l_orderkey * 1000 - 1 AS INT) AS position, l_partkey AS ord FROM li"
 
 
 @query("format_gate", f"SELECT id, batch, position FROM ({GATED}) WHERE NOT (position < 4 AND ord % 5 = 0)")

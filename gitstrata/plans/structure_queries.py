@@ -177,7 +177,7 @@ def _(src):
 SELECT repo_id, target AS name, source AS neighbour, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, target ORDER BY source) AS rank, count(*) OVER (PARTITION BY repo_id, target) AS total FROM call_edges) WHERE rank <= 5""")
 def _(src):
     every = src.symbols.select("repo_id", F.col("qualified_name").alias("name"))
-    return K.capped(K.callers_of(src.call_edges, every))
+    return K.capped(src.call_edges, every)
 
 
 DEGREE = "(SELECT repo_id, q AS qualified_name, count(*) AS degree FROM (SELECT repo_id, source AS q FROM call_edges UNION ALL SELECT repo_id, target FROM call_edges) GROUP BY ALL)"
@@ -385,13 +385,11 @@ SIGNED = f"""(WITH RECURSIVE s AS (SELECT repo_id, module, path, length(content)
 
 
 @query("signatures_outside_chunk", f"""
-WITH c AS (SELECT * FROM {SIGNED}) SELECT a.repo_id, a.module, b.chunk AS for_chunk, a.path, a.path || ': ' || f.cls || ' → run' AS signature FROM c a
-JOIN (SELECT DISTINCT repo_id, module, chunk FROM c) b ON b.repo_id = a.repo_id AND b.module = a.module AND b.chunk <> a.chunk JOIN files f ON f.repo_id = a.repo_id AND f.path = a.path""")
+SELECT a.repo_id, a.module, a.path, a.path || ': ' || f.cls || ' → run' AS signature FROM {SIGNED} a JOIN files f ON f.repo_id = a.repo_id AND f.path = a.path WHERE a.chunk <> 1""")
 def _(src):
     rows = src.sources.select("repo_id", "module", "path", "content", F.col("n").alias("ord"))
     chunked = P.chunks(rows, ["repo_id", "module"], limit=2000, cap=2000)
-    out = P.signatures_outside(chunked, facts(src), ["repo_id", "module"])
-    return out.withColumn("for_chunk", F.col("for_chunk").cast("int"))
+    return P.signatures_outside(chunked, facts(src), 1).select("repo_id", "module", "path", "signature")
 
 
 @query("method_signatures", "SELECT path, 0 AS pos, '@Override public int run(int x)' AS signature FROM sources")
