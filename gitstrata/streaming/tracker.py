@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["repo_id", "branch"]
+SCHEMA = "repo_id string, branch string, last_hash string, updated_at timestamp"
 
 
 def advance(tracker: DataFrame, batch: DataFrame) -> DataFrame:
@@ -44,3 +45,10 @@ def incremental(commits: DataFrame, starts: DataFrame) -> DataFrame:
     at = commits.select(*KEY, F.col("id").alias("since"), place.alias("_low"))
     lows = starts.select(*KEY, "since").join(at, [*KEY, "since"], "left").select(*KEY, "_low")
     return commits.join(lows, KEY).where(F.col("_low").isNull() | (place > F.col("_low"))).drop("_low")
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Newest version of a tracker table kept by a stream."""
+    versions = spark.read.schema(f"{SCHEMA}, version long").parquet(folder)
+    newest = versions.agg(F.max("version").alias("version"))
+    return versions.join(newest, "version").drop("version")
