@@ -17,6 +17,8 @@ class Source:
     """``src.commits`` is the fixture view ``commits`` over one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        # The tables hold times without zone; one fixed zone keeps results equal everywhere.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
 

@@ -23,12 +23,15 @@ def drop_merges(commits: DataFrame, by: str = "parents") -> DataFrame:
 
 
 def time_window(commits: DataFrame, since=None, until=None) -> DataFrame:
-    """Both ends belong to the window; either may be left out."""
-    out = commits
+    """Both ends belong to the window; either may be left out.
+
+    The ends take the column's own type, so the filter reaches the scan.
+    """
+    out, kind = commits, commits.schema["created_at"].dataType
     if since is not None:
-        out = out.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
+        out = out.where(F.col("created_at") >= F.lit(since).cast(kind))
     if until is not None:
-        out = out.where(F.col("created_at") <= F.lit(until).cast("timestamp"))
+        out = out.where(F.col("created_at") <= F.lit(until).cast(kind))
     return out
 
 
