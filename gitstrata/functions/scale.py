@@ -125,9 +125,14 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], *, how: str =
     """Join one-row-per-key facts onto many rows; a hot key is spread over ``salts``.
 
     Below the broadcast threshold the adaptive planner turns this into a broadcast
-    by measured size; above it, no single task receives a whole key.
+    by measured size; above it, no single task receives a whole key.  ``salts``
+    copies every row of ``small``: keep it for keys that are few (repository,
+    severity, module) and pass 1 where they are many (files), which leaves the
+    splitting of hot partitions to the adaptive planner.
     """
     value_cols = [c for c in small.columns if c not in keys]
+    if salts == 1:
+        return big.join(small, list(keys), how).select(*big.columns, *value_cols)
     spread = F.pmod(F.xxhash64(*[c for c in big.columns if c not in keys] or keys), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", spread)
     right = small.select(

@@ -137,7 +137,7 @@ def comments_by_file(comments: DataFrame) -> DataFrame:
     """Comments with their place inside the file and the file's comment count."""
     rows = comments.withColumn("path", F.coalesce("path", F.lit("(unknown)")))
     sizes = rows.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("file_comments"))
-    return attach(rank_within(rows, ["repo_id", "path"], [F.col("ord")], "idx"), sizes, ["repo_id", "path"])
+    return attach(rank_within(rows, ["repo_id", "path"], [F.col("ord")], "idx"), sizes, ["repo_id", "path"], salts=1)
 
 
 def display_cells(findings: DataFrame) -> DataFrame:
