@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,27 +29,52 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, int]:
+    """The visible character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Ids(dict):
     """Word (with the space before it) to its ids as bytes, encoded once.
 
-    A space between two visible characters always starts a new word of the byte-level
+    A space between two visible characters always starts a new part of the byte-level
     pattern, so encoding word by word gives the ids of the whole text.
     """
 
     edge = re.compile(r"(?<=\S) (?=\S)")
     odd = re.compile(r"^ | $| \s|\s ")
+    # Fixed value: the public byte-level pattern.
+    parts = regex.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+        r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+    )
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(vocabulary).model
+        self.letters = byte_letters()
+        self.part_ids: dict[str, bytes] = {}
+
+    def of_part(self, part: str) -> bytes:
+        found = self.part_ids.get(part)
+        if found is None:
+            shown = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(shown)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(part) < 64:
+                if len(self.part_ids) >= REMEMBERED:
+                    self.part_ids.clear()
+                self.part_ids[part] = found
+        return found
 
     def ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.of_part, self.parts.findall(text)))
 
     def __missing__(self, word: str) -> bytes:
-        found = self.ids(f" {word}")
+        found = self.of_part(f" {word}") if word.isalpha() else self.ids(f" {word}")
         if len(word) < 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -58,6 +86,12 @@ class Ids(dict):
         return self.ids(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
 
+@functools.cache
+def known_ids(vocabulary: str) -> Ids:
+    """One memory of words for all tasks of a worker."""
+    return Ids(vocabulary)
+
+
 class Packer:
     """Online best fit over a fixed number of open bins.
 
@@ -108,7 +142,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     end = np.asarray([SEPARATOR], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Ids(path)
+        known = known_ids(path)
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
