@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gitstrata.llm import contamination, langid, lines, packing, pii, secrets, sharding
+from gitstrata.llm import contamination, embeddings, jaccard, langid, lines, packing, passages, pii, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
+
+
+@query
+def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
+
+
+@query
+def op6_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
