@@ -54,6 +54,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return (
         benchmark.select("item_id", words_of("text").alias("words")).where("size(words) > 0")
         .groupBy("words").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+        .withColumn("item", F.xxhash64("words"))
         .withColumn("size", F.size("words"))
         .withColumn("n", F.least(F.lit(WORDS), F.col("size")))
     )
@@ -109,20 +110,20 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     left = seen.select(*DOC, "size", "start", F.col("print").alias("p"), F.explode(blocks("print")).alias("b")).select(
         *DOC, "size", "start", "p", "b.*"
     )
-    right = marked.select("item_id", "size", F.col("print").alias("q"), F.explode(blocks("print")).alias("b")).select(
-        "item_id", "size", "q", "b.*"
+    right = marked.select("item", "size", F.col("print").alias("q"), F.explode(blocks("print")).alias("b")).select(
+        "item", "size", "q", "b.*"
     )
     close = left.join(
         right, (left["size"] == right["size"]) & (left["block"] == right["block"]) & (left["value"] == right["value"])
         & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS),
-    ).select(*DOC, left["size"], "start", "item_id").distinct()
+    ).select(*DOC, left["size"], "start", "item").distinct()
     pairs = cut(close)
     n = F.least(F.lit(WORDS), F.size("words"))
     of_window = pairs.join(
         seen.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("size").alias("s"), F.col("start").alias("f"), "words"),
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("size") == F.col("s")) & (F.col("start") == F.col("f")),
     ).select(*pairs.columns, F.lit(1).alias("mine"), "words")
-    of_item = pairs.join(items.select("item_id", "words"), "item_id").select(*pairs.columns, F.lit(0).alias("mine"), "words")
+    of_item = pairs.join(items.select("item", "words"), "item").select(*pairs.columns, F.lit(0).alias("mine"), "words")
     counted = (
         of_window.union(of_item)
         .withColumn("shingle", F.explode(_shingles_up_to(n)))
@@ -130,10 +131,10 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         .groupBy(*pairs.columns).agg((F.sum(F.least("here", "there")) / F.sum(F.greatest("here", "there"))).alias("similarity"))
         .where(F.col("similarity") >= similarity)
     )
-    best = counted.groupBy(*DOC, "item_id").agg(
+    best = counted.groupBy(*DOC, "item").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("m")
     )
-    return best.join(items.select("item_id", "copies"), "item_id").select(
+    return best.join(items.select("item", "item_id", "copies"), "item").select(
         *DOC, "item_id", "copies", (-F.col("m.back")).alias("start"), F.col("m.size").alias("n_words"), F.col("m.similarity").alias("similarity")
     )
 
@@ -147,9 +148,9 @@ def _shingles_up_to(n: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents in which no benchmark passage was found, all columns unchanged."""
-    hit = sized(find(docs, benchmark, similarity).select(
-        F.col("doc_id").alias("_hit_doc"), F.col("text_hash").alias("_hit_hash")
-    ).distinct())
-    return docs.join(
-        hit, F.col("doc_id").eqNullSafe(F.col("_hit_doc")) & (F.xxhash64("text") == F.col("_hit_hash")), "left_anti"
+    hit = sized(find(docs, benchmark, similarity).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")
     )
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash"))
+    return rows.join(hit, same, "left_anti").select("row.*")
