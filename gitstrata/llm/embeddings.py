@@ -10,7 +10,6 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -20,40 +19,58 @@ from pyspark.sql import functions as F
 from gitstrata.functions.scale import cut
 from gitstrata.llm.graph import components
 from gitstrata.llm.meetings import MEETING, arrange, whole_meetings
+from gitstrata.llm.sized import sized
 
 COSINE = 0.9
-FILTERS = 16  # expected filters of a vector: more find more, and cost more
-BUCKET = 32  # expected vectors of a filter
-CHUNK = 512  # vectors of one filter compared in one piece; larger groups piece by piece
+FILTERS = 24  # expected filters of a vector: more find more, and cost more
+BUCKET = 1024  # expected vectors of a filter
+TURNS = 4  # independent rotations, each with code books of its own, that share out the filters
+CHUNK = 1024  # vectors of one filter compared in one piece; larger groups piece by piece
 SEED = 20
 
 
 @functools.cache
-def codes(size: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def codes(turn: int, size: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation and two code books for vectors of one size, the same in every task."""
-    rng = np.random.default_rng([SEED, size, words])
-    turn = np.linalg.qr(rng.standard_normal((size, size)))[0]
-    half = max(1, size // 2)
+    rng = np.random.default_rng([SEED, turn, size, words])
+    half = (size + 1) // 2
     books = []
     for width in (half, size - half):
-        book = rng.standard_normal((words, max(width, 1)))
-        books.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt(max(width, 1) / size))
-    return turn, books[0], books[1]
-
-
-def decode(unit: np.ndarray, words: int, most: float) -> list[np.ndarray]:
-    """All filter numbers of each unit vector: pairs of code words whose scores sum to ``most``."""
-    turn, first, second = codes(unit.shape[1], words)
-    moved = unit @ turn
-    half = first.shape[1]
-    a = moved[:, :half] @ first.T
-    b = moved[:, half:] @ second.T if unit.shape[1] > half else np.zeros((len(unit), words))
-    out = []
-    for x, y in zip(a, b, strict=True):
-        rows = np.flatnonzero(x >= most - y.max())  # only these can reach it with some second word
-        i, j = np.nonzero(x[rows, None] + y[None, :] >= most)
-        out.append(np.sort(rows[i] * words + j))
-    return out
+        book = rng.standard_normal((words, width))
+        books.append(book / np.maximum(np.linalg.norm(book, axis=1, keepdims=True), 1e-9) * math.sqrt(width / size))
+    return np.linalg.qr(rng.standard_normal((size, size)))[0], books[0], books[1]
+
+
+def scores(unit: np.ndarray, turn: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    rotation, first, second = codes(turn, unit.shape[1], words)
+    moved, half = unit @ rotation, first.shape[1]
+    return moved[:, :half] @ first.T, moved[:, half:] @ second.T
+
+
+@functools.cache
+def level(size: int, words: int, share: float) -> float:
+    """The score that a random unit vector reaches on ``share`` of the filters."""
+    sample = np.random.default_rng([SEED, size]).standard_normal((100, size))
+    a, b = scores(sample / np.linalg.norm(sample, axis=1, keepdims=True), 0, words)
+    return float(np.quantile((a[:, :, None] + b[:, None, :]).ravel(), 1 - share))
+
+
+def decode(unit: np.ndarray, words: int, share: float) -> list[np.ndarray]:
+    """All filter numbers of each unit vector: pairs of code words whose scores reach the level."""
+    most = level(unit.shape[1], words, share)
+    found: list[list[np.ndarray]] = [[] for _ in unit]
+    for turn in range(TURNS):
+        for of, x, y in zip(found, *scores(unit, turn, words), strict=True):
+            rows = np.flatnonzero(x >= most - y.max())  # only these can reach it with some second word
+            i, j = np.nonzero(x[rows, None] + y[None, :] >= most)
+            of.append(np.sort(rows[i] * words + j) + turn * words**2)
+    return [np.concatenate(of) for of in found]
+
+
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.stack([np.frombuffer(r, dtype=kind) for r in raw]).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def usable(vector: str) -> Column:
@@ -71,39 +88,38 @@ def near(vectors: DataFrame, cosine: float = COSINE, filters: int = FILTERS) ->
     different sizes.  A pair counts once, under the first filter its two vectors share.
     A null vec_id takes part and names no component unless nothing else can; it is kept.
     """
-    rows = cut(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("ok", usable("v")))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, wide = ("<f4", "float") if single else ("<f8", "double")
+    rows = cut(vectors.select("vec_id", F.col("embedding").cast(f"array<{wide}>").alias("v")).withColumn("ok", usable("v")))
     rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("v")))
     nodes = cut(rows.where("ok").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("copies")))
     total = max(nodes.count(), 1)
-    words = max(16, math.ceil(math.sqrt(total * filters / BUCKET)))
-    level = NormalDist().inv_cdf(1 - min(0.4, filters / words**2))
+    words = max(6, math.ceil(math.sqrt(total * filters / (TURNS * BUCKET))))
+    share = min(0.5, filters / (TURNS * words**2))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = batch["v"].map(len)
-            for size, part in batch.groupby(sizes):
-                unit = np.stack(part["v"].to_numpy())
-                unit = unit / np.abs(unit).max(axis=1, keepdims=True)
-                unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-                found = decode(unit, words, level / math.sqrt(size))
-                yield part[["node", "copies"]].assign(
-                    unit=[u.tobytes() for u in unit], under=[(int(size) << 40) + f for f in found]
-                )
-
-    listed = cut(nodes.mapInPandas(spread, "node long, copies long, unit binary, under array<long>"))
-    each = listed.select(F.explode("under").alias("key"), "node", "copies", "unit", "under")
-    parts = listed.select(F.explode("under").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(
-        "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")
+            for size, part in batch.groupby(batch["v"].map(len)):
+                raw = [np.asarray(v, dtype=kind).tobytes() for v in part["v"]]
+                found = decode(unit_rows(raw, kind), words, share)
+                yield part[["node", "copies"]].assign(raw=raw, under=[(int(size) << 40) + f for f in found])
+
+    listed = cut(nodes.mapInPandas(spread, "node long, copies long, raw binary, under array<long>"))
+    each = listed.select(F.explode("under").alias("key"), "node", "copies", "raw", "under")
+    # Only filters with more than a chunk of vectors are cut up; these are few, or joined by shuffle.
+    hot = sized(
+        listed.select(F.explode("under").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+        .select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     )
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [_links(group, cosine) for _, group in rows.groupby(MEETING, sort=False) if len(group) > 1]
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "n": []}, dtype=np.int64)
+        out = [_links(group, cosine, kind) for _, group in rows.groupby(MEETING, sort=False) if len(group) > 1]
+        return pd.concat(out, ignore_index=True) if out else NONE
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_meetings(batches, meet)
 
-    found = cut(arrange(each, parts, "node").mapInPandas(scan, "a long, b long, n long"))
+    found = cut(arrange(each, hot, "node", every=True).mapInPandas(scan, "a long, b long, n long"))
     degrees = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     joined = components(found.where("a != b"), "a", "b").select("node", "component")
     facts = nodes.select("node", "copies").join(degrees, "node", "left").join(joined, "node", "left").select(
@@ -116,17 +132,20 @@ def near(vectors: DataFrame, cosine: float = COSINE, filters: int = FILTERS) ->
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
+NONE = pd.DataFrame({"a": [], "b": [], "n": []}, dtype=np.int64)
+
+
+def _links(group: pd.DataFrame, cosine: float, kind: str) -> pd.DataFrame:
     """Per vector of a meeting: (a, a, copies of new links) and (a, b, 0) to its smallest neighbour in reach."""
     node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-    unit = np.stack([np.frombuffer(u) for u in group["unit"]])
+    unit = unit_rows(group["raw"].tolist(), kind)
     link = unit @ unit.T >= cosine
     np.fill_diagonal(link, False)
     if group["i"].iloc[0] != group["j"].iloc[0]:
         part = group["part"].to_numpy()
         link &= part[:, None] != part[None, :]
     if not link.any():
-        return pd.DataFrame({"a": [], "b": [], "n": []}, dtype=np.int64)
+        return NONE
     key = group["key"].iloc[0]
     before = [u[u < key] for u in group["under"]]
     flat = np.concatenate(before)
