@@ -1,0 +1,180 @@
+"""Packing, sharding, personal data and secrets against plain Python versions."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from cases import empty, frame, odd, prose
+
+from gitstrata.llm import packing, pii, secrets, sharding, spans
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    t.encode_special_tokens = True
+    return t
+
+
+def test_ids_of_parts_are_ids_of_texts(tokenizer):
+    known = packing.Ids(packing.default_vocabulary())
+    texts = ["", " ", "a", "don't  stop", "a \n b", "x <|endoftext|> y", "é日本 🙂\x1c\x85 ½", "  lead", "trail  ", "a\tb c"]
+    for text in [*texts, prose(5, 300)]:
+        want = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert known.encode(text) == want
+
+
+@pytest.mark.parametrize("bins", [1, 4, 1000])
+def test_packer_fills_gapless_and_closes_the_fullest(bins):
+    rng = np.random.default_rng(1)
+    packer, used = packing.Packer(64, bins), {}
+    for n in rng.integers(1, 65, 500).tolist():
+        number, offset = packer.place(n)
+        assert used.get(number, 0) == offset and offset + n <= 64
+        used[number] = offset + n
+        assert packer.open <= bins
+    assert packer.made < 500
+
+
+@pytest.mark.parametrize("make", [odd, empty])
+def test_packed_pieces_rebuild_every_document(spark, tokenizer, make):
+    docs = make(spark)
+    got = packing.pack_documents(docs).toPandas()
+    rows = docs.select("doc_id", "text").collect()
+    assert (got.piece == 0).sum() == len(rows)
+    assert not len(got) or (got.groupby("sequence_id").length.sum() <= 2048).all()
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
+    for doc, text in rows:
+        ids = np.asarray([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = got[got.doc_id.isna()] if doc is None else got[got.doc_id == doc]
+        for p in mine.drop_duplicates("piece").itertuples():
+            assert zlib.crc32(ids[p.start:p.start + p.length].tobytes()) == p.ids_crc32
+        assert mine.drop_duplicates("piece").length.sum() == len(ids)
+        assert (mine.length[mine.piece > 0] == 2048).all()
+
+
+def plain_jump(key: int, shards: int) -> int:
+    at, nxt = -1, 0
+    while nxt < shards:
+        at = nxt
+        key = (key * 2862933555777941757 + 1) % 2**64
+        nxt = int((at + 1) * (2**31 / ((key >> 33) + 1)))
+    return at
+
+
+def test_jump_matches_the_plain_loop_and_moves_only_into_the_new_shard():
+    keys = np.random.default_rng(2).integers(0, 2**64, 2000, dtype=np.uint64)
+    for n in (1, 2, 8, 9, 100):
+        assert sharding.jump(keys, n).tolist() == [plain_jump(int(k), n) for k in keys]
+    eight, nine = sharding.jump(keys, 8), sharding.jump(keys, 9)
+    assert set(nine[nine != eight]) == {8}
+
+
+@pytest.mark.parametrize("make", [odd, empty])
+def test_shards_have_gapless_slots_and_measure_texts(spark, make):
+    docs = make(spark)
+    got = sharding.shard_documents(docs).toPandas()
+    assert len(got) == docs.count()
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    want = sorted(((t or "").encode() for (t,) in docs.select("text").collect()), key=len)
+    assert sorted(got["size"]) == [len(t) + 1 for t in want]
+    assert sorted(got.text_crc32) == sorted(zlib.crc32(t) for t in want)
+    assert got.groupby("doc_id").shard.nunique().le(1).all()
+
+
+def passes_luhn(digits: str) -> bool:
+    odd_sum = sum(int(c) for c in digits[-1::-2])
+    return (odd_sum + sum(sum(divmod(2 * int(c), 10)) for c in digits[-2::-2])) % 10 == 0
+
+
+def plain_personal(text: str) -> list:
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ]
+    out = []
+    for rank, (kind, pattern) in enumerate(kinds):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            good = {
+                "email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else True,
+                "card": 14 <= len(digits) <= 19 and passes_luhn(digits), "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), rank, m.end(), kind))
+    return sorted(out)
+
+
+def plain_secrets(text: str) -> list:
+    out = []
+    for m in re.finditer(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m.group(2)) >= 12:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
+    return sorted(out)
+
+
+PERSONAL = [
+    "a@b.c@d.e x@y.z_w@q.r .@-.- a@b", "é1.2.3.4.5.6.7.8 999.1.1.1 1.2.3.0255 1.2.3", "4111 1111-1111 1111, 41111111111111112 4111111111111111",
+    "+1 (663) 555-6869 +12345 +1 663 555 6869 4111111111111111", "a.b@c" + ".d" * 5000, "a" * 20_000, "+" + "1 " * 4000,
+]
+SECRETS = [
+    "token=password:abcdefghijkl", "TOKEN : 'abcdefghijklm' Api_Key==x.y-z/12345678", "AKIAAKIA12345678901 AKIA12345678901234",
+    "0123456789abcdef0 é 0123456789ABCDEF0 deadbeef", "passwd" + " " * 5000 + "=abcdefghijklmnop", "secret=short",
+]
+
+
+@pytest.mark.parametrize(("detect", "plain", "texts"), [(pii.detect, plain_personal, PERSONAL), (secrets.detect, plain_secrets, SECRETS)])
+def test_base_spans_equal_the_given_patterns(spark, detect, plain, texts):
+    docs = frame(spark, [*texts, None, "", prose(9, 50)]).union(
+        spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000", "text", "lang", "source", "n_chars")
+    )
+    text_of = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = detect(docs).collect()
+    assert len(got) == len(text_of)
+    for r in got:
+        want = plain(text_of[r.doc_id])
+        line = ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest(), (r.doc_id, line, r.spans)
+        assert not want or set(line.split(",")) <= set(r.spans.split(","))
+        for kind in {k for *_, k in want}:
+            assert r[f"n_{kind}"] == sum(k == kind for *_, k in want)
+
+
+@pytest.mark.parametrize("detect", [pii.detect, secrets.detect])
+def test_scans_stand_odd_and_empty_tables(spark, detect):
+    assert detect(odd(spark)).count() == 10
+    assert detect(empty(spark)).count() == 0
+
+
+def test_weak_parts_are_reported_only_together(spark):
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+    texts = [
+        f"user=deploy and later {key}", f"{key} alone", "user=deploy alone", f"user=deploy {'x ' * 600} {key}",
+        f"see https://db.example.com/x {key}", f"{'y ' * 500}https://db.example.com {'z ' * 190}{key}",
+    ]
+    got = {r.doc_id: r.spans for r in secrets.detect(frame(spark, texts)).collect()}
+    assert got[0].count(":") == 4 and "id_part" in got[0] and "key_part" in got[0]
+    assert got[1] == got[2] == got[3] == ""
+    assert "endpoint_part" in got[4] and "endpoint_part" in got[5]
+
+
+def test_trees_learn_a_format_and_score_it_apart():
+    rows = [((g, d, 0, l, 0, 1, 1, 0), 40.0 * (l == 1), 40.0) for g in range(3) for d in range(3) for l in (0, 1)]
+    trees = pii.Trees(rows)
+    assert min(trees.score(x) for x, r, _ in rows if r) > max(trees.score(x) for x, r, _ in rows if not r)
+
+
+def test_places_count_code_points(spark):
+    df = frame(spark, ["🙂é ab ab", "ab"])
+    got = spans.find(df, "text", {"m": "ab"}).orderBy("doc_id").collect()
+    assert [(s.start, s.stop) for s in got[0].m] == [(3, 5), (6, 8)] and [(s.start, s.stop) for s in got[1].m] == [(0, 2)]
