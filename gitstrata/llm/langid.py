@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gitstrata.llm.carry import as_text, restored, whole_numbers
+
 ORDERS = (3, 4)  # lengths of the character n-grams; a space stands for every run of non-letters
 SAMPLE_PER_LANGUAGE = 3000  # expected labelled texts a language is learned from: the bound of the fit
 RAREST = 1 / 20_000  # share of a language's n-grams that one must reach; so at most 20,000 per order
@@ -146,6 +148,8 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[Col
     fill = [((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() ** PROBES for i in range(len(names))]
     rows = docs.select(*keep, F.col("text").alias("text_in"))
     kept = rows.columns[:-1]
+    numbers = whole_numbers(rows, kept)
+    rows = as_text(rows, kept)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def decide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +164,8 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[Col
                     share.append(k)
             yield part[kept].assign(lang_pred=picked, score=score, known=share)
 
-    return rows.mapInPandas(decide, f"{types}, lang_pred string, score double, known double")
+    judged = rows.mapInPandas(decide, f"{types}, lang_pred string, score double, known double")
+    return restored(judged, numbers)
 
 
 def _decide(letters: Letters, masks: np.ndarray, fill: list[float], texts: list[str]):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gitstrata.functions.scale import cut
+from gitstrata.llm.carry import as_text, restored, whole_numbers
 
 CAPACITY = 2048
 OPEN_BINS = 16384  # bins a packer keeps open; more memory, not more tasks, when raised
@@ -153,12 +154,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     out.append((doc, k, start, stop - start, zlib.crc32(ids[4 * start:4 * stop])))
                     start, stop, k = stop, stop + capacity, k + 1
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": batch["doc_id"].dtype})
+            yield frame
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    )
+    types = whole_numbers(docs, ["doc_id"])
+    rows = as_text(docs.select("doc_id", "text"), ["doc_id"])
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cut_up = rows.mapInPandas(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return restored(cut_up, types)
 
 
 def pack(cut_pieces: DataFrame, tasks: int, capacity: int = CAPACITY, bins: int = OPEN_BINS) -> DataFrame:
@@ -172,16 +174,15 @@ def pack(cut_pieces: DataFrame, tasks: int, capacity: int = CAPACITY, bins: int
             first = batch["part"].to_numpy(dtype=np.int64) << 40
             yield batch.drop(columns="part").assign(sequence_id=first + number, offset=offset)
 
-    kind = cut_pieces.schema["doc_id"].dataType.simpleString()
-    return (
-        cut_pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32"))
-        .sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-        .withColumn("part", F.spark_partition_id())
-        .mapInPandas(
-            fill,
-            f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
-        )
+    types = whole_numbers(cut_pieces, ["doc_id"])
+    order = [F.desc("length"), "doc_id", "piece", "ids_crc32"]
+    dealt = cut_pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(*order)
+    rows = as_text(dealt, ["doc_id"]).withColumn("part", F.spark_partition_id())
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    filled = rows.mapInPandas(
+        fill, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
+    return restored(filled, types)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gitstrata.functions.scale import cut
+from gitstrata.llm.carry import as_text, restored, whole_numbers
 from gitstrata.llm.graph import components
 from gitstrata.llm.jaccard import known_words, mix
 from gitstrata.llm.meetings import MEETING, arrange, whole_meetings
@@ -100,11 +101,11 @@ def place(docs: DataFrame) -> DataFrame:
                 **{f"k{b}": [k[b] for k in keys] for b in range(BANDS)},
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbers = whole_numbers(docs, ["doc_id"])
+    rows = as_text(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id"])
+    kind = rows.schema["doc_id"].dataType.simpleString()
     keys = ", ".join(f"k{b} array<long>" for b in range(BANDS))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
-        cut_up, f"doc_id {kind}, text_hash long, at array<int>, h array<long>, {keys}"
-    )
+    return restored(rows.mapInPandas(cut_up, f"doc_id {kind}, text_hash long, at array<int>, h array<long>, {keys}"), numbers)
 
 
 def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gitstrata.functions.scale import cut
+from gitstrata.llm.carry import as_text, restored, whole_numbers
 
 MULTIPLIER = np.uint64(2862933555777941757)  # fixed value of the published generator
 
@@ -46,6 +47,8 @@ def assign(df: DataFrame, key: list[str], shards: int, carry: list[str]) -> Data
         F.xxhash64(*key).alias("hashed"),
         F.spark_partition_id().alias("part"),
     )
+    numbers = whole_numbers(rows, names)
+    rows = as_text(rows, names)
     kept = [*names, "part"]
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
 
@@ -58,7 +61,7 @@ def assign(df: DataFrame, key: list[str], shards: int, carry: list[str]) -> Data
             seen += np.bincount(shard, minlength=shards)
             yield batch[kept].assign(shard=shard, grown_shard=jump(keys, shards + 1), local=local)
 
-    placed = cut(rows.mapInPandas(number, f"{types}, shard int, grown_shard int, local long"))
+    placed = cut(restored(rows.mapInPandas(number, f"{types}, shard int, grown_shard int, local long"), numbers))
     ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("part", "shard").agg(F.count("*").alias("n"))
