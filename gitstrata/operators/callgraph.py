@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gitstrata.functions.grams import containing
 from gitstrata.functions.scale import cut
 
-HUBS, FLOWS, CALLERS, CANDIDATES = 10, 5, 5, 15
+HUBS, FLOWS, CALLED_HUBS = 10, 5, 5  # how many a report shows; arguments of the calls below
 
 
 def _top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -74,19 +74,21 @@ def global_summary(edges: DataFrame, flows: DataFrame, communities: DataFrame) -
 
 
 def module_hubs(edges: DataFrame, symbols: DataFrame, modules: DataFrame, n: int = HUBS) -> DataFrame:
-    """Of the 2n largest hubs of a repository, the first n of every module.
+    """The first n hubs of every module, however small beside other modules.
 
     ``modules`` has (repo_id, module, path).
     """
     where = symbols.select("repo_id", "qualified_name", "name", "file")
     of = modules.select("repo_id", F.col("path").alias("file"), "module")
-    located = hubs(edges, 2 * n).withColumnRenamed("rank", "repo_rank").join(where, ["repo_id", "qualified_name"]).join(of, ["repo_id", "file"])
-    return _top(located, ["repo_id", "module"], [F.col("repo_rank")], n)
+    located = degrees(edges).join(where, ["repo_id", "qualified_name"]).join(of, ["repo_id", "file"])
+    return _top(located, ["repo_id", "module"], [F.col("degree").desc(), F.col("qualified_name")], n)
 
 
-def external_callers(edges: DataFrame, symbols: DataFrame, modules: DataFrame, n: int = CALLERS) -> DataFrame:
-    """Callers from outside a module into its first n hubs, at most 2n per module."""
-    top = module_hubs(edges, symbols, modules).where(F.col("rank") <= n)
+def external_callers(
+    edges: DataFrame, symbols: DataFrame, modules: DataFrame, n: int = CALLED_HUBS, limit: int | None = None
+) -> DataFrame:
+    """Callers from outside a module into its first n hubs; all of them, or the first ``limit`` per module."""
+    top = module_hubs(edges, symbols, modules, n)
     functions = symbols.where(F.col("kind") == "Function").select(
         "repo_id", "file", F.col("qualified_name").alias("target"), F.col("ord").alias("_fn")
     )
@@ -98,15 +100,16 @@ def external_callers(edges: DataFrame, symbols: DataFrame, modules: DataFrame, n
     outside = calls.join(homes, ["repo_id", "caller_file"], "left").where(
         F.coalesce(F.col("_home"), F.lit("")) != F.col("module")
     )
-    picked = _top(outside, ["repo_id", "module"], [F.col("rank"), F.col("_fn"), F.col("source")], 2 * n, "_rn")
+    order = [F.col("rank"), F.col("_fn"), F.col("source")]
+    picked = outside if limit is None else _top(outside, ["repo_id", "module"], order, limit, "_rn")
     return picked.select("repo_id", "module", "caller", "caller_file", "callee", F.col("file").alias("callee_file"))
 
 
 def module_flows(flows: DataFrame, flow_files: DataFrame, modules: DataFrame, n: int = FLOWS) -> DataFrame:
-    """Of the 3n most critical flows, the first n that touch a module."""
-    top = top_flows(flows, 3 * n).select("repo_id", "id", "name", "criticality")
+    """The n most critical flows that touch a module, for every module."""
+    facts = flows.select("repo_id", "id", "name", "criticality")
     of = modules.select("repo_id", F.col("path").alias("file"), "module")
-    touched = flow_files.join(top, ["repo_id", "id"]).join(of, ["repo_id", "file"]).select(
+    touched = flow_files.join(facts, ["repo_id", "id"]).join(of, ["repo_id", "file"]).select(
         "repo_id", "module", "id", "name", "criticality"
     ).distinct()
     return _top(touched, ["repo_id", "module"], [F.col("criticality").desc(), F.col("id")], n)
@@ -152,12 +155,12 @@ def impact_radius(links: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFra
 
 
 def core_files(edges, symbols, modules, flows, flow_files) -> DataFrame:
-    """Every module file, marked core or edge.
+    """Every module file, marked core or edge; all are core where a repository has no call graph.
 
     Core: holds a hub, is called from outside, lies on a flow, or is one hop from such a file.
     """
     k = ["repo_id", "module", "file"]
-    seeds = (
+    seeds = cut(
         module_hubs(edges, symbols, modules).select(*k)
         .union(external_callers(edges, symbols, modules).select("repo_id", "module", F.col("callee_file").alias("file")))
         .union(
@@ -167,11 +170,14 @@ def core_files(edges, symbols, modules, flows, flow_files) -> DataFrame:
         )
         .distinct()
     )
+    graphs = edges.select("repo_id").distinct().withColumn("_graph", F.lit(True))
     links = file_edges(edges, symbols)
     near = links.withColumnRenamed("a", "file").join(seeds, ["repo_id", "file"]).select("repo_id", "module", F.col("b").alias("file"))
     core = seeds.union(near).distinct().withColumn("_core", F.lit(True))
-    return modules.select("repo_id", "module", F.col("path").alias("file")).join(core, k, "left").select(
-        *k, F.when(F.col("_core"), "core").otherwise("edge").alias("part")
+    # A repository without a call graph can't be split: all its files are core.
+    files = modules.select("repo_id", "module", F.col("path").alias("file")).join(graphs, "repo_id", "left")
+    return files.join(core, k, "left").select(
+        *k, F.when(F.col("_core") | F.col("_graph").isNull(), "core").otherwise("edge").alias("part")
     )
 
 
@@ -195,15 +201,16 @@ def module_summary(edges, symbols, modules, flows, flow_files, communities) -> D
     )
 
 
-def symbol_candidates(symbols: DataFrame, requests: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """Functions with the method name of each requested symbol, at most ``n``.
+def symbol_candidates(symbols: DataFrame, requests: DataFrame, n: int | None = None) -> DataFrame:
+    """Functions with the method name of each requested symbol, in input order: all, or the first ``n``.
 
-    Candidates are picked once per (repo, method), not per request, and before the
-    join, so a name shared by very many functions stays small.
+    With ``n``, candidates are picked once per (repo, method), not per request, and
+    before the join.  ``candidate`` is then their rank, without it their ``ord``.
     """
     asked = split_symbol(requests)
-    few = _top(symbols.where(F.col("kind") == "Function"), ["repo_id", "name"], [F.col("ord")], n, "candidate")
-    return asked.join(few.withColumnRenamed("name", "method"), ["repo_id", "method"])
+    functions = symbols.where(F.col("kind") == "Function")
+    found = functions.withColumn("candidate", F.col("ord")) if n is None else _top(functions, ["repo_id", "name"], [F.col("ord")], n, "candidate")
+    return asked.join(found.withColumnRenamed("name", "method"), ["repo_id", "method"])
 
 
 def split_symbol(requests: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-MAX_DIFF_CHARS = 100_000
 CONTEXT = 5
 _GAP = r"[^\S\n]+"
 _HEADER = rf"@@{_GAP}-(\d+)(?:,(\d+))?{_GAP}\+(\d+)(?:,(\d+))?{_GAP}@@"
@@ -18,7 +17,8 @@ def path_in_header(diff: Column) -> Column:
     return F.when(found != "", found)
 
 
-def within_size(diffs: DataFrame, limit: int = MAX_DIFF_CHARS) -> DataFrame:
+def within_size(diffs: DataFrame, limit: int) -> DataFrame:
+    """Diffs of at most ``limit`` characters, for readers that can't take more."""
     return diffs.where(F.length("unified_diff") <= limit)
 
 

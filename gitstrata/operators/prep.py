@@ -9,8 +9,7 @@ from gitstrata.functions import paths, text
 from gitstrata.functions.scale import attach, cut, jump_tables, mark_ahead, running
 from gitstrata.operators import structure as G
 
-# Size limits in characters and files.
-DIFF_CHARS, CONTENT_CHARS, SOURCE_CHARS, EDGE_CHARS, CONTEXT_CHARS = 8_000, 4_000, 12_000, 6_000, 2_000
+# Size of a chunk in characters and of a small module in files.
 CHUNK_CHARS = 30_000
 SMALL_GROUP = 3
 SMALL = "small-modules"
@@ -22,17 +21,17 @@ def reviewable(diffs: DataFrame) -> DataFrame:
     return diffs.where(~deleted & (F.col("path").isNull() | paths.is_code(F.col("path"))))
 
 
-def review_groups(files: DataFrame) -> DataFrame:
-    """Group files by module; modules with fewer than three files share one group."""
+def review_groups(files: DataFrame, small: int = SMALL_GROUP) -> DataFrame:
+    """Group files by module; modules with fewer than ``small`` files share one group."""
     rows = files.withColumn("module", paths.module_of(F.col("path")))
     sizes = rows.groupBy("repo_id", "module").agg(F.count(F.lit(1)).alias("_n"))
     return attach(rows, sizes, ["repo_id", "module"]).withColumn(
-        "review_group", F.when(F.col("_n") < SMALL_GROUP, SMALL).otherwise(F.col("module"))
+        "review_group", F.when(F.col("_n") < small, SMALL).otherwise(F.col("module"))
     ).drop("_n")
 
 
-def cross_module_context(groups: DataFrame, facts: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Per group: changed types it imports from files outside the group, with the head of their diff.
+def cross_module_context(groups: DataFrame, facts: DataFrame, diffs: DataFrame, most: int | None = None) -> DataFrame:
+    """Per group: changed types it imports from files outside the group, with their diff or its first ``most`` characters.
 
     ``groups`` (repo_id, path, review_group); ``diffs`` one unified diff per file.
     """
@@ -47,36 +46,39 @@ def cross_module_context(groups: DataFrame, facts: DataFrame, diffs: DataFrame)
         .join(homes, ["repo_id", "target"])
         .where(F.col("_home") != F.col("review_group"))
     )
-    d = diffs.select("repo_id", F.col("path").alias("target"), text.shorten(F.col("unified_diff"), CONTEXT_CHARS, "\n... [diff truncated]").alias("diff"))
+    d = diffs.select("repo_id", F.col("path").alias("target"), (F.col("unified_diff") if most is None else text.shorten(F.col("unified_diff"), most, "\n... [diff truncated]")).alias("diff"))
     return wanted.join(d, ["repo_id", "target"], "left").select("repo_id", "review_group", "import", "target", "diff")
 
 
-def capped(column: Column, limit: int) -> Column:
-    """A text cut to ``limit`` with the full length noted."""
+def capped(column: Column, limit: int | None) -> Column:
+    """A text cut to ``limit`` with the full length noted; whole without one."""
+    if limit is None:
+        return column
     note = F.concat(F.lit("\n... [truncated, total "), F.length(column), F.lit(" chars]"))
     return F.when(F.length(column) > limit, F.concat(F.substring(column, 1, limit), note)).otherwise(column)
 
 
-def size_caps(files: DataFrame) -> DataFrame:
-    """The cut forms of diff and content used in review input."""
+def size_caps(files: DataFrame, *, diff: int | None = None, content: int | None = None, edge: int | None = None) -> DataFrame:
+    """Diff and content for review input, each cut to the characters its reader takes; whole by default."""
+    note = "\n... [truncated]"
     return files.select(
         "repo_id", "path",
-        capped(F.col("unified_diff"), DIFF_CHARS).alias("diff_part"),
-        text.shorten(F.col("content"), CONTENT_CHARS, "\n... [truncated]").alias("content_part"),
-        capped(F.col("content"), EDGE_CHARS).alias("edge_part"),
+        capped(F.col("unified_diff"), diff).alias("diff_part"),
+        (F.col("content") if content is None else text.shorten(F.col("content"), content, note)).alias("content_part"),
+        capped(F.col("content"), edge).alias("edge_part"),
     )
 
 
-def chunks(files: DataFrame, keys: list[str], limit: int = CHUNK_CHARS, cap: int = SOURCE_CHARS) -> DataFrame:
+def chunks(files: DataFrame, keys: list[str], limit: int = CHUNK_CHARS, cap: int | None = None) -> DataFrame:
     """Greedy chunks in ``ord`` order: a new one starts when the running size would pass ``limit``.
 
     Each file knows from running sums where a chunk that starts at it would end,
     which makes a graph with one successor per file; following it from the first
     file gives the chunk starts.  No module is walked through in one task.
     """
-    if cap > limit:
-        raise ValueError("cap must not exceed limit")
-    size = F.least(F.length(F.coalesce("content", F.lit(""))), F.lit(cap)).cast("long")
+    size = F.length(F.coalesce("content", F.lit(""))).cast("long")
+    size = size if cap is None else F.least(size, F.lit(cap))
+    size = F.least(size, F.lit(limit))  # a larger file fills a chunk of its own
     rows = files.withColumn("_size", size)
     rows = cut(running(rows, keys, [F.col("ord")], {"_sum": ("sum", F.col("_size")), "_i": ("sum", F.lit(1))}))
     probes = rows.select(*keys, F.col("_i").alias("i"), (F.col("_sum") - F.col("_size") + limit).alias("at"), F.lit(0).alias("mark"))

@@ -99,7 +99,7 @@ def _(src):
 SELECT DISTINCT repo_id, author_name AS name, author_email AS email FROM
  (SELECT * FROM commits QUALIFY row_number() OVER (PARTITION BY repo_id, branch ORDER BY created_at DESC, ord DESC) <= 500) t WHERE author_name IS NOT NULL""")
 def _(src):
-    return S.author_directory(src.commits)
+    return S.author_directory(src.commits, 500)
 
 
 @query("branch_directory", "SELECT repo_id, replace(name, 'refs/remotes/origin/', '') AS name, commit_id FROM refs WHERE starts_with(name, 'refs/remotes/origin/')")

@@ -338,7 +338,7 @@ def _(src):
 RESOLVED = """(SELECT r.repo_id, r.symbol, arg_min(s.qualified_name, (CASE WHEN s.qualified_name LIKE '%' || r.symbol THEN 0 ELSE 1 END, s.c)) AS target FROM
  (SELECT DISTINCT repo_id, symbol, regexp_replace(symbol, '[.][^.]*$', '') AS cls, split_part(symbol, '.', -1) AS method FROM findings) r
  JOIN (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY ord) AS c FROM symbols WHERE kind = 'Function') s
-  ON s.repo_id = r.repo_id AND s.name = r.method AND s.c <= 15
+  ON s.repo_id = r.repo_id AND s.name = r.method
  WHERE s.qualified_name LIKE '%' || r.symbol OR (contains(s.qualified_name, '.' || r.method) AND (contains(s.file, r.cls) OR contains(s.qualified_name, r.cls))) GROUP BY 1, 2)"""
 CALLERS = """(SELECT e.repo_id, e.target, count(*) AS callers, bool_or(coalesce(s.annotation = 'Transactional', false)) AS tx FROM call_edges e
  LEFT JOIN symbols s ON s.repo_id = e.repo_id AND s.qualified_name = e.source GROUP BY 1, 2)"""

@@ -251,7 +251,7 @@ def _(src):
 # ---- churn
 
 CHANGES = f"""(SELECT h.repo_id, h.path, h.commit_id, h.rid, h.hunk_no, h.old_start, h.old_count, h.new_start, h.new_count, {KIND} AS kind, coalesce(c.author_name, 'unknown') AS author_name, c.created_at
- FROM {HUNKS} h JOIN commits c ON c.repo_id = h.repo_id AND c.id = h.commit_id WHERE c.parent1 IS NOT NULL)"""
+ FROM {HUNKS} h JOIN commits c ON c.repo_id = h.repo_id AND c.id = h.commit_id WHERE (c.parent1 IS NULL) <> (c.parent2 IS NULL))"""
 EVENTS = f"""(SELECT *, 0 AS step FROM (SELECT *, unnest(generate_series(old_start, old_start + greatest(old_count, 1) - 1)) AS line_no FROM {CHANGES} WHERE kind <> 'ADD')
  UNION ALL SELECT *, 1 FROM (SELECT *, unnest(generate_series(old_start, old_start + old_count - 1)) AS line_no FROM {CHANGES} WHERE old_count > 0)
  UNION ALL SELECT *, 2 FROM (SELECT *, unnest(generate_series(new_start, new_start + new_count - 1)) AS line_no FROM {CHANGES} WHERE new_count > 0))"""

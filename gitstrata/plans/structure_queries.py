@@ -200,15 +200,16 @@ def _(src):
     return K.global_summary(src.call_edges, src.flows, src.communities)
 
 
-MHUBS = f"""(SELECT * FROM (SELECT h.repo_id, s.module, s.name, s.file, h.qualified_name, h.rank AS repo_rank, row_number() OVER (PARTITION BY h.repo_id, s.module ORDER BY h.rank) AS rank
- FROM {hubs_sql(20)} h JOIN symbols s ON s.repo_id = h.repo_id AND s.qualified_name = h.qualified_name) WHERE rank <= 10)"""
-EXTERNAL = f"""(SELECT * FROM (SELECT h.repo_id, h.module, c.name AS caller, c.file AS caller_file, h.name AS callee, h.file AS callee_file,
+MHUBS = f"""(SELECT * FROM (SELECT h.repo_id, s.module, s.name, s.file, h.qualified_name, row_number() OVER (PARTITION BY h.repo_id, s.module ORDER BY h.degree DESC, h.qualified_name) AS rank
+ FROM {DEGREE} h JOIN symbols s ON s.repo_id = h.repo_id AND s.qualified_name = h.qualified_name) WHERE rank <= 10)"""
+EVERY_CALLER = f"""(SELECT h.repo_id, h.module, c.name AS caller, c.file AS caller_file, h.name AS callee, h.file AS callee_file,
   row_number() OVER (PARTITION BY h.repo_id, h.module ORDER BY h.rank, fn.ord, e.source) AS rn
  FROM {MHUBS} h JOIN symbols fn ON fn.repo_id = h.repo_id AND fn.file = h.file AND fn.kind = 'Function' AND contains(fn.qualified_name, h.name)
  JOIN call_edges e ON e.repo_id = fn.repo_id AND e.target = fn.qualified_name JOIN symbols c ON c.repo_id = e.repo_id AND c.qualified_name = e.source
- WHERE h.rank <= 5 AND c.module <> h.module) WHERE rn <= 10)"""
+ WHERE h.rank <= 5 AND c.module <> h.module)"""
+EXTERNAL = f"(SELECT * FROM {EVERY_CALLER} WHERE rn <= 10)"
 MFLOWS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, module ORDER BY criticality DESC, id) AS rank FROM
- (SELECT DISTINCT t.repo_id, f.module, t.id, t.name, t.criticality FROM (SELECT * FROM flows QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY criticality DESC, id) <= 15) t
+ (SELECT DISTINCT t.repo_id, f.module, t.id, t.name, t.criticality FROM flows t
   JOIN flow_files x ON x.repo_id = t.repo_id AND x.id = t.id JOIN files f ON f.repo_id = x.repo_id AND f.path = x.file)) WHERE rank <= 5)"""
 COMM = """(SELECT f.repo_id, f.module, arg_min(c.name, (-c.size, c.id)) AS community FROM files f JOIN communities c ON c.repo_id = f.repo_id AND contains(lower(f.path), replace(lower(c.name), '-', '')) GROUP BY ALL)"""
 
@@ -223,6 +224,11 @@ def _(src):
 
 
 @query("external_callers", f"SELECT repo_id, module, caller, caller_file, callee, callee_file FROM {EXTERNAL}")
+def _(src):
+    return K.external_callers(src.call_edges, src.symbols, modules(src), limit=10)
+
+
+@query("external_callers_all", f"SELECT repo_id, module, caller, caller_file, callee, callee_file FROM {EVERY_CALLER}")
 def _(src):
     return K.external_callers(src.call_edges, src.symbols, modules(src))
 
@@ -274,7 +280,7 @@ def _(src):
 
 
 @query("core_edge_split", f"""
-WITH seeds AS (SELECT repo_id, module, file FROM {MHUBS} UNION SELECT repo_id, module, callee_file FROM {EXTERNAL}
+WITH seeds AS (SELECT repo_id, module, file FROM {MHUBS} UNION SELECT repo_id, module, callee_file FROM {EVERY_CALLER}
  UNION SELECT m.repo_id, m.module, x.file FROM {MFLOWS} m JOIN flow_files x ON x.repo_id = m.repo_id AND x.id = m.id JOIN files f ON f.repo_id = m.repo_id AND f.module = m.module AND f.path = x.file),
 core AS (SELECT * FROM seeds UNION SELECT s.repo_id, s.module, l.b FROM seeds s JOIN {BOTH} l ON l.repo_id = s.repo_id AND l.a = s.file)
 SELECT f.repo_id, f.module, f.path AS file, CASE WHEN c.file IS NULL THEN 'edge' ELSE 'core' END AS part FROM files f LEFT JOIN core c ON c.repo_id = f.repo_id AND c.module = f.module AND c.file = f.path""")
@@ -283,7 +289,7 @@ def _(src):
 
 
 TOTALS = f"""(SELECT f.repo_id, f.module, f.files, coalesce(x.n, 0) AS external_callers, CASE WHEN x.n > 0 THEN f.files // 3 ELSE 0 END AS high_impact_files
- FROM (SELECT repo_id, module, count(*) AS files FROM files GROUP BY ALL) f LEFT JOIN (SELECT repo_id, module, count(*) AS n FROM {EXTERNAL} GROUP BY ALL) x USING (repo_id, module))"""
+ FROM (SELECT repo_id, module, count(*) AS files FROM files GROUP BY ALL) f LEFT JOIN (SELECT repo_id, module, count(*) AS n FROM {EVERY_CALLER} GROUP BY ALL) x USING (repo_id, module))"""
 
 
 @query("module_totals", f"SELECT * FROM {TOTALS}")
@@ -296,7 +302,7 @@ def _(src):
 SELECT r.repo_id, r.symbol, s.qualified_name, s.candidate FROM (SELECT DISTINCT repo_id, symbol, split_part(symbol, '.', -1) AS method FROM findings) r
 JOIN (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY ord) AS candidate FROM symbols WHERE kind = 'Function' QUALIFY candidate <= 15) s ON s.repo_id = r.repo_id AND s.name = r.method""")
 def _(src):
-    return K.symbol_candidates(src.symbols, src.findings).select("repo_id", "symbol", "qualified_name", "candidate")
+    return K.symbol_candidates(src.symbols, src.findings, 15).select("repo_id", "symbol", "qualified_name", "candidate")
 
 
 @query("symbol_resolution", f"SELECT * FROM {RESOLVED}")
@@ -344,7 +350,7 @@ SELECT DISTINCT e.repo_id, e.module AS review_group, e.imp AS "import", e.target
 def _(src):
     groups = P.review_groups(src.files.select("repo_id", "path"))
     diffs = src.sources.select("repo_id", "path", F.concat(F.lit("diff --git "), "content").alias("unified_diff"))
-    return P.cross_module_context(groups, facts(src), diffs)
+    return P.cross_module_context(groups, facts(src), diffs, 2_000)
 
 
 def cut_sql(c: str, n: int, note: str) -> str:
@@ -357,7 +363,7 @@ TOTAL = "chr(10) || '... [truncated, total ' || length(message) || ' chars]'"
 @query("size_caps", f"""SELECT ord AS path, {cut_sql('message', 8000, TOTAL)} AS diff_part, {cut_sql('message', 4000, "chr(10) || '... [truncated]'")} AS content_part, {cut_sql('message', 6000, TOTAL)} AS edge_part FROM messages""")
 def _(src):
     rows = src.messages.select("repo_id", F.col("ord").alias("path"), F.col("message").alias("content"), F.col("message").alias("unified_diff"))
-    return P.size_caps(rows).drop("repo_id")
+    return P.size_caps(rows, diff=8_000, content=4_000, edge=6_000).drop("repo_id")
 
 
 CHUNKS = """(WITH RECURSIVE s AS (SELECT repo_id, ord, least(length(message), 12000) AS size, row_number() OVER (PARTITION BY repo_id ORDER BY ord) AS i FROM messages),
@@ -370,7 +376,7 @@ CHUNKS = """(WITH RECURSIVE s AS (SELECT repo_id, ord, least(length(message), 12
 @query("greedy_chunks", f"SELECT repo_id, ord, chunk FROM {CHUNKS}")
 def _(src):
     rows = src.messages.select("repo_id", "ord", F.col("message").alias("content"))
-    return P.chunks(rows, ["repo_id"]).select("repo_id", "ord", F.col("chunk").cast("int").alias("chunk"))
+    return P.chunks(rows, ["repo_id"], cap=12_000).select("repo_id", "ord", F.col("chunk").cast("int").alias("chunk"))
 
 
 @query("signature_summary", f"SELECT repo_id, path, path || ': ' || cls || ' → run' AS signature FROM {FACTS}")
@@ -411,14 +417,14 @@ def _(src):
 WITH l AS (SELECT * FROM {LINES}), h AS (SELECT * FROM l WHERE contains(line, 'x.call') QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no) <= 30)
 SELECT DISTINCT l.repo_id, l.path, l.line_no, l.line, contains(l.line, 'x.call') AS is_hit FROM l JOIN h ON h.repo_id = l.repo_id AND h.path = l.path AND l.line_no BETWEEN h.line_no - 5 AND h.line_no + 5""")
 def _(src):
-    return Q.search(src.sources, r"x\.call")
+    return Q.search(src.sources, r"x\.call", 30)
 
 
 @query("method_bodies", """
 SELECT path, 'run' AS name, 8 + CAST(0 AS INT) AS line_no, 11 AS end_line,
  '  // runs once' || chr(10) || '  @Override' || chr(10) || '  public int run(int x) {' || chr(10) || '    if (x > ' || n || ') { return 0; }' || chr(10) || '    return x.call(' || n || ');' || chr(10) || '  }' || chr(10) AS text FROM sources""".replace("8 + CAST(0 AS INT)", "9").replace("11 AS end_line", "12 AS end_line"))
 def _(src):
-    return Q.methods(src.sources).select("path", "name", "line_no", "end_line", "text")
+    return Q.methods(src.sources, 5_000).select("path", "name", "line_no", "end_line", "text")
 
 
 # Requests: a finding's symbol in its own file, the same method of a class that is not in the graph, and text that occurs in no name.

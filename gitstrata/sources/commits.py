@@ -122,9 +122,9 @@ def newest(commits: DataFrame, n: int = 100, per: list[str] | None = None) -> Da
     return commits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def author_directory(branch_commits: DataFrame, per_branch: int = 500) -> DataFrame:
-    """Distinct (name, email) over the newest commits of each branch; null names skipped."""
-    recent = newest(branch_commits, per_branch, ["repo_id", "branch"])
+def author_directory(branch_commits: DataFrame, per_branch: int | None = None) -> DataFrame:
+    """Distinct (name, email) over all commits, or the newest ``per_branch`` of each branch; null names skipped."""
+    recent = branch_commits if per_branch is None else newest(branch_commits, per_branch, ["repo_id", "branch"])
     return (
         recent.where(F.col("author_name").isNotNull())
         .select("repo_id", F.col("author_name").alias("name"), F.col("author_email").alias("email"))
