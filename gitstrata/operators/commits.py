@@ -48,10 +48,10 @@ def rules_from_table(rules: DataFrame) -> list[tuple[str, str, list[str], list[s
 def label(commits: DataFrame, feedback: DataFrame, model_labels: DataFrame, on: str = "message") -> DataFrame:
     """Human feedback by exact message, then rules, then a model's reply, then ``other``.
 
-    ``feedback`` and ``model_labels`` hold one row per message.
+    ``feedback`` and ``model_labels`` hold one row per repository and message.
     """
-    fb = feedback.select(F.col("message").alias(on), F.col("category").alias("_fb"))
-    ml = model_labels.select(F.col("message").alias(on), text.label_in_reply(F.col("reply")).alias("_ml"))
+    fb = feedback.select("repo_id", F.col("message").alias(on), F.col("category").alias("_fb"))
+    ml = model_labels.select("repo_id", F.col("message").alias(on), text.label_in_reply(F.col("reply")).alias("_ml"))
     blank = text.is_blank(F.col(on))
     rule = text.rule_category(F.col(on))
     source = (
@@ -62,8 +62,8 @@ def label(commits: DataFrame, feedback: DataFrame, model_labels: DataFrame, on:
         .otherwise("rule")
     )
     return (
-        commits.join(fb, on, "left")
-        .join(ml, on, "left")
+        commits.join(fb, ["repo_id", on], "left")
+        .join(ml, ["repo_id", on], "left")
         .withColumn("source", source)
         .withColumn(
             "category",
@@ -76,8 +76,8 @@ def label(commits: DataFrame, feedback: DataFrame, model_labels: DataFrame, on:
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
-    """Last write wins per message."""
-    return feedback.groupBy("message").agg(F.max_by("category", F.struct("ts", "ord")).alias("category"))
+    """Last write wins per repository and message."""
+    return feedback.groupBy("repo_id", "message").agg(F.max_by("category", F.struct("ts", "ord")).alias("category"))
 
 
 def format_gate(commits: DataFrame, replies: DataFrame) -> DataFrame:

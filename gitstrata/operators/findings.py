@@ -23,16 +23,20 @@ BLOCK = 64
 
 COMMENT_SCHEMA = (
     "comments array<struct<path:string,content:string,category:string,existingCode:string,"
-    "suggestionCode:string,startLine:int,endLine:int,thinking:string>>, _corrupt string"
+    "suggestionCode:string,startLine:string,endLine:string,thinking:string>>, _corrupt string"
 )
 _DIRECT = (
-    "file:string,filePath:string,file_path:string,startLine:int,line:int,lineStart:int,endLine:int,severity:string,"
-    "category:string,confidence:double,evidence:string,trigger:string,suggestedFix:string,suggestionCode:string,"
+    "file:string,filePath:string,file_path:string,startLine:string,line:string,lineStart:string,endLine:string,severity:string,"
+    "category:string,confidence:string,evidence:string,trigger:string,suggestedFix:string,suggestionCode:string,"
     "fix:string,symbol:string,method:string"
 )
 DIRECT_SCHEMA = f"findings array<struct<{_DIRECT}>>, confirmed array<struct<{_DIRECT}>>, _corrupt string"
 
 
+# A null file takes part in joins and windows under this name.
+NO_FILE = "\x00"
+
+
 # ---- replies to rows -------------------------------------------------------------
 
 def isolate_json(body: Column) -> Column:
@@ -66,10 +70,12 @@ def repair_json(docs: pd.Series) -> pd.Series:
 def parse_replies(replies: DataFrame, schema: str) -> DataFrame:
     """Add ``parsed``; a document that does not parse is repaired once and tried again.
 
-    Only failed documents carry text to the Python worker, the others pass null.
+    Numbers are read as text and cast field by field, so one odd value costs that value,
+    not the reply.  Only failed documents carry text to the Python worker, the others pass null.
     ``rejected`` marks what still does not parse, for a bad-records table.
     """
-    options = {"columnNameOfCorruptRecord": "_corrupt", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
+    options = {"columnNameOfCorruptRecord": "_corrupt", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true",
+               "allowBackslashEscapingAnyCharacter": "true"}
     first = replies.withColumn("json", isolate_json(F.col("body"))).withColumn(
         "parsed", F.from_json("json", schema, options)
     )
@@ -81,11 +87,22 @@ def parse_replies(replies: DataFrame, schema: str) -> DataFrame:
     return retried.withColumn("rejected", (F.col("json") == "") | F.col("parsed._corrupt").isNotNull())
 
 
+def whole_number(value: Column) -> Column:
+    """``12``, ``"12"`` or ``3.0`` as an int; null for anything else."""
+    return F.trim(value).try_cast("double").try_cast("int")
+
+
+def rejected(replies: DataFrame, schema: str = COMMENT_SCHEMA) -> DataFrame:
+    """Replies that hold no readable document, whole, for a table of bad records."""
+    return parse_replies(replies, schema).where("rejected").select(*replies.columns)
+
+
 def comments(replies: DataFrame) -> DataFrame:
     """One row per review comment, in reply order."""
     parsed = parse_replies(replies, COMMENT_SCHEMA).where(~F.col("rejected"))
     keep = [c for c in replies.columns if c != "body"]
-    return parsed.select(*keep, F.posexplode("parsed.comments").alias("pos", "c")).select(*keep, "pos", "c.*")
+    rows = parsed.select(*keep, F.posexplode("parsed.comments").alias("pos", "c")).select(*keep, "pos", "c.*")
+    return rows.withColumns({c: whole_number(F.col(c)) for c in ("startLine", "endLine")})
 
 
 def findings_from_comments(comments: DataFrame) -> DataFrame:
@@ -120,7 +137,8 @@ def findings_from_json(replies: DataFrame) -> DataFrame:
         *keep, F.posexplode(F.coalesce("parsed.findings", "parsed.confirmed")).alias("pos", "f")
     )
     f = lambda *names: F.coalesce(*[F.col(f"f.{n}") for n in names])
-    start = F.coalesce(f("startLine", "line", "lineStart"), F.lit(0))
+    start = F.coalesce(*[whole_number(F.col(f"f.{n}")) for n in ("startLine", "line", "lineStart")], F.lit(0))
+    confidence = F.trim("f.confidence").try_cast("double")
     given = F.upper(F.trim(F.col("f.severity")))
     by_name = {"BLOCKER": "P0", "HIGH": "P1", "MEDIUM": "P2", "LOW": "P3", "INFO": "P4"}
     severity = F.when(given.isNull(), "P2")
@@ -130,10 +148,10 @@ def findings_from_json(replies: DataFrame) -> DataFrame:
         *keep, "pos",
         f("file", "filePath", "file_path").alias("file"),
         F.when(start <= 0, 1).otherwise(start).alias("start_line"),
-        F.when(start <= 0, 1).otherwise(F.coalesce("f.endLine", F.lit(0))).alias("end_line"),
+        F.when(start <= 0, 1).otherwise(F.coalesce(whole_number(F.col("f.endLine")), F.lit(0))).alias("end_line"),
         text.category_from_code(F.col("f.category")).alias("category"),
         severity.otherwise(text.severity_from_level(F.col("f.severity"))).alias("severity"),
-        F.when(F.coalesce("f.confidence", F.lit(0.0)) <= 0, 0.70).otherwise(F.col("f.confidence")).alias("confidence"),
+        F.when(F.coalesce(confidence, F.lit(0.0)) <= 0, 0.70).otherwise(confidence).alias("confidence"),
         F.col("f.evidence").alias("evidence"),
         F.col("f.trigger").alias("trigger_text"),
         f("suggestedFix", "suggestionCode", "fix").alias("suggested_fix"),
@@ -245,9 +263,9 @@ def merge_overlaps(findings: DataFrame) -> DataFrame:
     Scalars are plain aggregates.  Texts are folded in line order; a text that was
     already folded never changes the result, so copies are removed with a grouped
     minimum before anything is collected, and the list that is folded is no longer
-    than the text it produces.
+    than the text it produces.  Findings without a file are one file.
     """
-    rows = cut(islands(findings))
+    rows = cut(islands(findings.withColumn("file", F.coalesce("file", F.lit(NO_FILE)))))
     keys = ["repo_id", "file", "island"]
     texts = [c for c in MERGED_TEXTS if c in rows.columns]
     place = F.struct(F.col("start_line"), F.col("ord"))
@@ -295,7 +313,7 @@ def merge_overlaps(findings: DataFrame) -> DataFrame:
         out = out.join(ids, ["repo_id", "file", "start_line"], "left").withColumn(
             "blame_commit_ids", F.coalesce("blame_commit_ids", F.array().cast("array<string>"))
         )
-    return out
+    return out.withColumn("file", F.when(F.col("file") != NO_FILE, F.col("file")))
 
 
 # ---- ownership -------------------------------------------------------------------
@@ -437,7 +455,7 @@ def secret_findings(findings: DataFrame) -> DataFrame:
     ``ord`` is kept, so a repeated run writes the same rows.
     """
     fields = [F.col(c) for c in SECRET_FIELDS if c in findings.columns]
-    hits = mask_findings(findings.where(text.has_secret(*fields) & (F.col("category") != "SECRET_EXPOSURE")))
+    hits = mask_findings(findings.where(text.has_secret(*fields) & (F.coalesce("category", F.lit("")) != "SECRET_EXPOSURE")))
     return (
         hits.withColumn("category", F.lit("SECRET_EXPOSURE")).withColumn("severity", F.lit("P0"))
         .withColumn("confidence", F.lit(0.9)).withColumn("status", F.lit("UNREVIEWED"))

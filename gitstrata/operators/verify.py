@@ -158,7 +158,6 @@ SECTIONS = {
     "verdict": "审查结论",
 }
 FIELDS = {"conclusion": "结论", "risk_level": "风险等级", "key_findings": "关键发现"}
-CONCLUSIONS = ["通过", "需修改", "拒绝"]
 
 
 def _has_field(label: str):
@@ -189,5 +188,6 @@ def parse_sections(replies: DataFrame) -> DataFrame:
     return (
         out.withColumn("conclusion", F.when(blank, "审查失败").otherwise(F.coalesce("conclusion", guess)))
         .withColumn("risk_level", F.when(blank, "未知").otherwise(F.coalesce("risk_level", risk)))
+        .withColumn("key_findings", F.when(blank, "LLM 返回为空").otherwise(F.col("key_findings")))
         .drop("verdict")
     )

@@ -257,25 +257,25 @@ def _(src):
     return C.classify(src.commits, rules=C.rules_from_table(rule_rows(src))).select("id", "category")
 
 
-FEEDBACK = "(SELECT message, max_by(CASE WHEN ord % 2 = 0 THEN 'perf' ELSE 'style' END, ord) AS category FROM commits WHERE branch LIKE 'b1%' GROUP BY message)"
-REPLIES = "(SELECT message, CASE WHEN max(ord) % 3 = 0 THEN '我认为是 Bug修复' WHEN max(ord) % 3 = 1 THEN 'CI配置' ELSE '?' END AS reply FROM commits WHERE branch LIKE 'b2%' GROUP BY message)"
+FEEDBACK = "(SELECT repo_id, message, max_by(CASE WHEN ord % 2 = 0 THEN 'perf' ELSE 'style' END, ord) AS category FROM commits WHERE branch LIKE 'b1%' GROUP BY repo_id, message)"
+REPLIES = "(SELECT repo_id, message, CASE WHEN max(ord) % 3 = 0 THEN '我认为是 Bug修复' WHEN max(ord) % 3 = 1 THEN 'CI配置' ELSE '?' END AS reply FROM commits WHERE branch LIKE 'b2%' GROUP BY repo_id, message)"
 
 
 def feedback(src):
     rows = src.commits.where("branch LIKE 'b1%'").select(
-        "message", F.when(F.col("ord") % 2 == 0, "perf").otherwise("style").alias("category"), F.col("created_at").alias("ts"), "ord"
+        "repo_id", "message", F.when(F.col("ord") % 2 == 0, "perf").otherwise("style").alias("category"), F.col("created_at").alias("ts"), "ord"
     )
     return C.latest_feedback(rows.withColumn("ts", F.lit(0)))
 
 
 def replies(src):
     k = F.max("ord") % 3
-    return src.commits.where("branch LIKE 'b2%'").groupBy("message").agg(
+    return src.commits.where("branch LIKE 'b2%'").groupBy("repo_id", "message").agg(
         F.when(k == 0, "我认为是 Bug修复").when(k == 1, "CI配置").otherwise("?").alias("reply")
     )
 
 
-@query("record_feedback", f"SELECT message, category FROM {FEEDBACK}")
+@query("record_feedback", f"SELECT repo_id, message, category FROM {FEEDBACK}")
 def _(src):
     return feedback(src)
 
@@ -287,16 +287,16 @@ REPLY_LABEL = "CASE WHEN contains(reply, 'Bug修复') THEN 'bugfix' WHEN contain
 SELECT c.id, CASE WHEN trim(c.message) = '' THEN 'other' WHEN f.category IS NOT NULL THEN f.category WHEN c.category <> 'other' THEN c.category
   WHEN r.reply IS NOT NULL THEN {REPLY_LABEL} ELSE 'other' END AS category,
   CASE WHEN trim(c.message) = '' THEN 'rule' WHEN f.category IS NOT NULL THEN 'feedback' WHEN c.category <> 'other' THEN 'rule' WHEN r.reply IS NOT NULL THEN 'model' ELSE 'rule' END AS source
-FROM {RULED} c LEFT JOIN {FEEDBACK} f ON f.message = c.message LEFT JOIN {REPLIES} r ON r.message = c.message""")
+FROM {RULED} c LEFT JOIN {FEEDBACK} f ON f.repo_id = c.repo_id AND f.message = c.message LEFT JOIN {REPLIES} r ON r.repo_id = c.repo_id AND r.message = c.message""")
 def _(src):
     return C.label(src.commits, feedback(src), replies(src)).select("id", "category", "source")
 
 
-@query("normalise_model_label", f"SELECT message, {REPLY_LABEL} AS category FROM {REPLIES}")
+@query("normalise_model_label", f"SELECT repo_id, message, {REPLY_LABEL} AS category FROM {REPLIES}")
 def _(src):
     from gitstrata.functions.text import label_in_reply
 
-    return replies(src).select("message", label_in_reply(F.col("reply")).alias("category"))
+    return replies(src).select("repo_id", "message", label_in_reply(F.col("reply")).alias("category"))
 
 
 GATED = "SELECT rid AS id, l_orderkey AS batch, CAST(rid - l_orderkey * 1000 - 1 AS INT) AS position, l_partkey AS ord FROM li"

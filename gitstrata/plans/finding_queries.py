@@ -55,7 +55,13 @@ def broken(src):
 def _(src):
     rows = N.parse_replies(broken(src), N.COMMENT_SCHEMA)
     c = F.get("parsed.comments", 0)
-    return rows.select("response_id", c["path"].alias("path"), c["content"].alias("content"), c["startLine"].alias("start_line"), "rejected")
+    return rows.select("response_id", c["path"].alias("path"), c["content"].alias("content"), N.whole_number(c["startLine"]).alias("start_line"), "rejected")
+
+
+@query("rejected_replies", "SELECT response_id FROM responses WHERE response_id % 7 = 3")
+def _(src):
+    cut_off = F.when(F.col("response_id") % 7 == 3, F.expr("replace(body, ']', '')")).otherwise(F.col("body"))
+    return N.rejected(src.responses.select("response_id", cut_off.alias("body"))).select("response_id")
 
 
 @query("comments_to_findings", """

@@ -12,13 +12,14 @@ SCHEMA = "repo_id string, branch string, last_hash string, updated_at timestamp"
 def advance(tracker: DataFrame, batch: DataFrame) -> DataFrame:
     """New tracker after ``batch`` (repo_id, branch, id, created_at, ord).
 
-    Branches without new commits keep their mark.  Only the newest commit of each
-    branch leaves a task; the newer of old and new mark wins.
+    Branches without new commits keep their mark; others take the batch's tip, also where it
+    is older (a rebased branch).  Only the newest commit of each branch leaves a task.
     """
     place = F.struct("created_at", "ord")
-    new = batch.groupBy(*KEY).agg(F.max_by("id", place).alias("last_hash"), F.max("created_at").alias("updated_at"))
-    both = tracker.select(*KEY, "last_hash", "updated_at").union(new.select(*KEY, "last_hash", "updated_at"))
-    return both.groupBy(*KEY).agg(F.max_by("last_hash", "updated_at").alias("last_hash"), F.max("updated_at").alias("updated_at"))
+    new = batch.groupBy(*KEY).agg(F.max_by("id", place).alias("_hash"), F.max("created_at").alias("_at"))
+    return tracker.select(*KEY, "last_hash", "updated_at").join(new, KEY, "full").select(
+        *KEY, F.coalesce("_hash", "last_hash").alias("last_hash"), F.coalesce("_at", "updated_at").alias("updated_at")
+    )
 
 
 def reset(tracker: DataFrame, branches: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Compare registered queries with their SQL: python tests/check.py [sf] [name part ...]"""
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -16,6 +17,7 @@ sf, parts = (sys.argv[1:2] or ["0.001"])[0], sys.argv[2:]
 spark = (
     SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
     .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+    .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     .config("spark.ui.showConsoleProgress", "false").getOrCreate()
 )
 spark.sparkContext.setLogLevel("ERROR")
