@@ -334,19 +334,31 @@ def cover(first: Column, last: Column) -> Column:
     ).otherwise(at(0, lines(first, last)))
 
 
-def _pieces(ranges: DataFrame) -> DataFrame:
-    return ranges.select("repo_id", "file", "first", "last", F.explode(cover(F.col("first"), F.col("last"))).alias("p")).select(
+def _blamed(blame: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Lines with an author in the files that have ranges."""
+    files = ranges.select("repo_id", F.col("file").alias("path")).distinct()
+    return blame.where(F.col("author_name").isNotNull()).join(files, ["repo_id", "path"], "left_semi")
+
+
+def _pieces(ranges: DataFrame, named: DataFrame) -> DataFrame:
+    """Pieces of the part of each range that the file's blamed lines span.
+
+    Line numbers may come from a model's reply: a range can't give more pieces than its file has.
+    """
+    ends = named.groupBy("repo_id", F.col("path").alias("file")).agg(F.min("line_no").alias("_low"), F.max("line_no").alias("_high"))
+    first, last = F.greatest("first", "_low"), F.least("last", "_high")
+    inside = ranges.join(ends, ["repo_id", "file"]).where(first <= last)
+    return inside.select("repo_id", "file", "first", "last", F.explode(cover(first, last)).alias("p")).select(
         "repo_id", "file", "first", "last", "p.level", "p.idx"
     )
 
 
-def _levels(blame: DataFrame) -> DataFrame:
+def _levels(named: DataFrame) -> DataFrame:
     line = F.col("line_no").cast("long")
     both = F.array(
         F.struct(F.lit(0).alias("level"), line.alias("idx")),
         F.struct(F.lit(1).alias("level"), F.floor(line / BLOCK).alias("idx")),
     )
-    named = blame.where(F.col("author_name").isNotNull())
     return named.select("repo_id", F.col("path").alias("file"), "line_no", "author_name", F.explode(both).alias("p")).select(
         "repo_id", "file", "p.level", "p.idx", "line_no", "author_name"
     )
@@ -364,8 +376,9 @@ def trace_owner(findings: DataFrame, blame: DataFrame, last_authors: DataFrame)
     high = F.col("severity").isin(HIGH) & F.col("file").isNotNull() & (F.col("file") != "")
     first, last = F.col("start_line"), F.greatest("start_line", "end_line")
     ranges = findings.where(high).select("repo_id", "file", first.alias("first"), last.alias("last")).distinct()
-    best = _levels(blame).groupBy(*PIECE).agg(F.min(F.struct("line_no", "author_name")).alias("hit"))
-    found = _pieces(ranges).join(best, PIECE).groupBy(*RANGE).agg(F.min("hit")["author_name"].alias("_line_author"))
+    named = _blamed(blame, ranges)
+    best = _levels(named).groupBy(*PIECE).agg(F.min(F.struct("line_no", "author_name")).alias("hit"))
+    found = _pieces(ranges, named).join(best, PIECE).groupBy(*RANGE).agg(F.min("hit")["author_name"].alias("_line_author"))
     lasts = last_authors.select("repo_id", F.col("path").alias("file"), F.col("author_name").alias("_last_author"))
     handlers = ranges.join(found, RANGE, "left").join(lasts, ["repo_id", "file"], "left").select(
         *RANGE, F.coalesce("_line_author", "_last_author").alias("_handler")
@@ -380,8 +393,9 @@ def trace_owner(findings: DataFrame, blame: DataFrame, last_authors: DataFrame)
 def owner_shares(findings: DataFrame, blame: DataFrame) -> DataFrame:
     """Lines per author over all blamed lines of each distinct range."""
     ranges = findings.select("repo_id", "file", F.col("start_line").alias("first"), F.col("end_line").alias("last")).distinct()
-    counts = _levels(blame).groupBy(*PIECE, "author_name").agg(F.count(F.lit(1)).alias("n"))
-    per = _pieces(ranges).join(counts, PIECE).groupBy(*RANGE, "author_name").agg(F.sum("n").alias("lines"))
+    named = _blamed(blame, ranges)
+    counts = _levels(named).groupBy(*PIECE, "author_name").agg(F.count(F.lit(1)).alias("n"))
+    per = _pieces(ranges, named).join(counts, PIECE).groupBy(*RANGE, "author_name").agg(F.sum("n").alias("lines"))
     total = per.groupBy(*RANGE).agg(F.sum("lines").alias("total"))
     return per.join(total, RANGE).select(
         "repo_id", "file", F.col("first").alias("start_line"), F.col("last").alias("end_line"),

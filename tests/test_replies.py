@@ -60,3 +60,11 @@ def test_mark_moves_to_an_older_tip(spark):
     batch = spark.sql("SELECT 'r' AS repo_id, 'b' AS branch, 'old' AS id, timestamp'2024-01-01' AS created_at, 1L AS ord")
     assert [r.last_hash for r in T.advance(mark, batch).collect()] == ["old"]
     assert [r.last_hash for r in T.advance(mark, batch.where("false")).collect()] == ["new"]
+
+
+def test_a_range_has_no_more_pieces_than_its_file(spark):
+    ranges = spark.createDataFrame([("r", "f", 1, 2_000_000_000), ("r", "f", 5, 9)], "repo_id string, file string, first int, last int")
+    blame = spark.range(1, 301).selectExpr("'r' AS repo_id", "'f' AS path", "int(id) AS line_no", "'a' AS author_name")
+    assert N._pieces(ranges, N._blamed(blame, ranges)).count() < 200
+    df = ranges.selectExpr("repo_id", "file", "first AS start_line", "last AS end_line")
+    assert {(r.end_line, r.lines) for r in N.owner_shares(df, blame).collect()} == {(2_000_000_000, 300), (9, 5)}
