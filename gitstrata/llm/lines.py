@@ -16,7 +16,7 @@ from gitstrata.llm.sized import sized
 
 EDITS = 1
 LEAST_CHARS = 24  # shorter lines are repeats only when equal
-LETTERS = "eatnrisho"  # counted per line; one edit moves two counts by one
+LETTERS = "eant"  # counted per line; one edit moves two counts by one
 
 DOC = ["doc_id", "text_hash"]
 
@@ -57,7 +57,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
 def letter_counts(line: Column) -> Column:
     packed = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        n = F.least(F.length(line) - F.length(F.translate(line, c, "")), F.lit(127)).cast("long")
+        n = F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127)).cast("long")
         packed = packed.bitwiseOR(F.shiftleft(n, 7 * i))
     return packed
 
@@ -87,10 +87,10 @@ def within(p: Column, t: Column, edits: int) -> Column:
         F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.abs(skew).alias("far"),
     )
 
-    def matches(c: Column, j: Column) -> Column:
+    def matches(x: Column) -> Column:
         bits = F.lit(0)
         for i in range(width):
-            bits = bits + F.when(F.get(rows, j + i) == c, 1 << i).otherwise(0)
+            bits = bits + F.when(x[f"r{i}"] == x["c"], 1 << i).otherwise(0)
         return bits
 
     def advance(s: Column, x: Column) -> Column:
@@ -105,7 +105,9 @@ def within(p: Column, t: Column, edits: int) -> Column:
             (s["far"] + miss).alias("far"),
         ))
 
-    steps = F.transform(cols, lambda c, j: F.struct(j.alias("j"), matches(c, j).alias("eq")))
+    # Every diagonal's characters are laid beside the columns once, not looked up in each step.
+    beside = F.arrays_zip(cols.alias("c"), *[F.slice(rows, 1 + i, F.length(t)).alias(f"r{i}") for i in range(width)])
+    steps = F.transform(beside, lambda x, j: F.struct(j.alias("j"), matches(x).alias("eq")))
     return F.aggregate(steps, start, advance, lambda s: s["far"]) <= edits
 
 
@@ -174,7 +176,9 @@ def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     pairs = cut(candidate_pairs(lines, edits))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     texts = cut(line_texts(docs, lines, wanted))
-    sides = pairs.join(texts.toDF("a", "p"), "a").join(texts.toDF("b", "t"), "b")
+    # Few and small rows, but much work on each: as many tasks as a shuffle has.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = pairs.join(texts.toDF("a", "p"), "a").join(texts.toDF("b", "t"), "b").repartition(tasks, "a", "b")
     close = F.abs(F.length("p") - F.length("t")) <= edits
     links = sides.where(F.when(close, within(F.col("p"), F.col("t"), edits)).otherwise(F.lit(False))).select("a", "b")
     classes = components(links).select(F.col("node").alias("h1"), "component")
@@ -194,17 +198,18 @@ def clean(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     A null text stays null and an empty one empty; a document all of whose lines are repeats
     has an empty text and n_left 0.  Other columns are carried unchanged.
     """
-    gone = repeats(docs, edits).select(F.col("doc_id").alias("_gone_doc"), F.col("text_hash").alias("_gone_hash"), F.col("removed").alias("_gone"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.col("_hash") == F.col("_gone_hash")), "left"
+    gone = repeats(docs, edits).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash")
     )
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    visible = F.size(F.filter(lines, lambda x: F.trim(x) != ""))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash"))
+    joined = rows.join(gone, same, "left").select("row", "text", F.split("text", "\n").alias("lines"), "removed")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text")
+    visible = F.size(F.filter("lines", lambda x: F.trim(x) != ""))
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(visible, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(visible).cast("long").alias("n_lines"),
+        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
     )
