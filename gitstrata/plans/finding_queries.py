@@ -389,11 +389,12 @@ SECRET_ANY = " OR ".join(sql_any_match(c, PATTERNS) for c in N.SECRET_FIELDS)
 
 
 @query("review_chain", f"""
-WITH s1 AS (SELECT * FROM {EXACT}), s2 AS (SELECT * FROM {traced_sql('s1')}), s3 AS (SELECT * FROM {reviewed_sql('s2')}),
-s4 AS (SELECT * REPLACE ({', '.join(f"{sql_mask(c)} AS {c}" for c in N.SECRET_FIELDS)}) FROM s3),
-s5 AS (SELECT * FROM {checked_sql('s4', hits_sql('s4'))}), s6 AS (SELECT * FROM {merged_sql('s5')}), s7 AS (SELECT * FROM {outcome_sql('s6')})
+WITH s1 AS MATERIALIZED (SELECT * FROM {EXACT}), s2 AS MATERIALIZED (SELECT * FROM {traced_sql('s1')}), s3 AS MATERIALIZED (SELECT * FROM {reviewed_sql('s2')}),
+s4 AS MATERIALIZED (SELECT * REPLACE ({', '.join(f"{sql_mask(c)} AS {c}" for c in N.SECRET_FIELDS)}) FROM s3),
+s5h AS MATERIALIZED (SELECT * FROM {hits_sql("s4")}), s5 AS MATERIALIZED (SELECT * FROM {checked_sql("s4", "s5h")}),
+s6 AS MATERIALIZED (SELECT * FROM {merged_sql("s5")}), s7 AS MATERIALIZED (SELECT * FROM {outcome_sql('s6')})
 SELECT {', '.join(CHAIN)} FROM s7 WHERE outcome <> 'rejected' UNION ALL
-SELECT repo_id, file, start_line, end_line, 'P0', 'SECRET_EXPOSURE', 'UNREVIEWED', CAST(0.9 AS DOUBLE), 'secret', owner FROM s3 WHERE ({SECRET_ANY}) AND category <> 'SECRET_EXPOSURE'""")
+SELECT repo_id, file, start_line, end_line, 'P0', 'SECRET_EXPOSURE', 'UNREVIEWED', CAST(0.9 AS DOUBLE), 'secret', owner FROM s3 WHERE ({SECRET_ANY}) AND coalesce(category, '') <> 'SECRET_EXPOSURE'""")
 def _(src):
     out = V.review_chain(src.findings_small, src.blame_lines, lasts(src), src.reviews, src.sources, *call_facts(src))
     return out.select(*CHAIN)
