@@ -119,7 +119,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, filters: int = FILTERS) ->
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_meetings(batches, meet)
 
-    found = cut(arrange(each, hot, "node", every=True).mapInPandas(scan, "a long, b long, n long"))
+    found = cut(arrange(each, hot, "node").mapInPandas(scan, "a long, b long, n long"))
     degrees = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     joined = components(found.where("a != b"), "a", "b").select("node", "component")
     facts = nodes.select("node", "copies").join(degrees, "node", "left").join(joined, "node", "left").select(

@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gitstrata.functions.scale import cut
+from gitstrata.llm.carry import as_text, restored, whole_numbers
 from gitstrata.llm.graph import components
 from gitstrata.llm.meetings import MEETING, arrange, whole_meetings
-from gitstrata.llm.sized import sized
+from gitstrata.llm.sized import settled, sized
 
 GROWTH = 1.4  # each size band ends that much above the one before
-SHORT = 4  # 64-bit words of the whole sketch
+SHORT = 8  # 64-bit words of the whole sketch
+SKETCH = [f"s{i}" for i in range(SHORT)]
 CHUNK = 512  # sets of one block value compared in one piece; larger groups are compared piece by piece
+SHARED_KEYS = 1_000_000  # pairs of numbers that are broadcast at most
 REMEMBERED = 1_000_000  # words whose hash a worker keeps
 
 U = np.uint64
@@ -100,7 +103,7 @@ class Rule:
             most = int(self.differing(2 * top))
             if most == 0:
                 continue
-            spare = 2 + most // 16
+            spare = 1 + most // 32
             blocks = most + 1 + spare
             wide = 256 if blocks <= 16 else 64
             at = ((place * U(blocks)) >> U(32)).astype(np.int64)
@@ -126,6 +129,7 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, set hash h, text hash, short sketch s0.. and block keys of every document."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()  # sets this task has given keys for: copies need none
         for batch in batches:
             n, h, short, keys = [], [], [], []
             for text in batch["text"]:
@@ -133,16 +137,34 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                 n.append(len(sets))
                 h.append(xxhash.xxh3_64_intdigest(sets.tobytes()))
                 short.append(short_sketch(sets))
-                keys.append(rule.keys(sets).view(np.int64) if len(sets) else np.zeros(0, dtype=np.int64))
+                keys.append(rule.keys(sets).view(np.int64) if len(sets) and h[-1] not in met else np.zeros(0, dtype=np.int64))
+                met.add(h[-1])
             out = batch[["doc_id", "text_hash"]].assign(n=n, h=np.asarray(h, dtype=np.uint64).view(np.int64), keys=keys)
             words = np.asarray(short).reshape(-1, SHORT)
             yield out.assign(**{f"s{i}": words[:, i] for i in range(SHORT)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbers = whole_numbers(docs, ["doc_id"])
+    rows = as_text(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id"])
+    kind = rows.schema["doc_id"].dataType.simpleString()
     shorts = ", ".join(f"s{i} long" for i in range(SHORT))
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(
-        sign, f"doc_id {kind}, text_hash long, n long, h long, keys array<long>, {shorts}"
-    )
+    signed = rows.mapInPandas(sign, f"doc_id {kind}, text_hash long, n long, h long, keys array<long>, {shorts}")
+    return restored(signed, numbers)
+
+
+def facts_of(signed: DataFrame) -> DataFrame:
+    """One narrow row per different set: h, n and the short sketch."""
+    return signed.where("n > 0").groupBy("h").agg(F.max("n").alias("n"), *[F.max(s).alias(s) for s in SKETCH])
+
+
+def likely(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches don't rule a link out; no text is read."""
+    side = lambda k: facts.select(F.col("h").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", *SKETCH)])
+    apart = F.lit(0)
+    for s in SKETCH:
+        apart = apart + F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}")))
+    most = F.floor((F.col("a_n") + F.col("b_n")) * (100 - rule.percent) / (100 + rule.percent))
+    fits = (apart <= most) & (F.abs(F.col("a_n") - F.col("b_n")) <= most)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b")
 
 
 def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -150,13 +172,16 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, rule: Rule) ->
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     one = sized(signed.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text_hash").alias("t")))
-    texts = docs.select("text", F.xxhash64("text").alias("t")).join(one, "t").dropDuplicates(["h"]).select("h", "text")
+    texts = docs.select("text", F.xxhash64("text").alias("t")).join(one, "t").select("h", "text")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()  # copies of a text have nothing to add
         for batch in batches:
-            yield pd.DataFrame({"h": batch["h"], "full": [shingles(t, rule.words).tobytes() for t in batch["text"]]})
+            new = [k not in met and not met.add(k) for k in batch["h"]]
+            rows = batch[new]
+            yield pd.DataFrame({"h": rows["h"], "full": [shingles(t, rule.words).tobytes() for t in rows["text"]]})
 
-    sets = cut(texts.mapInPandas(expand, "h long, full binary"))
+    sets = settled(texts.mapInPandas(expand, "h long, full binary").dropDuplicates(["h"]))
     sides = pairs.join(sets.toDF("a", "fa"), "a").join(sets.toDF("b", "fb"), "b")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +212,7 @@ def close_pairs(grouped: DataFrame, rule: Rule) -> DataFrame:
         h, comp, n = (rows[c].to_numpy() for c in ("h", "comp", "n"))
         part, cross = rows["part"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
         short = rows[[f"s{k}" for k in range(SHORT)]].to_numpy(dtype=np.int64).view(np.uint64)
-        a, b = [], []
+        a, b, far = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         step = 1
         here = np.flatnonzero(behind >= step)
         while len(here):
@@ -195,17 +220,20 @@ def close_pairs(grouped: DataFrame, rule: Rule) -> DataFrame:
             apart = np.bitwise_count(short[here] ^ short[there]).sum(axis=1)
             good = (comp[here] != comp[there]) & (apart <= rule.differing(n[here] + n[there]))
             good &= ~cross[here] | (part[here] != part[there])
-            a.append(h[here[good]])
-            b.append(h[there[good]])
+            a.append(here[good])
+            b.append(there[good])
+            far.append(apart[good].astype(np.int64))
             step += 1
             here = here[behind[here] >= step]
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = np.where(h[a] < h[b], a, b), np.where(h[a] < h[b], b, a)
+        found = {"a": h[a], "b": h[b], "ca": comp[a], "cb": comp[b], "apart": np.concatenate(far)}
+        return pd.DataFrame(found).drop_duplicates()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_meetings(batches, meet)
 
-    return grouped.mapInPandas(scan, "a long, b long").distinct()
+    return grouped.mapInPandas(scan, "a long, b long, ca long, cb long, apart long").distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
@@ -217,28 +245,38 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     no task holds more than two chunks, and pairs are made only where the sketches allow it.
     """
     each = signed.where("n > 0").select("h", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("key", "low")
-    members = cut(each.join(shared, "key").distinct())
+    lows = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    shared = sized(lows.where("low < high").select("key", "low"), SHARED_KEYS)
+    members = settled(each.join(shared, "key"))
     best = (
         members.where("h != low").groupBy("h", "low").agg(F.count("*").alias("times"))
         .groupBy("h").agg(F.max(F.struct("times", "low")).alias("m"))
         .select(F.least("h", "m.low").alias("a"), F.greatest("h", "m.low").alias("b")).distinct()
     )
-    tried = cut(best)
-    linked = cut(verify(docs, signed, tried, rule))
-    known = components(linked)
-    named = members.select("key", "h").join(known.select(F.col("node").alias("h"), "component"), "h", "left").select(
-        "key", "h", F.coalesce("component", "h").alias("comp")
-    )
-    named = cut(named)
+    tried = settled(best)
+    facts = cut(facts_of(signed))
+    linked = settled(verify(docs, signed, likely(tried, facts, rule), rule))
+    known = sized(components(linked).select(F.col("node").alias("h"), "component"))
+    named = members.select("key", "h").join(known, "h", "left").select("key", "h", F.coalesce("component", "h").alias("comp"))
     open_ = (
         named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
         .where("low < high").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
     )
-    facts = signed.where("n > 0").groupBy("h").agg(F.max("n").alias("n"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(SHORT)])
-    spread = arrange(named.join(facts, "h"), open_, "h")
-    more = close_pairs(spread, rule).join(tried, ["a", "b"], "left_anti")
-    return linked.union(verify(docs, signed, more, rule))
+    opened = settled(named.join(open_, "key").select("key", "h", "comp", "parts").distinct())
+    hot = sized(opened.where("parts > 1").select("key", "parts").distinct())
+    spread = arrange(opened.drop("parts").join(facts, "h"), hot, "h")
+    left = settled(close_pairs(spread, rule).join(tried, ["a", "b"], "left_anti"))
+    # Of two components the closest pair is verified first; the others only where that fails.
+    sides = [F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")]
+    closest = left.groupBy(*sides).agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b")
+    closest = cut(closest)
+    more = settled(verify(docs, signed, closest, rule))
+    now = sized(components(linked.union(more)).select("node", "component"))
+    rest = left.select("a", "b").join(closest, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        rest = rest.join(now.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    return linked.union(more).union(verify(docs, signed, rest, rule))
 
 
 def groups(docs: DataFrame, rule: Rule | None = None) -> DataFrame:

@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 MEETING = ["key", "i", "j"]
 
 
-def arrange(rows: DataFrame, parts: DataFrame, member: str, *, every: bool = False) -> DataFrame:
-    """``rows`` (key, member, ...) of the keys in ``parts`` (key, parts), once per meeting of their chunk.
+def arrange(rows: DataFrame, hot: DataFrame, member: str) -> DataFrame:
+    """``rows`` (key, member, ...) once per meeting of their chunk.
 
-    With ``every``, keys that are not in ``parts`` stay too, as one chunk each.
+    ``hot`` (key, parts) has the keys with more rows than a chunk; others are one chunk.
 
     Adds part (own chunk) and i <= j (the chunks that meet), sorted so that a meeting's rows
     are neighbours inside one partition.
     """
-    known = rows.join(parts, "key", "left" if every else "inner").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    known = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = known.withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     meeting = placed.withColumn("other", others).withColumns(

@@ -19,7 +19,7 @@ from gitstrata.llm.carry import as_text, restored, whole_numbers
 from gitstrata.llm.graph import components
 from gitstrata.llm.jaccard import known_words, mix
 from gitstrata.llm.meetings import MEETING, arrange, whole_meetings
-from gitstrata.llm.sized import sized
+from gitstrata.llm.sized import settled, sized
 
 LENGTH = 32  # words of a paragraph
 WINDOW = 20  # an anchor in every so many words: a common run of LENGTH + WINDOW - 1 words holds a common paragraph
@@ -27,6 +27,8 @@ WORDS = 5  # words of a shingle
 SIMILARITY = 0.8
 RECALL = 0.95  # of pairs at SIMILARITY
 CHUNK = 512  # paragraphs of one band value compared in one piece; larger groups piece by piece
+SHARED_KEYS = 1_000_000  # numbers that are broadcast at most
+HOLDERS = 50_000  # documents, each with the paragraphs asked of it, that are broadcast at most
 SHINGLES = LENGTH - WORDS + 1
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,49 +46,57 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 4)
 BANDS, ROWS = tune()
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each paragraph, its shingle hashes); none in texts below LENGTH words."""
-    parts = (text or "").encode("utf-8", "replace").lower().split()
-    none = np.zeros(0, dtype=np.int64), np.zeros((0, SHINGLES), dtype=np.uint64)
-    if len(parts) < LENGTH:
-        return none
-    h = np.fromiter(map(known_words().__getitem__, parts), dtype=np.uint64, count=len(parts))
-    with np.errstate(over="ignore"):
-        pair = mix(h[:-1] * _GOLD + h[1:])
-        runs = np.full(len(h) - WORDS + 1, WORDS, dtype=np.uint64)
-        for j in range(WORDS):
-            runs = mix(runs * _GOLD + h[j:j + len(runs)])
-    if len(pair) <= WINDOW:
-        at = np.asarray([int(np.argmin(pair))])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(pair, WINDOW)
-        at = np.unique(np.argmin(windows, axis=1) + np.arange(len(windows)))
-    at = at[at + LENGTH <= len(parts)]
-    if not len(at):
-        at = np.asarray([0])
-    sets = np.lib.stride_tricks.sliding_window_view(runs, SHINGLES)[at]
-    other = np.ones(len(at), dtype=bool)
-    other[1:] = (sets[1:] != sets[:-1]).any(axis=1)  # one anchor for a run of the same words
-    return at[other], sets[other]
-
-
-def hashes(sets: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(sets), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(SHINGLES):
-            out = mix(out * _GOLD + sets[:, j])
-    return out
-
-
-def band_keys(sets: np.ndarray) -> np.ndarray:
-    """One key per band and paragraph: the hashed minima of its rows."""
-    keys = np.zeros((BANDS, len(sets)), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for b in range(BANDS):
-            keys[b] = np.uint64(b)
-            for r in range(ROWS):
-                keys[b] = mix(keys[b] * _GOLD + mix(sets ^ np.uint64(1 + b * ROWS + r) * _GOLD).min(axis=1))
-    return keys
+class Paragraphs:
+    """First word, hash, band keys and shingles of a text's paragraphs; none below LENGTH words."""
+
+    def __init__(self, text: str | None) -> None:
+        parts = (text or "").encode("utf-8", "replace").lower().split()
+        self.at, self.runs, self.pair = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        if len(parts) < LENGTH:
+            return
+        h = np.fromiter(map(known_words().__getitem__, parts), dtype=np.uint64, count=len(parts))
+        self.runs = np.full(len(h) - WORDS + 1, WORDS, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            self.pair = pair = mix(h[:-1] * _GOLD + h[1:])
+            for j in range(WORDS):
+                self.runs = self.runs * _GOLD + h[j:j + len(self.runs)]
+                self.runs ^= self.runs >> np.uint64(29)
+        if len(pair) <= WINDOW:
+            at = np.asarray([int(np.argmin(pair))])
+        else:
+            low = np.argmin(np.lib.stride_tricks.sliding_window_view(pair, WINDOW), axis=1)
+            low += np.arange(len(low))
+            at = low[np.concatenate(([True], low[1:] != low[:-1]))]
+        at = at[at + LENGTH <= len(parts)]
+        self.at = at if len(at) else np.zeros(1, dtype=np.int64)
+        same = self.hashes()[1:] == self.hashes()[:-1]  # one anchor for a run of the same words
+        self.at = self.at[np.concatenate(([True], ~same))]
+
+    def hashes(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(self.runs))))
+            return mix(total[self.at + SHINGLES] - total[self.at]) if len(self.at) else np.zeros(0, dtype=np.uint64)
+
+    def keys(self) -> np.ndarray:
+        """One key per band and paragraph: its anchor and the minima of the band's rows.
+
+        Without the anchor, paragraphs that overlap in one text would collide; copies share it.
+        """
+        keys = np.zeros((BANDS, len(self.at)), dtype=np.uint64)
+        if len(self.at):
+            with np.errstate(over="ignore"):
+                for b in range(BANDS):
+                    keys[b] = mix(self.pair[self.at] + np.uint64(b))
+                    for r in range(ROWS):
+                        order = mix(self.runs ^ np.uint64(1 + b * ROWS + r) * _GOLD)
+                        lowest = np.lib.stride_tricks.sliding_window_view(order, SHINGLES)[self.at].min(axis=1)
+                        keys[b] = mix(keys[b] * _GOLD + lowest)
+        return keys
+
+    def shingles(self, which: np.ndarray) -> np.ndarray:
+        """Sorted 32-bit shingle fingerprints of the chosen paragraphs."""
+        sets = np.lib.stride_tricks.sliding_window_view(self.runs, SHINGLES)[self.at[which]]
+        return np.sort((mix(sets) >> np.uint64(32)).astype(np.uint32), axis=1)
 
 
 def place(docs: DataFrame) -> DataFrame:
@@ -94,10 +104,10 @@ def place(docs: DataFrame) -> DataFrame:
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [paragraphs(t) for t in batch["text"]]
-            keys = [band_keys(s).view(np.int64) for _, s in found]
+            found = [Paragraphs(t) for t in batch["text"]]
+            keys = [p.keys().view(np.int64) for p in found]
             yield batch[["doc_id", "text_hash"]].assign(
-                at=[a.astype(np.int32) for a, _ in found], h=[hashes(s).view(np.int64) for _, s in found],
+                at=[p.at.astype(np.int32) for p in found], h=[p.hashes().view(np.int64) for p in found],
                 **{f"k{b}": [k[b] for k in keys] for b in range(BANDS)},
             )
 
@@ -117,27 +127,39 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
         )
         each = band if each is None else each.union(band)
     # Copies of a paragraph meet nobody new: only values with different paragraphs go on.
-    shared = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("key")
-    members = cut(each.join(shared, "key").groupBy("key", "h").agg(F.min("text_hash").alias("t")))
-    holders = sized(members.select("t").distinct())
+    lows = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    shared = sized(lows.where("low < high").select("key"), SHARED_KEYS)
+    members = settled(each.join(shared, "key").groupBy("key", "h").agg(F.min("text_hash").alias("t")))
+    # Every paragraph is read from one document that holds it; a document is asked for its own only.
+    asked = sized(
+        members.groupBy("h").agg(F.min("t").alias("t")).groupBy("t").agg(F.collect_list("h").alias("asked")), HOLDERS
+    )
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()  # copies of a text have nothing to add
         for batch in batches:
-            for text in batch["text"]:
-                _, sets = paragraphs(text)
-                yield pd.DataFrame({"h": hashes(sets).view(np.int64), "full": [np.sort(s).tobytes() for s in sets]})
-
-    texts = docs.select("text", F.xxhash64("text").alias("t")).join(holders, "t").dropDuplicates(["t"]).select("text")
-    wanted = members.select("h").distinct()
-    sets = texts.mapInPandas(expand, "h long, full binary").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    parts = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+            for t, text, asked in zip(batch["t"], batch["text"], batch["asked"], strict=True):
+                if t in met:
+                    continue
+                met.add(t)
+                p = Paragraphs(text)
+                h = p.hashes().view(np.int64)
+                _, which = np.unique(h, return_index=True)
+                which = which[np.isin(h[which], asked)]
+                yield pd.DataFrame({"h": h[which], "full": [s.tobytes() for s in p.shingles(which)]})
+
+    texts = docs.select("text", F.xxhash64("text").alias("t")).join(asked, "t").select("t", "text", "asked")
+    sets = texts.mapInPandas(expand, "h long, full binary").dropDuplicates(["h"])
+    hot = sized(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(
+        "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")
+    ))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         new = (rows[MEETING] != rows[MEETING].shift()).any(axis=1).to_numpy()
         group = np.cumsum(new)
         behind = np.bincount(group)[group] - (np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))) - 1
         h, part, cross = rows["h"].to_numpy(), rows["part"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
-        full = np.stack([np.frombuffer(f, dtype=np.uint64) for f in rows["full"]])
+        full = np.stack([np.frombuffer(f, dtype=np.uint32) for f in rows["full"]])
         label = np.arange(len(rows))
         step, here = 1, np.flatnonzero(behind >= 1)
         a, b = [], []
@@ -160,7 +182,7 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_meetings(batches, meet)
 
-    together = arrange(members.select("key", "h").join(sets, "h"), parts, "h")
+    together = arrange(members.select("key", "h").join(sets, "h"), hot, "h")
     return together.mapInPandas(scan, "a long, b long").distinct()
 
 
@@ -168,11 +190,18 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Common shingles of row pairs, with multiplicity: merge the sorted rows and count equal neighbours."""
     if not len(x):
         return np.zeros(0, dtype=np.int64)
-    rank = lambda s: np.cumsum(np.concatenate([np.zeros((len(s), 1), bool), s[:, 1:] == s[:, :-1]], axis=1), axis=1).astype(np.uint64)
-    both = np.sort(np.concatenate([mix(x + rank(x)), mix(y + rank(y))], axis=1), axis=1)
+    both = np.sort(np.concatenate([_numbered(x), _numbered(y)], axis=1), axis=1)
     return (both[:, 1:] == both[:, :-1]).sum(axis=1)
 
 
+def _numbered(s: np.ndarray) -> np.ndarray:
+    """Sorted shingles, the repeats inside a row told apart."""
+    again = np.zeros(s.shape, dtype=np.uint64)
+    for j in range(1, s.shape[1]):
+        again[:, j] = np.where(s[:, j] == s[:, j - 1], again[:, j - 1] + 1, 0)
+    return (s.astype(np.uint64) << np.uint64(8)) | again
+
+
 def _flood(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Give every row the smallest row it is linked to, over any number of links."""
     while len(a):
@@ -194,7 +223,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     and short texts have no passages; rows equal in doc_id and text are one document.
     """
     placed = cut(place(docs))
-    joined = cut(components(cut(linked(docs, placed)))).select(F.col("node").alias("h"), "component")
+    joined = settled(components(settled(linked(docs, placed)))).select(F.col("node").alias("h"), "component")
     each = placed.select("doc_id", "text_hash", F.explode(F.arrays_zip("at", "h")).alias("p")).select(
         "doc_id", "text_hash", F.col("p.at").alias("at"), F.col("p.h").alias("h")
     )
@@ -202,7 +231,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = known.join(joined, "h", "left").where("times > 1 or component is not null").select(
         "h", F.coalesce("component", "h").alias("class_id")
     )
-    found = cut(each.join(several, "h").select("doc_id", "text_hash", "at", "class_id").distinct())
+    found = settled(each.join(several, "h").select("doc_id", "text_hash", "at", "class_id").distinct())
     spot = F.struct("doc_id", "text_hash", "at")
     doc = F.struct("doc_id", "text_hash")
     firsts = found.groupBy("class_id").agg(

@@ -1,7 +1,9 @@
-"""Broadcasts behind a check of their size."""
+"""Broadcasts behind a check of their size, and disk given back early."""
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,19 @@ from gitstrata.functions.scale import cut
 BROADCAST_ROWS = 100_000  # narrow rows sent to every task at most; more are joined by shuffle
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written once; shuffle files that only its making needed may then be removed.
+
+    Spark removes them when the driver's garbage is collected, which by itself may be long
+    after the last reader.
+    """
+    kept = cut(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return kept
+
+
 def sized(narrow: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``narrow``, written once, and marked for broadcast where its counted rows allow it."""
-    kept = cut(narrow)
+    kept = settled(narrow)
     return F.broadcast(kept) if kept.count() <= most else kept

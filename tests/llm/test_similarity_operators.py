@@ -158,6 +158,16 @@ def test_bit_parallel_distance(spark, edits):
     assert all(r.w == (distance(r.p, r.t) <= edits) for r in got)
 
 
+def test_edits_beyond_a_long_equal_start(spark):
+    base = prose(3, 20)[:128]
+    rows = [(base[:n] + a, base[:n] + b) for n in (31, 32, 33, 64, 128) for a, b in [("", "x"), ("x", ""), ("x", "y"), ("xy", "zw"), ("ab", "b"), ("", "xy")]]
+    df = spark.createDataFrame(rows, "p string, t string").withColumn("skip", lines.same_start(F.col("p"), F.col("t")))
+    rest = [F.expr(f"substring({c}, skip + 1, length({c}))").alias(c) for c in "pt"]
+    cut = df.select(F.col("p").alias("whole_p"), F.col("t").alias("whole_t"), *rest).where("abs(length(p) - length(t)) <= 1")
+    for r in cut.withColumns({"w": lines.within(F.col("p"), F.col("t"), 1), "v": lines.within(F.col("p"), F.col("t"), 1, 64)}).collect():
+        assert r.w == (distance(r.whole_p, r.whole_t) <= 1) and (r.v or not r.w)
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_repeated_lines_equal_brute_force(spark, edits):
     rng = random.Random(edits + 10)
@@ -270,7 +280,9 @@ def test_passages_stand_odd_rows(spark):
 def test_meetings_bring_every_two_rows_together_once(spark):
     rows = spark.createDataFrame([(1, i) for i in range(50)], "key long, h long")
     parts = spark.createDataFrame([(1, 6)], "key long, parts int")
-    got = meetings.arrange(rows, parts, "h").toPandas()
+    got = meetings.arrange(rows.union(spark.createDataFrame([(2, 1)], "key long, h long")), parts, "h").toPandas()
+    assert len(got[got.key == 2]) == 1
+    got = got[got.key == 1]
     met = Counter()
     for (_, i, j), g in got.groupby(["key", "i", "j"]):
         m = list(zip(g.h, g.part, strict=True))
