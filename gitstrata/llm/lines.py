@@ -16,6 +16,7 @@ from gitstrata.llm.sized import sized
 
 EDITS = 1
 LEAST_CHARS = 24  # shorter lines are repeats only when equal
+STEP = 32  # an equal start is skipped in steps of so many characters
 LETTERS = "eant"  # counted per line; one edit moves two counts by one
 
 DOC = ["doc_id", "text_hash"]
@@ -70,17 +71,21 @@ def count_gap(a: Column, b: Column) -> Column:
     return gap
 
 
-def within(p: Column, t: Column, edits: int) -> Column:
+def within(p: Column, t: Column, edits: int, most: int | None = None) -> Column:
     """Whether two strings, at most ``edits`` apart in length, are within ``edits`` edits.
 
+    With ``most`` only so many characters are compared: false is then certain, as costs never
+    fall along a diagonal, and true is not.
+
     The band of 2 * edits + 1 diagonals is one small bit vector; a step over a character of
     ``t`` takes a few integer operations (vp/vn: vertical steps up/down, d0: diagonal without
     cost).  The distance is read along the diagonal that ends in the last cell.
     """
     width, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
     pad = F.array_repeat(F.lit(""), edits)
-    rows = F.concat(pad, F.split(p, ""), pad)
-    cols = F.split(t, "")
+    rows = F.concat(pad, F.split(p if most is None else F.substring(p, 1, most + edits), ""), pad)
+    cols = F.split(t if most is None else F.substring(t, 1, most), "")
+    length = F.length(t) if most is None else F.least(F.length(t), F.lit(most))
     skew = F.length(p) - F.length(t)
     inv = lambda x: x.bitwiseXOR(F.lit(full))
     start = F.struct(
@@ -106,11 +111,19 @@ def within(p: Column, t: Column, edits: int) -> Column:
         ))
 
     # Every diagonal's characters are laid beside the columns once, not looked up in each step.
-    beside = F.arrays_zip(cols.alias("c"), *[F.slice(rows, 1 + i, F.length(t)).alias(f"r{i}") for i in range(width)])
+    beside = F.arrays_zip(F.slice(cols, 1, length).alias("c"), *[F.slice(rows, 1 + i, length).alias(f"r{i}") for i in range(width)])
     steps = F.transform(beside, lambda x, j: F.struct(j.alias("j"), matches(x).alias("eq")))
     return F.aggregate(steps, start, advance, lambda s: s["far"]) <= edits
 
 
+def same_start(p: Column, t: Column) -> Column:
+    """Characters at the start that are equal in both, in whole steps of ``STEP``."""
+    steps = F.sequence(F.lit(0), F.floor(F.least(F.length(p), F.length(t)) / STEP).cast("int"))
+    equal = F.transform(steps, lambda i: F.substring(p, i * STEP + 1, F.lit(STEP)) == F.substring(t, i * STEP + 1, F.lit(STEP)))
+    differs = F.array_position(equal, False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(equal) - 1).cast("int") * STEP
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line with visible text: document, place, hashes, and the line itself."""
     return (
@@ -180,7 +193,12 @@ def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = pairs.join(texts.toDF("a", "p"), "a").join(texts.toDF("b", "t"), "b").repartition(tasks, "a", "b")
     close = F.abs(F.length("p") - F.length("t")) <= edits
-    links = sides.where(F.when(close, within(F.col("p"), F.col("t"), edits)).otherwise(F.lit(False))).select("a", "b")
+    # What stands equal at the start changes no distance; most others differ soon after it.
+    told = sides.where(close).withColumn("skip", same_start(F.col("p"), F.col("t")))
+    rest = lambda c: F.substring(F.col(c), F.col("skip") + 1, F.length(c))
+    told = told.select("a", "b", rest("p").alias("p"), rest("t").alias("t"))
+    likely = told.where(within(F.col("p"), F.col("t"), edits, 2 * STEP))
+    links = likely.where(within(F.col("p"), F.col("t"), edits)).select("a", "b")
     classes = components(links).select(F.col("node").alias("h1"), "component")
     classed = lines.select("h1", "h2", "place", "times").join(classes, "h1", "left")
     shared = classed.where("times > 1 or component is not null").withColumn("class", F.coalesce("component", "h1"))
