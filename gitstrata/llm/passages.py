@@ -27,9 +27,9 @@ WORDS = 5  # words of a shingle
 SIMILARITY = 0.8
 RECALL = 0.95  # of pairs at SIMILARITY
 CHUNK = 512  # paragraphs of one band value compared in one piece; larger groups piece by piece
-SHARED_KEYS = 1_000_000  # numbers that are broadcast at most
-HOLDERS = 50_000  # documents, each with the paragraphs asked of it, that are broadcast at most
+HOLDERS = 200_000  # documents, each with the paragraphs asked of it, that are broadcast at most
 SHINGLES = LENGTH - WORDS + 1
+DIFFERING = int(2 * SHINGLES * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)  # shingles in which similar paragraphs differ at most
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +128,7 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
         each = band if each is None else each.union(band)
     # Copies of a paragraph meet nobody new: only values with different paragraphs go on.
     lows = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    shared = sized(lows.where("low < high").select("key"), SHARED_KEYS)
+    shared = settled(lows.where("low < high").select("key"))
     members = settled(each.join(shared, "key").groupBy("key", "h").agg(F.min("text_hash").alias("t")))
     # Every paragraph is read from one document that holds it; a document is asked for its own only.
     asked = sized(
@@ -160,13 +160,15 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
         behind = np.bincount(group)[group] - (np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))) - 1
         h, part, cross = rows["h"].to_numpy(), rows["part"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
         full = np.stack([np.frombuffer(f, dtype=np.uint32) for f in rows["full"]])
+        parity = _parity(full)
         label = np.arange(len(rows))
         step, here = 1, np.flatnonzero(behind >= 1)
         a, b = [], []
         while len(here):
             for at in np.array_split(here, max(1, len(here) // 20_000)):
                 there = at + step
-                test = ~cross[at] | (part[at] != part[there])
+                apart = np.bitwise_count(parity[at] ^ parity[there]).sum(axis=1)
+                test = (apart <= DIFFERING) & (~cross[at] | (part[at] != part[there]))
                 at, there = at[test], there[test]
                 common = _common(full[at], full[there])
                 good = common >= SIMILARITY * (2 * SHINGLES - common)
@@ -186,6 +188,15 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
     return together.mapInPandas(scan, "a long, b long").distinct()
 
 
+def _parity(sets: np.ndarray) -> np.ndarray:
+    """128-bit parity sketches: two are at most as far apart as their sets."""
+    bits = np.zeros((len(sets), 2), dtype=np.uint64)
+    for j in range(sets.shape[1]):
+        word = ((sets[:, j] >> np.uint32(6)) & np.uint32(1)).astype(np.int64)
+        bits[np.arange(len(sets)), word] ^= np.uint64(1) << (sets[:, j] & np.uint32(63)).astype(np.uint64)
+    return bits
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Common shingles of row pairs, with multiplicity: merge the sorted rows and count equal neighbours."""
     if not len(x):
