@@ -29,7 +29,6 @@ GROWTH = 1.4  # each size band ends that much above the one before
 SHORT = 8  # 64-bit words of the whole sketch
 SKETCH = [f"s{i}" for i in range(SHORT)]
 CHUNK = 512  # sets of one block value compared in one piece; larger groups are compared piece by piece
-SHARED_KEYS = 1_000_000  # pairs of numbers that are broadcast at most
 REMEMBERED = 1_000_000  # words whose hash a worker keeps
 
 U = np.uint64
@@ -196,12 +195,13 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, rule: Rule) ->
     return sides.select("a", "b", "fa", "fb").mapInPandas(compare, "a long, b long")
 
 
-def close_pairs(grouped: DataFrame, rule: Rule) -> DataFrame:
+def close_pairs(grouped: DataFrame, rule: Rule, *, closest: bool) -> DataFrame:
     """Pairs of one block value in different components whose short sketches may be close enough.
 
     ``grouped``: key, h, comp, n, s0.., part (chunk of the set in a group) and i, j (the two
     chunks that meet).  Rows of a meeting are neighbours after sorting; each is compared with
-    the ones after it, all meetings of a batch at once.
+    the ones after it, all meetings of a batch at once.  With ``closest``, two components
+    give one pair only, the closest, so a group of near copies gives few.
     """
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         new = (rows[MEETING] != rows[MEETING].shift()).any(axis=1).to_numpy()
@@ -228,7 +228,11 @@ def close_pairs(grouped: DataFrame, rule: Rule) -> DataFrame:
         a, b = np.concatenate(a), np.concatenate(b)
         a, b = np.where(h[a] < h[b], a, b), np.where(h[a] < h[b], b, a)
         found = {"a": h[a], "b": h[b], "ca": comp[a], "cb": comp[b], "apart": np.concatenate(far)}
-        return pd.DataFrame(found).drop_duplicates()
+        pairs = pd.DataFrame(found).drop_duplicates()
+        if closest:
+            low, high = np.minimum(pairs["ca"], pairs["cb"]), np.maximum(pairs["ca"], pairs["cb"])
+            pairs = pairs.assign(low=low, high=high).sort_values("apart").drop_duplicates(["low", "high"])
+        return pairs[["a", "b", "ca", "cb", "apart"]]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_meetings(batches, meet)
@@ -246,7 +250,7 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """
     each = signed.where("n > 0").select("h", F.explode("keys").alias("key"))
     lows = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    shared = sized(lows.where("low < high").select("key", "low"), SHARED_KEYS)
+    shared = settled(lows.where("low < high").select("key", "low"))
     members = settled(each.join(shared, "key"))
     best = (
         members.where("h != low").groupBy("h", "low").agg(F.count("*").alias("times"))
@@ -265,17 +269,17 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     opened = settled(named.join(open_, "key").select("key", "h", "comp", "parts").distinct())
     hot = sized(opened.where("parts > 1").select("key", "parts").distinct())
     spread = arrange(opened.drop("parts").join(facts, "h"), hot, "h")
-    left = settled(close_pairs(spread, rule).join(tried, ["a", "b"], "left_anti"))
-    # Of two components the closest pair is verified first; the others only where that fails.
+    # Of two components the closest pair is verified first; all others only where they stay apart.
     sides = [F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")]
-    closest = left.groupBy(*sides).agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b")
-    closest = cut(closest)
+    near = close_pairs(spread, rule, closest=True).groupBy(*sides).agg(F.min(F.struct("apart", "a", "b")).alias("m"))
+    closest = settled(near.select("m.a", "m.b").join(tried, ["a", "b"], "left_anti"))
     more = settled(verify(docs, signed, closest, rule))
-    now = sized(components(linked.union(more)).select("node", "component"))
-    rest = left.select("a", "b").join(closest, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(now.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
-    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    now = sized(components(linked.union(more)).select(F.col("node").alias("h"), "component"))
+    again = opened.select("key", "h").join(now, "h", "left").select("key", "h", F.coalesce("component", "h").alias("comp"))
+    apart = again.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    again = settled(again.join(apart, "key"))
+    rest = close_pairs(arrange(again.join(facts, "h"), hot, "h"), rule, closest=False).select("a", "b").distinct()
+    rest = rest.join(tried.union(closest), ["a", "b"], "left_anti")
     return linked.union(more).union(verify(docs, signed, rest, rule))
 
 
