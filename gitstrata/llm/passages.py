@@ -1,8 +1,10 @@
-"""Repeated passages: anchored paragraphs, MinHash bands, exact check, components.
+"""Repeated passages: anchored and whole paragraphs, MinHash bands, exact check, components.
 
-A paragraph is a run of words that starts at an anchor, a word pair with the smallest hash
-of some window.  Where the same passage stands in two documents, the same anchors are found
-in it whatever surrounds it, so paragraphs align without any layout.
+An anchored paragraph is a run of words that starts at an anchor, a word pair with the
+smallest hash of some window.  Where the same passage stands in two documents, the same
+anchors are found in it whatever surrounds it, so paragraphs align without any layout.  It
+is short, so few changed words part it; whole paragraphs (lines, blocks between blank lines,
+short texts) are compared as they stand, and find near copies.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ SIMILARITY = 0.8
 RECALL = 0.95  # of pairs at SIMILARITY
 CHUNK = 512  # paragraphs of one band value compared in one piece; larger groups piece by piece
 HOLDERS = 200_000  # documents, each with the paragraphs asked of it, that are broadcast at most
+ELEMENTS = 2_000_000  # shingles of pairs compared at once
 SHINGLES = LENGTH - WORDS + 1
-DIFFERING = int(2 * SHINGLES * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)  # shingles in which similar paragraphs differ at most
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_WHOLE = np.uint64(0xC2B2AE3D27D4EB4F)  # keeps hashes and keys of whole paragraphs apart
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 4) -> tuple[int, int]:
@@ -44,85 +47,134 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 4)
 
 
 BANDS, ROWS = tune()
+WHOLE_BANDS, WHOLE_ROWS = tune(most=6)  # no anchor in the key, so more rows; never fewer bands than BANDS
+
+
+def layout(lines: list[int]) -> list[tuple[int, int]]:
+    """(first word, words) of the whole paragraphs of a text, from the words of its lines.
+
+    A text below LENGTH words is one; others have their lines, and blocks of several lines
+    where blank lines part them.  With fewer than WORDS words there is no shingle to compare.
+    """
+    ends = np.cumsum(lines).tolist()
+    if not ends or ends[-1] < LENGTH:
+        return [(0, ends[-1])] if ends and ends[-1] >= WORDS else []
+    found = [(e - n, n) for n, e in zip(lines, ends, strict=True)]
+    filled = [i for i, n in enumerate(lines) if n]
+    if filled[-1] - filled[0] + 1 > len(filled):
+        first = filled[0]
+        for i, then in zip(filled, [*filled[1:], -1], strict=True):
+            if then != i + 1:
+                found.append((ends[first] - lines[first], ends[i] - ends[first] + lines[first]))
+                first = then
+    return [(at, n) for at, n in dict.fromkeys(found) if n >= WORDS]
 
 
 class Paragraphs:
-    """First word, hash, band keys and shingles of a text's paragraphs; none below LENGTH words."""
+    """First word, words, hash, band keys and shingles of a text's paragraphs: anchored ones, then whole ones."""
 
     def __init__(self, text: str | None) -> None:
-        parts = (text or "").encode("utf-8", "replace").lower().split()
-        self.at, self.runs, self.pair = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-        if len(parts) < LENGTH:
-            return
-        h = np.fromiter(map(known_words().__getitem__, parts), dtype=np.uint64, count=len(parts))
-        self.runs = np.full(len(h) - WORDS + 1, WORDS, dtype=np.uint64)
+        lines = [line.split() for line in (text or "").encode("utf-8", "replace").lower().split(b"\n")]
+        parts = [word for line in lines for word in line]
+        whole = layout([len(line) for line in lines])
+        self.runs, self.pair, anchored = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        if len(parts) >= WORDS:
+            h = np.fromiter(map(known_words().__getitem__, parts), dtype=np.uint64, count=len(parts))
+            self.runs = np.full(len(h) - WORDS + 1, WORDS, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                self.pair = mix(h[:-1] * _GOLD + h[1:])
+                for j in range(WORDS):
+                    self.runs = self.runs * _GOLD + h[j:j + len(self.runs)]
+                    self.runs ^= self.runs >> np.uint64(29)
         with np.errstate(over="ignore"):
-            self.pair = pair = mix(h[:-1] * _GOLD + h[1:])
-            for j in range(WORDS):
-                self.runs = self.runs * _GOLD + h[j:j + len(self.runs)]
-                self.runs ^= self.runs >> np.uint64(29)
-        if len(pair) <= WINDOW:
-            at = np.asarray([int(np.argmin(pair))])
+            self.total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(self.runs))))
+        if len(parts) >= LENGTH:
+            anchored = self._anchored(len(parts))
+        self.anchors = len(anchored)
+        self.at = np.concatenate((anchored, np.asarray([at for at, _ in whole], dtype=np.int64)))
+        self.words = np.concatenate((np.full(len(anchored), LENGTH), np.asarray([n for _, n in whole], dtype=np.int64)))
+
+    def _anchored(self, n: int) -> np.ndarray:
+        if len(self.pair) <= WINDOW:
+            at = np.asarray([int(np.argmin(self.pair))])
         else:
-            low = np.argmin(np.lib.stride_tricks.sliding_window_view(pair, WINDOW), axis=1)
+            low = np.argmin(np.lib.stride_tricks.sliding_window_view(self.pair, WINDOW), axis=1)
             low += np.arange(len(low))
             at = low[np.concatenate(([True], low[1:] != low[:-1]))]
-        at = at[at + LENGTH <= len(parts)]
-        self.at = at if len(at) else np.zeros(1, dtype=np.int64)
-        same = self.hashes()[1:] == self.hashes()[:-1]  # one anchor for a run of the same words
-        self.at = self.at[np.concatenate(([True], ~same))]
+        at = at[at + LENGTH <= n]
+        at = at if len(at) else np.zeros(1, dtype=np.int64)
+        sums = self.total[at + SHINGLES] - self.total[at]
+        return at[np.concatenate(([True], sums[1:] != sums[:-1]))]  # one anchor for a run of the same words
 
     def hashes(self) -> np.ndarray:
         with np.errstate(over="ignore"):
-            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(self.runs))))
-            return mix(total[self.at + SHINGLES] - total[self.at]) if len(self.at) else np.zeros(0, dtype=np.uint64)
+            h = mix(self.total[self.at + self.words - WORDS + 1] - self.total[self.at])
+            h[self.anchors:] = mix(h[self.anchors:] + _WHOLE)
+        return h
 
-    def keys(self) -> np.ndarray:
-        """One key per band and paragraph: its anchor and the minima of the band's rows.
+    def keys(self) -> list[np.ndarray]:
+        """Per band one key per paragraph: minima of the band's rows, with the anchor of anchored ones.
 
         Without the anchor, paragraphs that overlap in one text would collide; copies share it.
+        Bands beyond BANDS have whole paragraphs only.
         """
-        keys = np.zeros((BANDS, len(self.at)), dtype=np.uint64)
-        if len(self.at):
-            with np.errstate(over="ignore"):
-                for b in range(BANDS):
-                    keys[b] = mix(self.pair[self.at] + np.uint64(b))
+        anchored, whole = self.at[:self.anchors], self.at[self.anchors:]
+        ends = whole + self.words[self.anchors:] - WORDS + 1
+        made = []
+        with np.errstate(over="ignore"):
+            for b in range(WHOLE_BANDS):
+                key = np.zeros(0, dtype=np.uint64)
+                if b < BANDS and len(anchored):
+                    key = mix(self.pair[anchored] + np.uint64(b))
                     for r in range(ROWS):
-                        order = mix(self.runs ^ np.uint64(1 + b * ROWS + r) * _GOLD)
-                        lowest = np.lib.stride_tricks.sliding_window_view(order, SHINGLES)[self.at].min(axis=1)
-                        keys[b] = mix(keys[b] * _GOLD + lowest)
-        return keys
-
-    def shingles(self, which: np.ndarray) -> np.ndarray:
-        """Sorted 32-bit shingle fingerprints of the chosen paragraphs."""
-        sets = np.lib.stride_tricks.sliding_window_view(self.runs, SHINGLES)[self.at[which]]
-        return np.sort((mix(sets) >> np.uint64(32)).astype(np.uint32), axis=1)
+                        lows = np.lib.stride_tricks.sliding_window_view(self._order(b * ROWS + r), SHINGLES)[anchored].min(axis=1)
+                        key = mix(key * _GOLD + lows)
+                rest = np.full(len(whole), _WHOLE + np.uint64(b))
+                if len(whole):
+                    for r in range(WHOLE_ROWS):
+                        order = np.append(self._order(b * WHOLE_ROWS + r), np.uint64(0))  # so that a last end is a place too
+                        rest = mix(rest * _GOLD + np.minimum.reduceat(order, np.stack((whole, ends), axis=1).ravel())[::2])
+                made.append(np.concatenate((key, rest)))
+        return made
+
+    def _order(self, number: int) -> np.ndarray:
+        return mix(self.runs ^ np.uint64(1 + number) * _GOLD)
+
+    def shingles(self, which: np.ndarray) -> list[np.ndarray]:
+        """Sorted 32-bit shingle fingerprints of the chosen paragraphs; of whole ones each once."""
+        made = []
+        for i in which:
+            part = (mix(self.runs[self.at[i]:self.at[i] + self.words[i] - WORDS + 1]) >> np.uint64(32)).astype(np.uint32)
+            made.append(np.sort(part) if i < self.anchors else np.unique(part))
+        return made
 
 
 def place(docs: DataFrame) -> DataFrame:
-    """Per document: first words, hashes and band keys of its paragraphs."""
+    """Per document: first words, words, hashes and band keys of its paragraphs."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [Paragraphs(t) for t in batch["text"]]
-            keys = [p.keys().view(np.int64) for p in found]
+            keys = [[k.view(np.int64) for k in p.keys()] for p in found]
             yield batch[["doc_id", "text_hash"]].assign(
-                at=[p.at.astype(np.int32) for p in found], h=[p.hashes().view(np.int64) for p in found],
-                **{f"k{b}": [k[b] for k in keys] for b in range(BANDS)},
+                at=[p.at.astype(np.int32) for p in found], words=[p.words.astype(np.int32) for p in found], h=[p.hashes().view(np.int64) for p in found],
+                **{f"k{b}": [k[b] for k in keys] for b in range(WHOLE_BANDS)},
             )
 
     numbers = whole_numbers(docs, ["doc_id"])
     rows = as_text(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id"])
     kind = rows.schema["doc_id"].dataType.simpleString()
-    keys = ", ".join(f"k{b} array<long>" for b in range(BANDS))
-    return restored(rows.mapInPandas(cut_up, f"doc_id {kind}, text_hash long, at array<int>, h array<long>, {keys}"), numbers)
+    keys = ", ".join(f"k{b} array<long>" for b in range(WHOLE_BANDS))
+    return restored(rows.mapInPandas(cut_up, f"doc_id {kind}, text_hash long, at array<int>, words array<int>, h array<long>, {keys}"), numbers)
 
 
 def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """Links (a, b) between hashes of different paragraphs that are similar enough."""
     each = None
-    for b in range(BANDS):
-        band = placed.select("text_hash", F.explode(F.arrays_zip(F.col("h"), F.col(f"k{b}").alias("key"))).alias("p")).select(
+    for b in range(WHOLE_BANDS):
+        n = F.size(f"k{b}")
+        mine = F.slice("h", F.size("h") - n + 1, n).alias("h")  # the last ones, where a band has no anchored paragraphs
+        band = placed.select("text_hash", F.explode(F.arrays_zip(mine, F.col(f"k{b}").alias("key"))).alias("p")).select(
             "text_hash", F.col("p.h").alias("h"), F.col("p.key").alias("key")
         )
         each = band if each is None else each.union(band)
@@ -159,7 +211,9 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
         group = np.cumsum(new)
         behind = np.bincount(group)[group] - (np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))) - 1
         h, part, cross = rows["h"].to_numpy(), rows["part"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
-        full = np.stack([np.frombuffer(f, dtype=np.uint32) for f in rows["full"]])
+        full = [np.frombuffer(f, dtype=np.uint32) for f in rows["full"]]
+        sizes = np.asarray([len(f) for f in full])
+        first, flat = np.cumsum(sizes) - sizes, _numbered(full)
         parity = _parity(full)
         label = np.arange(len(rows))
         step, here = 1, np.flatnonzero(behind >= 1)
@@ -167,13 +221,19 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
         while len(here):
             for at in np.array_split(here, max(1, len(here) // 20_000)):
                 there = at + step
+                both = sizes[at] + sizes[there]
                 apart = np.bitwise_count(parity[at] ^ parity[there]).sum(axis=1)
-                test = (apart <= DIFFERING) & (~cross[at] | (part[at] != part[there]))
-                at, there = at[test], there[test]
-                common = _common(full[at], full[there])
-                good = common >= SIMILARITY * (2 * SHINGLES - common)
-                a.append(at[good])
-                b.append(there[good])
+                test = apart <= both * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+                test &= np.minimum(sizes[at], sizes[there]) >= SIMILARITY * np.maximum(sizes[at], sizes[there])
+                test &= ~cross[at] | (part[at] != part[there])
+                at, there, both = at[test], there[test], both[test]
+                piece = np.cumsum(both) // ELEMENTS
+                for k in np.unique(piece):
+                    x, y = at[piece == k], there[piece == k]
+                    common = _common(flat, first, sizes, x, y)
+                    good = common >= SIMILARITY * (sizes[x] + sizes[y] - common)
+                    a.append(x[good])
+                    b.append(y[good])
             step += 1
             here = here[behind[here] >= step]
         if a:
@@ -188,29 +248,37 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
     return together.mapInPandas(scan, "a long, b long").distinct()
 
 
-def _parity(sets: np.ndarray) -> np.ndarray:
+def _parity(sets: list[np.ndarray]) -> np.ndarray:
     """128-bit parity sketches: two are at most as far apart as their sets."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place, times = np.unique(owner * 128 + (flat & np.uint32(127)), return_counts=True)
+    place = place[times % 2 == 1]
     bits = np.zeros((len(sets), 2), dtype=np.uint64)
-    for j in range(sets.shape[1]):
-        word = ((sets[:, j] >> np.uint32(6)) & np.uint32(1)).astype(np.int64)
-        bits[np.arange(len(sets)), word] ^= np.uint64(1) << (sets[:, j] & np.uint32(63)).astype(np.uint64)
+    np.bitwise_or.at(bits, (place // 128, place // 64 % 2), np.uint64(1) << (place % 64).astype(np.uint64))
     return bits
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Common shingles of row pairs, with multiplicity: merge the sorted rows and count equal neighbours."""
-    if not len(x):
-        return np.zeros(0, dtype=np.int64)
-    both = np.sort(np.concatenate([_numbered(x), _numbered(y)], axis=1), axis=1)
-    return (both[:, 1:] == both[:, :-1]).sum(axis=1)
+def _common(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Common shingles of row pairs: sort those of both, pair by pair, and count equal neighbours."""
+    rows, pair = np.concatenate((x, y)), np.tile(np.arange(len(x)), 2)
+    n = sizes[rows]
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    owner = np.repeat(pair, n).astype(np.uint64)
+    both = np.sort((owner << np.uint64(38)) | flat[np.repeat(first[rows], n) + within])
+    same = both[1:] == both[:-1]
+    return np.bincount((both[1:][same] >> np.uint64(38)).astype(np.int64), minlength=len(x))
 
 
-def _numbered(s: np.ndarray) -> np.ndarray:
-    """Sorted shingles, the repeats inside a row told apart."""
-    again = np.zeros(s.shape, dtype=np.uint64)
-    for j in range(1, s.shape[1]):
-        again[:, j] = np.where(s[:, j] == s[:, j - 1], again[:, j - 1] + 1, 0)
-    return (s.astype(np.uint64) << np.uint64(8)) | again
+def _numbered(sets: list[np.ndarray]) -> np.ndarray:
+    """Shingles of all rows on end, the repeats inside a row told apart; anchored rows alone have some."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint32)
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[np.cumsum([0, *[len(s) for s in sets[:-1]]])] = True
+    at = np.arange(len(flat))
+    again = at - np.maximum.accumulate(np.where(new, at, 0))
+    return (flat.astype(np.uint64) << np.uint64(6)) | again.astype(np.uint64)
 
 
 def _flood(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -230,31 +298,33 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     Paragraphs that are equal or linked are a class; its first place by doc_id, text and word
     stays (kept), the others are repeats.  Overlapping paragraphs of one document with the
-    same fate are one passage, named by its smallest class.  Places count words.  Null, empty
-    and short texts have no passages; rows equal in doc_id and text are one document.
+    same fate are one passage, named by its smallest class.  Places count words.  Null and
+    empty texts, and texts below WORDS words, have no passages; rows equal in doc_id and text are one document.
     """
     placed = cut(place(docs))
     joined = settled(components(settled(linked(docs, placed)))).select(F.col("node").alias("h"), "component")
-    each = placed.select("doc_id", "text_hash", F.explode(F.arrays_zip("at", "h")).alias("p")).select(
-        "doc_id", "text_hash", F.col("p.at").alias("at"), F.col("p.h").alias("h")
+    each = placed.select("doc_id", "text_hash", F.explode(F.arrays_zip("at", "words", "h")).alias("p")).select(
+        "doc_id", "text_hash", "p.at", "p.words", "p.h"
     )
     known = each.groupBy("h").agg(F.count("*").alias("times"))
     several = known.join(joined, "h", "left").where("times > 1 or component is not null").select(
         "h", F.coalesce("component", "h").alias("class_id")
     )
-    found = settled(each.join(several, "h").select("doc_id", "text_hash", "at", "class_id").distinct())
-    spot = F.struct("doc_id", "text_hash", "at")
+    found = settled(each.join(several, "h").select("doc_id", "text_hash", "at", "words", "class_id").distinct())
+    spot = F.struct("doc_id", "text_hash", "at", (-F.col("words")).alias("less"))
     doc = F.struct("doc_id", "text_hash")
     firsts = found.groupBy("class_id").agg(
         F.min(spot).alias("first"), F.min(doc).alias("low"), F.max(doc).alias("high")
     ).where(~F.col("low").eqNullSafe(F.col("high")))
+    # A line and its block may be one class: what overlaps the first place is kept with it.
+    here = doc.eqNullSafe(F.struct("first.doc_id", "first.text_hash")) & (F.col("at") < F.col("first.at") - F.col("first.less"))
     marked = found.join(firsts, "class_id").select(
-        "doc_id", "text_hash", "at", "class_id", F.col("first.doc_id").alias("first_doc_id"), spot.eqNullSafe(F.col("first")).alias("kept")
+        "doc_id", "text_hash", "at", "words", "class_id", F.col("first.doc_id").alias("first_doc_id"), here.alias("kept")
     )
     ahead = Window.partitionBy("doc_id", "text_hash", "kept").orderBy("at")
-    last = F.max(F.col("at") + LENGTH).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max(F.col("at") + F.col("words")).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
     islands = marked.withColumn("new", F.when(F.col("at") <= last, 0).otherwise(1)).withColumn("island", F.sum("new").over(ahead))
     return islands.groupBy("doc_id", "text_hash", "kept", "island").agg(
-        F.min("at").alias("start"), (F.max("at") + LENGTH - F.min("at")).alias("n_words"),
+        F.min("at").alias("start"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("n_words"),
         F.min("class_id").alias("class_id"), F.min("first_doc_id").alias("first_doc_id"),
     ).select("doc_id", "text_hash", "start", "n_words", "class_id", "first_doc_id", "kept")

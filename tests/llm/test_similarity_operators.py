@@ -271,6 +271,32 @@ def test_shared_passages_are_found_whatever_surrounds_them(spark, monkeypatch):
     assert (got.n_words >= passages.LENGTH).all()
 
 
+def test_whole_paragraphs_with_changed_words_are_found(spark):
+    rng, texts, pairs, rest = random.Random(12), [], [], iter(range(2000, 9000))
+    for i in range(120):
+        size, sep = rng.randrange(60, 101), "\n" if i % 2 else "\n\n"
+        words = prose(next(rest), size).split()
+        near = list(words)
+        for at in rng.sample(range(5, size - 5), 1 if size < 96 or i % 3 else 2):
+            near[at] = "changed"
+        # Every second one stands as a wrapped block between blank lines.
+        wrapped = lambda w: " ".join(w) if i % 2 else " ".join(w[:9]) + "\n" + " ".join(w[9:])  # noqa: B023, E731
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [f"{prose(next(rest), 40)}{sep}{wrapped(w)}{sep}{prose(next(rest), 40)}" for w in (words, near)]
+    short = prose(next(rest), 31).split()
+    pairs.append((len(texts), len(texts) + 1))
+    texts += [" ".join(short), " ".join([*short[:-1], "changed"])]
+    got = {(r.doc_id, r.first_doc_id, r.kept) for r in passages.repeats(frame(spark, texts)).collect()}
+    assert len({p for p in pairs if (p[1], p[0], False) in got}) >= 0.95 * len(pairs) and (240, 240, True) in got
+    assert all(d // 2 == f // 2 for d, f, _ in got)
+
+
+def test_a_line_is_no_repeat_of_its_own_block(spark):
+    line = prose(77, 60)
+    got = passages.repeats(frame(spark, [f"five words of a heading\n{line}\n\n{prose(78, 40)}", line])).collect()
+    assert {(r.doc_id, r.kept) for r in got} == {(0, True), (1, False)}
+
+
 def test_passages_stand_odd_rows(spark):
     got = passages.repeats(odd(spark)).toPandas()
     assert set(got.doc_id) == {4, 5} and set(got[got.kept].doc_id) == {4}
