@@ -17,15 +17,16 @@ BASE = {
 VALUE = r"(?i)^(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
 LEAST_VALUE = 12
 
-# Weak parts of a credential: none is reported alone.
+# Weak parts of a credential: none is reported alone.  Runs are possessive and unbounded, so that
+# a match is whole and linear; a key may follow "=" and must mix its characters (MIXED).
 WEAK = {
     "id_part": r"(?i)(?<![A-Za-z0-9])(?:access[_-]?key[_-]?id|account|client[_-]?id|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?"
-               r"[A-Za-z0-9._@-]{3,128}",
-    "key_part": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]{0,127}[0-9])(?=[A-Za-z0-9+/_-]{0,127}[A-Z])"
-                r"(?=[A-Za-z0-9+/_-]{0,127}[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])",
-    "short_part": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|pass)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{4,64}",
-    "endpoint_part": r"(?i)(?<![A-Za-z0-9])(?:https?|ftp|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,256}",
+               r"[A-Za-z0-9._@-]{3,}+",
+    "key_part": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/=_-])",
+    "short_part": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|pass)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{4,}+",
+    "endpoint_part": r"(?i)(?<![A-Za-z0-9])(?:https?|ftp|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}+",
 }
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 ROLE = {
     "assign": "secret", "hex": "secret", "access": "id",
     "id_part": "id", "key_part": "secret", "short_part": "secret", "endpoint_part": "endpoint",
@@ -68,6 +69,8 @@ def detect(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = spans.find(text, "text", BASE | WEAK, {"access": "AKIA", "endpoint_part": "://"}).withColumn(
         "assign", F.filter("assign", lambda x: F.length(F.regexp_extract(x["hit"], VALUE, 1)) >= LEAST_VALUE)
+    ).withColumn(
+        "key_part", F.filter("key_part", lambda x: x["hit"].rlike(MIXED[0]) & x["hit"].rlike(MIXED[1]) & x["hit"].rlike(MIXED[2]))
     )
     base = spans.ordered([(k, F.col(k)) for k in BASE])
     kept = cut(found.select(
