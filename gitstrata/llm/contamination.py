@@ -63,7 +63,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Item-sized windows (doc, size, start, words) that hold a shingle of an item of that size.
 
-    A window without one has similarity 0, so none that counts is left out.
+    A window without one has similarity 0, so none that counts is left out.  A document with
+    fewer words than the item is one window at 0: all its words, ``size`` still the item's.
     """
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     hits = None
@@ -74,7 +75,7 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         seen = text.select(*DOC, words_of("text").alias("words")).select(
             *DOC, F.size("words").alias("length"), F.posexplode(shingles(F.col("words"), n)).alias("pos", "shingle")
         )
-        found = seen.join(sized(known, ITEM_SHINGLES), "shingle").where(F.col("length") >= F.col("size")).select(
+        found = seen.join(sized(known, ITEM_SHINGLES), "shingle").select(
             *DOC, "size", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("length") - F.col("size"))).alias("start")
         )
         hits = found if hits is None else hits.union(found)
@@ -128,14 +129,17 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         of_window.union(of_item)
         .withColumn("shingle", F.explode(_shingles_up_to(n)))
         .groupBy(*pairs.columns, "shingle").agg(F.sum("mine").alias("here"), F.sum(1 - F.col("mine")).alias("there"))
-        .groupBy(*pairs.columns).agg((F.sum(F.least("here", "there")) / F.sum(F.greatest("here", "there"))).alias("similarity"))
+        .groupBy(*pairs.columns).agg(
+            (F.sum(F.least("here", "there")) / F.sum(F.greatest("here", "there"))).alias("similarity"), F.sum("here").alias("here")
+        )
         .where(F.col("similarity") >= similarity)
     )
     best = counted.groupBy(*DOC, "item").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("m")
+        F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size", "here")).alias("m")
     )
     return best.join(items.select("item", "item_id", "copies"), "item").select(
-        *DOC, "item_id", "copies", (-F.col("m.back")).alias("start"), F.col("m.size").alias("n_words"), F.col("m.similarity").alias("similarity")
+        *DOC, "item_id", "copies", (-F.col("m.back")).alias("start"), (F.col("m.here") + F.least(F.lit(WORDS), F.col("m.size")) - 1).cast("int").alias("n_words"),
+        F.col("m.similarity").alias("similarity"),
     )
 
 

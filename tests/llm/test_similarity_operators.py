@@ -242,6 +242,31 @@ def test_benchmark_passages_equal_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
+def test_documents_shorter_than_a_benchmark_item_are_compared(spark):
+    items = [prose(300 + i, 38 + i).split() for i in range(8)] + ["four words make this".split()]
+    texts = []
+    for w in items[:8]:
+        texts += [w[1:], w[:-1], w[2:-1], w[:20] + w[21:], w[:-9], w[:12], w]
+    texts += [items[8], items[8][:3]]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+
+    def grams(w, n):
+        return Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+
+    want = {}
+    for d, w in enumerate(texts):
+        for i, item in enumerate(items):
+            n = min(5, len(item))
+            a, b = grams(w, n), grams(item, n)
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                want[d, i] = len(w)
+    docs = frame(spark, [" ".join(w) for w in texts])
+    got = {(r.doc_id, r.item_id): r.n_words for r in contamination.find(docs, bench).collect()}
+    assert len(want) > 24 and got == want
+    left = {r.doc_id for r in contamination.decontaminate(docs, bench).collect()}
+    assert left == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_decontamination_stands_odd_rows(spark):
     bench = spark.createDataFrame([(1, prose(1, 80)), (2, prose(1, 80)), (3, None), (4, ""), (5, "two words"), (None, prose(2, 40))], "item_id long, text string")
     got = contamination.find(odd(spark), bench).collect()
