@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from gitstrata.functions.grams import containing
 from gitstrata.functions.scale import cut
 
-HUBS, FLOWS, CALLED_HUBS = 10, 5, 5  # how many a report shows; arguments of the calls below
+HUBS, FLOWS, CALLED_HUBS = 10, 5, 5  # how many a report shows; HUBS also says what a module's hub is
 
 
-def _top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
-    """First ``n`` rows per key; limited before the shuffle too, so a hot key stays small."""
+def _top(df: DataFrame, keys: list[str], order: list[Column], n: int | None, name: str = "rank") -> DataFrame:
+    """First ``n`` rows per key; limited before the shuffle too, so a hot key stays small.  All, without a rank, for None."""
+    if n is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
@@ -73,8 +75,8 @@ def global_summary(edges: DataFrame, flows: DataFrame, communities: DataFrame) -
     return reduce(DataFrame.union, parts)
 
 
-def module_hubs(edges: DataFrame, symbols: DataFrame, modules: DataFrame, n: int = HUBS) -> DataFrame:
-    """The first n hubs of every module, however small beside other modules.
+def module_hubs(edges: DataFrame, symbols: DataFrame, modules: DataFrame, n: int | None = HUBS) -> DataFrame:
+    """The first n hubs of every module, however small beside other modules; every called or calling symbol for None.
 
     ``modules`` has (repo_id, module, path).
     """
@@ -85,28 +87,31 @@ def module_hubs(edges: DataFrame, symbols: DataFrame, modules: DataFrame, n: int
 
 
 def external_callers(
-    edges: DataFrame, symbols: DataFrame, modules: DataFrame, n: int = CALLED_HUBS, limit: int | None = None
+    edges: DataFrame, symbols: DataFrame, modules: DataFrame, n: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Callers from outside a module into its first n hubs; all of them, or the first ``limit`` per module."""
+    """Callers from outside a module, into any symbol or its first n hubs; all of them, or the first ``limit`` per module."""
     top = module_hubs(edges, symbols, modules, n)
     functions = symbols.where(F.col("kind") == "Function").select(
         "repo_id", "file", F.col("qualified_name").alias("target"), F.col("ord").alias("_fn")
     )
-    entry = top.select("repo_id", "module", "rank", "file", F.col("name").alias("callee")).join(functions, ["repo_id", "file"])
-    entry = entry.where(F.col("target").contains(F.col("callee")))
+    entry = top.select(
+        "repo_id", "module", "degree", F.col("qualified_name").alias("_hub"), "file", F.col("name").alias("callee")
+    ).join(functions, ["repo_id", "file"])
+    # Names find a hub's functions by a part; where every symbol is asked for, each finds itself.
+    entry = entry.where(F.col("target") == F.col("_hub") if n is None else F.col("target").contains(F.col("callee")))
     files = symbols.select("repo_id", F.col("qualified_name").alias("source"), F.col("name").alias("caller"), F.col("file").alias("caller_file"))
     homes = modules.select("repo_id", F.col("path").alias("caller_file"), F.col("module").alias("_home"))
     calls = edges.select("repo_id", "source", "target").join(entry, ["repo_id", "target"]).join(files, ["repo_id", "source"])
     outside = calls.join(homes, ["repo_id", "caller_file"], "left").where(
         F.coalesce(F.col("_home"), F.lit("")) != F.col("module")
     )
-    order = [F.col("rank"), F.col("_fn"), F.col("source")]
+    order = [F.col("degree").desc(), F.col("_hub"), F.col("_fn"), F.col("source")]
     picked = outside if limit is None else _top(outside, ["repo_id", "module"], order, limit, "_rn")
     return picked.select("repo_id", "module", "caller", "caller_file", "callee", F.col("file").alias("callee_file"))
 
 
-def module_flows(flows: DataFrame, flow_files: DataFrame, modules: DataFrame, n: int = FLOWS) -> DataFrame:
-    """The n most critical flows that touch a module, for every module."""
+def module_flows(flows: DataFrame, flow_files: DataFrame, modules: DataFrame, n: int | None = None) -> DataFrame:
+    """The flows that touch a module, for every module: all, or the n most critical."""
     facts = flows.select("repo_id", "id", "name", "criticality")
     of = modules.select("repo_id", F.col("path").alias("file"), "module")
     touched = flow_files.join(facts, ["repo_id", "id"]).join(of, ["repo_id", "file"]).select(
@@ -154,17 +159,20 @@ def impact_radius(links: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFra
     return seen
 
 
-def core_files(edges, symbols, modules, flows, flow_files) -> DataFrame:
+def core_files(
+    edges, symbols, modules, flows, flow_files, n_hubs: int | None = HUBS, called_hubs: int | None = None, n_flows: int | None = None
+) -> DataFrame:
     """Every module file, marked core or edge; all are core where a repository has no call graph.
 
-    Core: holds a hub, is called from outside, lies on a flow, or is one hop from such a file.
+    Core: holds a hub, is called from outside, lies on a flow, or is one hop from such a file.  Hubs are
+    the first ``n_hubs``, as with all of them any call makes a file core; callers and flows have no bound.
     """
     k = ["repo_id", "module", "file"]
     seeds = cut(
-        module_hubs(edges, symbols, modules).select(*k)
-        .union(external_callers(edges, symbols, modules).select("repo_id", "module", F.col("callee_file").alias("file")))
+        module_hubs(edges, symbols, modules, n_hubs).select(*k)
+        .union(external_callers(edges, symbols, modules, called_hubs).select("repo_id", "module", F.col("callee_file").alias("file")))
         .union(
-            module_flows(flows, flow_files, modules).select("repo_id", "module", "id")
+            module_flows(flows, flow_files, modules, n_flows).select("repo_id", "module", "id")
             .join(flow_files, ["repo_id", "id"])
             .join(modules.select("repo_id", "module", F.col("path").alias("file")), k, "left_semi").select(*k)
         )
@@ -189,13 +197,16 @@ def module_totals(modules: DataFrame, callers: DataFrame) -> DataFrame:
     )
 
 
-def module_summary(edges, symbols, modules, flows, flow_files, communities) -> DataFrame:
-    """One row per module: files, hubs, external callers, flows and community."""
+def module_summary(
+    edges, symbols, modules, flows, flow_files, communities,
+    n_hubs: int | None = HUBS, called_hubs: int | None = None, n_flows: int | None = None,
+) -> DataFrame:
+    """One row per module: files, hubs (of the first ``n_hubs``), external callers, flows and community."""
     k = ["repo_id", "module"]
-    h = module_hubs(edges, symbols, modules).groupBy(*k).agg(F.count(F.lit(1)).alias("hubs"))
-    f = module_flows(flows, flow_files, modules).groupBy(*k).agg(F.count(F.lit(1)).alias("flows"))
+    h = module_hubs(edges, symbols, modules, n_hubs).groupBy(*k).agg(F.count(F.lit(1)).alias("hubs"))
+    f = module_flows(flows, flow_files, modules, n_flows).groupBy(*k).agg(F.count(F.lit(1)).alias("flows"))
     return (
-        module_totals(modules, external_callers(edges, symbols, modules))
+        module_totals(modules, external_callers(edges, symbols, modules, called_hubs))
         .join(h, k, "left").join(f, k, "left").join(module_community(communities, modules), k, "left")
         .fillna(0, ["hubs", "flows"]).drop("size")
     )

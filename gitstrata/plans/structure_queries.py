@@ -225,17 +225,17 @@ def _(src):
 
 @query("external_callers", f"SELECT repo_id, module, caller, caller_file, callee, callee_file FROM {EXTERNAL}")
 def _(src):
-    return K.external_callers(src.call_edges, src.symbols, modules(src), limit=10)
+    return K.external_callers(src.call_edges, src.symbols, modules(src), K.CALLED_HUBS, limit=10)
 
 
 @query("external_callers_all", f"SELECT repo_id, module, caller, caller_file, callee, callee_file FROM {EVERY_CALLER}")
 def _(src):
-    return K.external_callers(src.call_edges, src.symbols, modules(src))
+    return K.external_callers(src.call_edges, src.symbols, modules(src), K.CALLED_HUBS)
 
 
 @query("flows_through_module", f"SELECT repo_id, module, id, name, rank FROM {MFLOWS}")
 def _(src):
-    return K.module_flows(src.flows, src.flow_files, modules(src)).select("repo_id", "module", "id", "name", "rank")
+    return K.module_flows(src.flows, src.flow_files, modules(src), K.FLOWS).select("repo_id", "module", "id", "name", "rank")
 
 
 @query("module_community", f"SELECT * FROM {COMM}")
@@ -285,7 +285,7 @@ WITH seeds AS (SELECT repo_id, module, file FROM {MHUBS} UNION SELECT repo_id, m
 core AS (SELECT * FROM seeds UNION SELECT s.repo_id, s.module, l.b FROM seeds s JOIN {BOTH} l ON l.repo_id = s.repo_id AND l.a = s.file)
 SELECT f.repo_id, f.module, f.path AS file, CASE WHEN c.file IS NULL THEN 'edge' ELSE 'core' END AS part FROM files f LEFT JOIN core c ON c.repo_id = f.repo_id AND c.module = f.module AND c.file = f.path""")
 def _(src):
-    return K.core_files(src.call_edges, src.symbols, modules(src), src.flows, src.flow_files)
+    return K.core_files(src.call_edges, src.symbols, modules(src), src.flows, src.flow_files, called_hubs=K.CALLED_HUBS, n_flows=K.FLOWS)
 
 
 TOTALS = f"""(SELECT f.repo_id, f.module, f.files, coalesce(x.n, 0) AS external_callers, CASE WHEN x.n > 0 THEN f.files // 3 ELSE 0 END AS high_impact_files
@@ -295,7 +295,7 @@ TOTALS = f"""(SELECT f.repo_id, f.module, f.files, coalesce(x.n, 0) AS external_
 @query("module_totals", f"SELECT * FROM {TOTALS}")
 def _(src):
     m = modules(src)
-    return K.module_totals(m, K.external_callers(src.call_edges, src.symbols, m))
+    return K.module_totals(m, K.external_callers(src.call_edges, src.symbols, m, K.CALLED_HUBS))
 
 
 @query("symbol_search", """
@@ -320,7 +320,9 @@ SELECT t.*, coalesce(h.n, 0) AS hubs, coalesce(w.n, 0) AS flows, c.community FRO
 LEFT JOIN (SELECT repo_id, module, count(*) AS n FROM {MHUBS} GROUP BY ALL) h USING (repo_id, module) LEFT JOIN (SELECT repo_id, module, count(*) AS n FROM {MFLOWS} GROUP BY ALL) w USING (repo_id, module)
 LEFT JOIN {COMM} c USING (repo_id, module)""")
 def _(src):
-    return K.module_summary(src.call_edges, src.symbols, modules(src), src.flows, src.flow_files, src.communities)
+    return K.module_summary(
+        src.call_edges, src.symbols, modules(src), src.flows, src.flow_files, src.communities, called_hubs=K.CALLED_HUBS, n_flows=K.FLOWS
+    )
 
 
 # ---- review preparation
