@@ -45,17 +45,19 @@ class Letters:
                 self.table[c] = ord(chr(c).lower()[0])
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters of all texts, words parted by one space, and each text's first place."""
-        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), dtype="<u4")
-        sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        owner_end = np.cumsum(sizes)
+        """Letters of all texts, words parted by one space, and each text's first place.
+
+        Every text has a space of its own at both ends.  An n-gram over the border of two texts
+        thus holds two spaces in a row, one of them inside it, and is no n-gram of either.
+        """
+        codes = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), dtype="<u4")
+        sizes = np.fromiter((len(t) + 2 for t in texts), dtype=np.int64, count=len(texts))
+        first = np.cumsum(sizes) - sizes
         low = self.table[codes]
         keep = np.ones(len(low), dtype=bool)
         keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
-        keep[(owner_end[:-1] - 1)] = True
-        kept = np.concatenate(([0], np.cumsum(keep)))
-        starts = kept[np.concatenate(([0], owner_end[:-1])).clip(0, len(low))]
-        return low[keep], starts
+        keep[first] = True
+        return low[keep], (np.cumsum(keep) - 1)[first]
 
 
 def grams(low: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,18 +92,20 @@ def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
 def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and the slot table, from columns ``text`` and ``lang``.
 
-    Labels are counted over all rows; of a language with more than ``sample`` texts, a share
-    is drawn by hash of the text.  N-gram counts are summed before the shuffle, and those that reach
+    Different texts are counted over all rows; of a language with more than ``sample`` of them, a
+    share is drawn by hash of the text.  Copies of a text and repeated rows count once; rows
+    without text or label teach nothing, and a table without any gives no languages.  N-gram counts are summed before the shuffle, and those that reach
     ``RAREST`` of their language come to the driver: 1 / RAREST per language and order at most.
     """
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    different = known.select("lang", F.xxhash64("text").alias("h")).distinct()
+    sizes = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return [], np.zeros((1, SLOTS), dtype=np.uint64)
     limits = {k: int(min(1.0, sample / n) * 1_000_000) for k, n in sizes.items()}
     share = F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("lang", "text")
+    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("lang", "text").distinct()
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = Letters()
@@ -142,6 +146,8 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[Col
     Score is the winner's share of what the two best languages know: 1 with no rival, 0.5
     at a tie, which the first name wins.  A null text, one without letters, or a model
     without languages gives ``und`` and 0; letters no language knows give the first name and 0.
+    A row's result depends on its text alone; every row, repeated or not, has one, and an
+    empty table has none.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)  # SLOTS x 8 bytes for each 64 languages
@@ -177,7 +183,7 @@ def _decide(letters: Letters, masks: np.ndarray, fill: list[float], texts: list[
         h, good = grams(low, n)
         if not len(h):
             continue
-        first = np.minimum(starts, len(h) - 1)
+        first = np.minimum(starts, len(h))  # a text too short for an n-gram takes none of its neighbour's
         pad = np.append(good, False)
         total += np.add.reduceat(pad.astype(np.int32), first)
         at = slots(h)

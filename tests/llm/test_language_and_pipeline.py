@@ -3,7 +3,7 @@
 import zlib
 
 import pytest
-from cases import empty, odd
+from cases import SCHEMA, empty, odd, prose
 
 from gitstrata.llm import langid
 
@@ -39,6 +39,36 @@ def test_labels_are_no_inputs_of_a_prediction(spark):
     assert a == b
 
 
+def test_a_text_is_judged_alone(spark):
+    names, table = langid.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    fill = [((table[0] >> i) & 1).mean() ** langid.PROBES for i in range(len(names))]
+    letters = langid.Letters()
+    known = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect()]
+    texts = ["x", "this", "", "x", known[0], "th", " ", "1", *known[1:], "x", "a"]
+    alone = [next(iter(langid._decide(letters, table, fill, [t]))) for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts))), [4, 0, 1, 0, 5, 2]):
+        order = list(order)
+        got = list(langid._decide(letters, table, fill, [texts[i] for i in order]))
+        assert got == [alone[i] for i in order]
+
+
+def test_copies_teach_once(spark):
+    rows = [(i, f"alpha beta gamma{i}", "a") for i in range(30)] + [(100 + i, "delta epsilon zeta", "b") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = spark.createDataFrame(rows[:31], "doc_id long, text string, lang string")
+    a, b = langid.learn(docs, sample=10), langid.learn(few, sample=10)
+    assert a[0] == b[0] and (a[1] == b[1]).all()
+
+
+@pytest.mark.parametrize("stage", [1, 2])
+def test_a_repeated_row_leaves_a_stage_once(spark, stage):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, prose(1, 60)), (2, prose(2, 60)), (2, prose(2, 60)), (2, prose(3, 60)), (4, prose(4, 60)), (4, prose(4, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = pipeline.STAGES[stage][1](spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(set(rows))
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).union(odd(spark).select(*pipeline.COLUMNS))
