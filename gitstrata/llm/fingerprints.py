@@ -50,6 +50,12 @@ def sequences(bins: int) -> np.ndarray:
     return np.argsort(rng.random((bins, bins)), axis=1)
 
 
+@functools.cache
+def marks(bins: int) -> np.ndarray:
+    """A word per bin, mixed into its value: where one shingle fills many bins, their low bits don't agree by one chance."""
+    return mix(np.arange(1, bins + 1, dtype=np.uint64))
+
+
 def densified(smallest: np.ndarray, full: np.ndarray) -> np.ndarray:
     """Values of all bins: an empty one takes that of the first full bin of its sequence."""
     empty = np.flatnonzero(~full)
@@ -69,15 +75,15 @@ def bits_of(text: str, words: int = WORDS, bins: int = BINS, bits: int = BITS) -
     starts = np.searchsorted(h, np.arange(bins, dtype=np.uint64) << shift)
     at = np.minimum(starts, len(h) - 1)
     full = (starts < len(h)) & ((h[at] >> shift) == np.arange(bins, dtype=np.uint64))
-    return (densified(h[at], full) & U(2**bits - 1)).astype(np.uint8)
+    return (mix(densified(h[at], full) ^ marks(bins)) & U(2**bits - 1)).astype(np.uint8)
 
 
-def packed(values: np.ndarray | None, bits: int = BITS) -> str:
-    """Fingerprint as hexadecimal text, ``bits`` a bin; empty for a text without words."""
+def packed(values: np.ndarray | None, bits: int = BITS) -> bytes:
+    """The bins side by side, ``bits`` each; empty for a text without words.  A fingerprint is this in hexadecimal."""
     if values is None:
-        return ""
+        return b""
     wide = np.unpackbits(values[:, None], axis=1)[:, 8 - bits:]
-    return np.packbits(wide.ravel()).tobytes().hex()
+    return np.packbits(wide.ravel()).tobytes()
 
 
 def unpacked(fingerprint: str, bits: int = BITS) -> np.ndarray | None:
@@ -142,7 +148,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     sent = as_text(placed.select("doc_id", "text", F.spark_partition_id().alias("part")), ["doc_id"])
     kind = sent.schema["doc_id"].dataType.simpleString()
-    values = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    values = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, part = None, 0
@@ -159,8 +165,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     walked = cut(sent.mapInPandas(walk, f"{values}, part int, first boolean, text string"))
     parts = sorted(r.part for r in walked.where("first").select("part").collect())
     done = walked.where("part is null").select(*COLUMNS)
+    shown = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
     if not parts:
-        return restored(done, types)
+        return restored(done, types).withColumns(shown)
     follows = F.create_map(*[F.lit(x) for a, b in zip(parts, parts[1:] + parts[:1], strict=True) for x in (a, b)])
     ends = walked.where("not first").select(follows[F.col("part")].alias("meet"), F.lit(0).alias("side"), "doc_id", "text")
     starts = walked.where("first").select(F.col("part").alias("meet"), F.lit(1).alias("side"), "doc_id", "text")
@@ -170,7 +177,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         return pd.DataFrame([Described(*a).row(Described(*b))], columns=COLUMNS)
 
     edges = ends.union(starts).groupBy("meet").applyInPandas(meet, values)
-    return restored(done.union(edges), types)
+    return restored(done.union(edges), types).withColumns(shown)
 
 
 def near(a: str, b: str, bits: int = BITS) -> float:
@@ -180,4 +187,4 @@ def near(a: str, b: str, bits: int = BITS) -> float:
 
 def fold(text: str | None) -> str:
     """Fingerprint of one text."""
-    return packed(bits_of(text or ""))
+    return packed(bits_of(text or "")).hex()
