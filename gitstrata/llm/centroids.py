@@ -111,14 +111,15 @@ def moved_centres(stored: DataFrame, centres: np.ndarray, turn: np.ndarray) -> n
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(centres.shape, dtype=np.int64), np.zeros(len(centres), dtype=np.int64)
-        for batch in batches:
+        for batch in filter(len, batches):
             q, lead, rest = matrix(batch["q"], size), np.stack(batch["lead"].to_numpy()), batch["rest"].to_numpy()
             number = nearest(q, lead, rest, centres, turn)[0]
             n += np.bincount(number, minlength=len(centres))
             for k in np.unique(number):
                 total[k] += q[number == k].sum(axis=0)
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": some, "n": n[some], "sums": list(total[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some, "n": n[some], "sums": list(total[some])})
 
     parts = stored.select("q", "lead", "rest").mapInPandas(sums, "cluster int, n long, sums array<long>")
     cells = parts.select("cluster", "n", F.posexplode("sums").alias("j", "s")).groupBy("cluster", "j").agg(

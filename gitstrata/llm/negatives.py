@@ -198,12 +198,12 @@ def build(candidates: DataFrame) -> Index | None:
     more = sphere.more(pivots)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             x = stacked(batch["q"], size)
             own = sphere.more(x)
             far = [sphere.radii(x, own, p, m) for p, m in zip(pivots, more, strict=True)]
-            plain, angle = (np.asarray([f[i] for f in far]).reshape(len(pivots), len(x)) for i in (0, 1))
-            nearest, here = angle.argmin(axis=0) if len(x) else np.zeros(0, dtype=int), np.arange(len(x))
+            plain, angle = (np.asarray([f[i] for f in far]) for i in (0, 1))
+            nearest, here = angle.argmin(axis=0), np.arange(len(x))
             raw = [v.astype("<i4").tobytes() for v in x]
             yield batch[["kind", "ids"]].assign(pivot=nearest, q=raw, plain=plain[nearest, here], angle=angle[nearest, here])
 
@@ -226,7 +226,7 @@ def _visits(index: Index, queries: DataFrame, best: bool) -> DataFrame:
     pivots, sphere, size, plain, angle = index.pivots.astype(np.float64), index.sphere, index.size, index.plain, index.angle
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             to = []
             for q, lows, highs in zip(stacked(batch["q"], size).astype(np.float64), batch["low"], batch["high"], strict=True):
                 scores = pivots @ q
@@ -316,7 +316,7 @@ def mine(
     size = index.size
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             yield batch.assign(q=[v.astype("<i4").tobytes() for v in stacked(batch["q"], size)])
 
     open_ = F.array(F.lit(NONE).cast("long")).alias("low"), F.array(F.lit(-NONE).cast("long")).alias("high")
