@@ -23,11 +23,13 @@ from gitstrata.functions.scale import cut
 from gitstrata.llm.carry import as_text, restored, whole_numbers
 from gitstrata.llm.graph import components
 from gitstrata.llm.meetings import MEETING, arrange, whole_meetings
+from gitstrata.llm.rows import without_repeated_rows
 from gitstrata.llm.sized import settled, sized
 
 GROWTH = 1.4  # each size band ends that much above the one before
 SHORT = 8  # 64-bit words of the whole sketch
 SKETCH = [f"s{i}" for i in range(SHORT)]
+ROUNDS = 3  # in which components name their closest neighbour, before all pairs left are compared
 CHUNK = 512  # sets of one block value compared in one piece; larger groups are compared piece by piece
 REMEMBERED = 1_000_000  # words whose hash a worker keeps
 
@@ -166,8 +168,24 @@ def likely(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b")
 
 
+def compact(sets: np.ndarray) -> bytes:
+    """A set as its sorted hashes cut to 40 bits, five bytes each: two sets of a thousand clash with odds of one in a million."""
+    short = np.unique(sets >> U(24)).astype("<u8")
+    return short.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def expanded(packed: bytes) -> np.ndarray:
+    five = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(five), 8), dtype=np.uint8)
+    wide[:, :5] = five
+    return wide.view("<u8").ravel()
+
+
 def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of set hashes whose whole sets are similar enough."""
+    """The pairs (a, b) of set hashes whose whole sets are similar enough.
+
+    Sets are laid out by hash once; each pair then takes its second set to its first one.
+    """
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     one = sized(signed.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text_hash").alias("t")))
@@ -178,16 +196,19 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, rule: Rule) ->
         for batch in batches:
             new = [k not in met and not met.add(k) for k in batch["h"]]
             rows = batch[new]
-            yield pd.DataFrame({"h": rows["h"], "full": [shingles(t, rule.words).tobytes() for t in rows["text"]]})
+            yield pd.DataFrame({"h": rows["h"], "full": [compact(shingles(t, rule.words)) for t in rows["text"]]})
 
-    sets = settled(texts.mapInPandas(expand, "h long, full binary").dropDuplicates(["h"]))
-    sides = pairs.join(sets.toDF("a", "fa"), "a").join(sets.toDF("b", "fb"), "b")
+    sets = texts.mapInPandas(expand, "h long, full binary").groupBy("h").agg(F.first("full").alias("full"))
+    sides = pairs.join(sets.toDF("b", "fb"), "b").join(sets.toDF("a", "fa"), "a")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, p = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch["fa"], batch["fb"], strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for a, x, y in zip(batch["a"], batch["fa"], batch["fb"], strict=True):
+                if a != first:
+                    first, p = a, expanded(x)
+                q = expanded(y)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * common >= rule.percent * (len(p) + len(q) - common))
             yield batch.loc[keep, ["a", "b"]]
@@ -200,8 +221,9 @@ def close_pairs(grouped: DataFrame, rule: Rule, *, closest: bool) -> DataFrame:
 
     ``grouped``: key, h, comp, n, s0.., part (chunk of the set in a group) and i, j (the two
     chunks that meet).  Rows of a meeting are neighbours after sorting; each is compared with
-    the ones after it, all meetings of a batch at once.  With ``closest``, two components
-    give one pair only, the closest, so a group of near copies gives few.
+    the ones after it, all meetings of a batch at once.  With ``closest`` every component
+    names only the pair to the closest other one it meets, so a group gives no more pairs
+    than it has members.
     """
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         new = (rows[MEETING] != rows[MEETING].shift()).any(axis=1).to_numpy()
@@ -230,8 +252,8 @@ def close_pairs(grouped: DataFrame, rule: Rule, *, closest: bool) -> DataFrame:
         found = {"a": h[a], "b": h[b], "ca": comp[a], "cb": comp[b], "apart": np.concatenate(far)}
         pairs = pd.DataFrame(found).drop_duplicates()
         if closest:
-            low, high = np.minimum(pairs["ca"], pairs["cb"]), np.maximum(pairs["ca"], pairs["cb"])
-            pairs = pairs.assign(low=low, high=high).sort_values("apart").drop_duplicates(["low", "high"])
+            both = pd.concat([pairs.assign(own=pairs["ca"]), pairs.assign(own=pairs["cb"])]).sort_values(["apart", "a", "b"])
+            pairs = both.drop_duplicates("own").drop_duplicates(["a", "b"])
         return pairs[["a", "b", "ca", "cb", "apart"]]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,18 +262,33 @@ def close_pairs(grouped: DataFrame, rule: Rule, *, closest: bool) -> DataFrame:
     return grouped.mapInPandas(scan, "a long, b long, ca long, cb long, apart long").distinct()
 
 
+def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, h, comp, size) of block values whose sets still lie in several components."""
+    known = sized(components(linked).select(F.col("node").alias("h"), "component"))
+    named = members.join(known, "h", "left").select("key", "h", F.coalesce("component", "h").alias("comp"))
+    several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    return settled(named.join(several.where("low < high").select("key", "size"), "key"))
+
+
+def _met(opened: DataFrame, facts: DataFrame) -> DataFrame:
+    hot = sized(opened.where(F.col("size") > CHUNK).select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts")).distinct())
+    return arrange(opened.select("key", "h", "comp").join(facts, "h"), hot, "h")
+
+
 def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) of set hashes that connect what the exact join connects.
 
-    First every set is verified against the smallest set of the block it shares most often;
-    then only block values with several components left compare their sets, those of
-    different components alone.  A group's sets are cut into chunks that meet in pairs, so
-    no task holds more than two chunks, and pairs are made only where the sketches allow it.
+    First every set is verified against the smallest set of the block it shares most often.
+    Then components grow as in Boruvka's algorithm: in the most frequent block of its sets,
+    each component names the closest other one, these few pairs are verified, and a round
+    begins anew; what failed is not named again.  Last, block values that still hold several
+    components compare all their sets of different components, so no link is missed.  A
+    group's sets are cut into chunks that meet in pairs, so no task holds more than two.
     """
     each = signed.where("n > 0").select("h", F.explode("keys").alias("key"))
     lows = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     shared = settled(lows.where("low < high").select("key", "low"))
-    members = settled(each.join(shared, "key"))
+    members = settled(each.join(shared, "key").distinct())
     best = (
         members.where("h != low").groupBy("h", "low").agg(F.count("*").alias("times"))
         .groupBy("h").agg(F.max(F.struct("times", "low")).alias("m"))
@@ -260,27 +297,36 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     tried = settled(best)
     facts = cut(facts_of(signed))
     linked = settled(verify(docs, signed, likely(tried, facts, rule), rule))
-    known = sized(components(linked).select(F.col("node").alias("h"), "component"))
-    named = members.select("key", "h").join(known, "h", "left").select("key", "h", F.coalesce("component", "h").alias("comp"))
-    open_ = (
-        named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-        .where("low < high").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
+    members = members.select("key", "h")
+    for _ in range(ROUNDS):
+        opened = _open(members, linked)
+        members = opened.select("key", "h")
+        favourite = opened.groupBy("h").agg(F.max(F.struct("size", "key")).alias("m")).select("h", F.col("m.key").alias("key"))
+        few = opened.join(favourite, ["h", "key"])
+        named = close_pairs(_met(few, facts), rule, closest=True)
+        sides = named.select("ca", "apart", "a", "b").union(named.select("cb", "apart", "a", "b"))
+        near = sides.groupBy("ca").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        fresh = settled(near.join(tried, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        tried = tried.union(fresh)
+        linked = settled(linked.union(verify(docs, signed, fresh, rule)))
+    opened = _open(members, linked)
+    rest = close_pairs(_met(opened, facts), rule, closest=False).select("a", "b").distinct()
+    return linked.union(verify(docs, signed, rest.join(tried, ["a", "b"], "left_anti"), rule))
+
+
+def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, text_hash, n, component_id (smallest doc_id reachable by links) of every document."""
+    signed = cut(signatures(docs, rule))
+    joined = components(cut(links(docs, signed, rule)))
+    rooted = signed.where("n > 0").select("doc_id", "text_hash", "n", "h").join(
+        joined.select(F.col("node").alias("h"), "component"), "h", "left"
+    ).select("doc_id", "text_hash", "n", F.coalesce("component", "h").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(names, "root").select("doc_id", "text_hash", "n", "component_id").union(
+        signed.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"))
     )
-    opened = settled(named.join(open_, "key").select("key", "h", "comp", "parts").distinct())
-    hot = sized(opened.where("parts > 1").select("key", "parts").distinct())
-    spread = arrange(opened.drop("parts").join(facts, "h"), hot, "h")
-    # Of two components the closest pair is verified first; all others only where they stay apart.
-    sides = [F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")]
-    near = close_pairs(spread, rule, closest=True).groupBy(*sides).agg(F.min(F.struct("apart", "a", "b")).alias("m"))
-    closest = settled(near.select("m.a", "m.b").join(tried, ["a", "b"], "left_anti"))
-    more = settled(verify(docs, signed, closest, rule))
-    now = sized(components(linked.union(more)).select(F.col("node").alias("h"), "component"))
-    again = opened.select("key", "h").join(now, "h", "left").select("key", "h", F.coalesce("component", "h").alias("comp"))
-    apart = again.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    again = settled(again.join(apart, "key"))
-    rest = close_pairs(arrange(again.join(facts, "h"), hot, "h"), rule, closest=False).select("a", "b").distinct()
-    rest = rest.join(tried.union(closest), ["a", "b"], "left_anti")
-    return linked.union(more).union(verify(docs, signed, rest, rule))
 
 
 def groups(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -290,23 +336,15 @@ def groups(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     are null or without words are linked with nothing.  A null doc_id takes part but names no
     component unless nothing else can.
     """
-    rule = rule or Rule()
-    signed = cut(signatures(docs, rule))
-    joined = components(cut(links(docs, signed, rule)))
-    rooted = signed.where("n > 0").select("doc_id", "n", "h").join(
-        joined.select(F.col("node").alias("h"), "component"), "h", "left"
-    ).select("doc_id", "n", F.coalesce("component", "h").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(
-        signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    )
+    return grouped(docs, rule or Rule()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     """The documents that are first in their group; columns unchanged.
 
-    Documents with a null doc_id or without words stay.  Of rows with the same doc_id all stay
-    or go together.
+    Documents with a null doc_id or without words stay.  Of rows equal in doc_id and text one
+    stays; rows of one doc_id with different texts are judged by their own texts.
     """
-    gone = groups(docs, rule).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(sized(gone), "doc_id", "left_anti")
+    gone = grouped(docs, rule).where("doc_id > component_id").select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
+    left = docs.withColumn("_text_hash", F.xxhash64("text")).join(sized(gone), ["doc_id", "_text_hash"], "left_anti")
+    return without_repeated_rows(left.select(*docs.columns))

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from gitstrata.functions.scale import cut
 from gitstrata.llm.graph import components
+from gitstrata.llm.rows import without_repeated_rows
 from gitstrata.llm.sized import sized
 
 EDITS = 1
 LEAST_CHARS = 24  # shorter lines are repeats only when equal
 STEP = 32  # an equal start is skipped in steps of so many characters
-LETTERS = "eant"  # counted per line; one edit moves two counts by one
+LETTERS = "eantriosl"  # counted per line; one edit moves two counts by one
 
 DOC = ["doc_id", "text_hash"]
 
@@ -183,7 +184,7 @@ def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     Lines within ``edits`` edits are linked, and of each connected class the first line stays,
     by doc_id, text and place.  Lines below ``LEAST_CHARS`` repeat only when equal; blank
-    lines, null and empty texts have none.  Rows equal in doc_id and text are one document.
+    lines, null and empty texts have none.  Rows equal in doc_id and text count once.
     """
     lines = cut(distinct_lines(docs, edits))
     pairs = cut(candidate_pairs(lines, edits))
@@ -214,8 +215,10 @@ def clean(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The documents without repeated lines, with n_lines and n_removed.
 
     A null text stays null and an empty one empty; a document all of whose lines are repeats
-    has an empty text and n_left 0.  Other columns are carried unchanged.
+    has an empty text.  Of rows equal in doc_id and text one is left.  Other columns are
+    carried unchanged.
     """
+    docs = without_repeated_rows(docs)
     gone = repeats(docs, edits).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash")
