@@ -10,6 +10,7 @@ partitions, which bounds the windows over the summaries.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of a loop, each written to the shared folder and read again as the next round's input.
+
+    A checkpoint keeps the planner's size estimate; a join with itself multiplies it, so after
+    some twenty rounds the estimate alone has a million digits.  A written table is measured
+    anew.  Two folders take turns: a table lives until the one after the next is laid.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        shared_dir(spark)
+        self.spark, self.n = spark, 0
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
+
+    def lay(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        place = f"{self.folder}/{self.n % 2}"
+        df.write.mode("overwrite").parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
+
 def _chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range-partition by (keys, order), sort, and freeze chunk and position.
 

@@ -88,7 +88,7 @@ def fixing(src):
 
 
 def blamed(src):
-    return E.blamed_lines(E.fixed_lines(fixing(src), src.diffs), src.blame_at)
+    return E.blamed_lines(E.fixed_ranges(fixing(src), src.diffs), src.blame_at)
 
 
 def links(src):
@@ -269,11 +269,14 @@ def _(src):
     return X.line_owners(changes(src))
 
 
-@query("repeated_change_pairs", f"""
+PAIRS = f"""
 SELECT repo_id, path, commit_id, rid AS seq, hunk_no, min(line_no) AS line_no, arg_min(pa, line_no) AS prev_author, arg_min(pc, line_no) AS prev_commit, any_value(author_name) AS cur_author FROM
  (SELECT *, last_value(CASE WHEN step > 0 THEN step END IGNORE NULLS) OVER w AS ps, last_value(CASE WHEN step > 0 THEN author_name END IGNORE NULLS) OVER w AS pa, last_value(CASE WHEN step > 0 THEN commit_id END IGNORE NULLS) OVER w AS pc
   FROM {EVENTS} WINDOW w AS (PARTITION BY repo_id, path, line_no ORDER BY created_at, commit_id, rid, hunk_no, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-WHERE step = 0 AND ps = 2 AND pa <> author_name GROUP BY ALL""")
+WHERE step = 0 AND ps = 2 AND pa <> author_name GROUP BY ALL"""
+
+
+@query("repeated_change_pairs", PAIRS)
 def _(src):
     out = X.repeated_changes(changes(src))
     return out.select("repo_id", "path", "commit_id", "seq", "hunk_no", "line_no", F.col("prev.author_name").alias("prev_author"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gitstrata.functions import text
-from gitstrata.functions.scale import attach, cut, jump_tables, mark_ahead
+from gitstrata.functions.scale import attach, cut
+from gitstrata.sources import chains
 
 REMOTE = "refs/remotes/origin/"
 
@@ -38,26 +39,9 @@ def time_window(commits: DataFrame, since=None, until=None) -> DataFrame:
 def reachable(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """(repo_id, tag, id) of every commit reachable from ``starts`` (same columns), starts included.
 
-    First-parent links form chains, which pointer doubling walks in log2(depth)
-    joins.  Second parents then open new chains; the loop ends when none is new,
-    so its length is the nesting depth of merges, not the depth of the history.
     ``tag`` keeps several start sets apart in one pass.
     """
-    links = commits.select("repo_id", "id", "parent_ids")
-    first = links.select("repo_id", "id", F.try_element_at("parent_ids", F.lit(1)).alias("nxt"))
-    side = cut(
-        links.where(F.size("parent_ids") > 1)
-        .select("repo_id", "id", F.explode(F.slice("parent_ids", 2, 1 << 30)).alias("side"))
-    )
-    jumps = jump_tables(first, ["repo_id"], "id", "nxt")
-    cols = ["repo_id", "tag", "id"]
-    seen = mark_ahead(jumps, starts.select(*cols), ["repo_id"], "id", "nxt")
-    while True:
-        entry = seen.join(side, ["repo_id", "id"]).select("repo_id", "tag", F.col("side").alias("id")).distinct()
-        entry = cut(entry.join(seen, cols, "left_anti"))
-        if entry.isEmpty():
-            return seen
-        seen = cut(seen.union(mark_ahead(jumps, entry, ["repo_id"], "id", "nxt")).distinct())
+    return chains.reached(chains.chains(commits), starts.select("repo_id", "tag", "id"), ["tag"])
 
 
 def hash_range(commits: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -81,12 +65,7 @@ def hash_range(commits: DataFrame, ranges: DataFrame) -> DataFrame:
             .otherwise(F.col("tip")).alias("until"),
         )
     )
-    starts = ends.select("repo_id", F.lit("in").alias("tag"), F.col("until").alias("id")).union(
-        ends.where("since IS NOT NULL").select("repo_id", F.lit("out"), "since")
-    )
-    seen = reachable(commits, starts)
-    marks = seen.groupBy("repo_id", "id").agg(F.max(F.col("tag") == "out").alias("_out"))
-    return commits.join(marks.where(~F.col("_out")), ["repo_id", "id"], "left_semi")
+    return commits.join(chains.between(chains.chains(commits), ends, []), ["repo_id", "id"], "left_semi")
 
 
 def hash_range_by_position(commits: DataFrame, ranges: DataFrame) -> DataFrame:

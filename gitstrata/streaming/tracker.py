@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gitstrata.sources import chains
+from gitstrata.streaming.versions import Versions, last_by
+
 KEY = ["repo_id", "branch"]
 SCHEMA = "repo_id string, branch string, last_hash string, updated_at timestamp"
 
@@ -37,10 +40,22 @@ def since_hash(tracker: DataFrame, branches: DataFrame, custom: DataFrame | None
     return out.select(*KEY, since.alias("since"), since.isNull().alias("full_read"))
 
 
+def unread(commits: DataFrame, starts: DataFrame, tips: DataFrame) -> DataFrame:
+    """(repo_id, branch, id) that each branch's tip reaches and its start does not, whatever their dates.
+
+    ``tips`` has (repo_id, branch, tip); ``starts`` comes from ``since_hash``.  A branch
+    without a start, or whose start is no known commit, is read whole; one without a known tip
+    gives nothing.  Commits have parent_ids.
+    """
+    ends = tips.select(*KEY, F.col("tip").alias("until")).join(starts.select(*KEY, "since"), KEY, "left")
+    return chains.between(chains.chains(commits), ends, ["branch"])
+
+
 def incremental(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """Commits of each branch newer than its start; a full read where it has none or does not know it.
 
-    Newer means later by (created_at, ord).  ``starts`` comes from ``since_hash``.
+    A single scan for commits that carry their branch and arrive in order of time; ``unread``
+    goes by reachability.  Newer means later by (created_at, ord).  ``starts`` comes from ``since_hash``.
     """
     place = F.struct("created_at", "ord")
     at = commits.select(*KEY, F.col("id").alias("since"), place.alias("_low"))
@@ -48,8 +63,11 @@ def incremental(commits: DataFrame, starts: DataFrame) -> DataFrame:
     return commits.join(lows, KEY).where(F.col("_low").isNull() | (place > F.col("_low"))).drop("_low")
 
 
+def table(spark: SparkSession, folder: str) -> Versions:
+    """The tracker table that a stream keeps under ``folder``."""
+    return Versions(spark, folder, SCHEMA, last_by(*KEY))
+
+
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest version of a tracker table kept by a stream."""
-    versions = spark.read.schema(f"{SCHEMA}, version long").parquet(folder)
-    newest = versions.agg(F.max("version").alias("version"))
-    return versions.join(newest, "version").drop("version")
+    """Newest whole version of a tracker table kept by a stream; older versions are not read."""
+    return table(spark, folder).table()
