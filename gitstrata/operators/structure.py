@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gitstrata.functions import dims, paths
-from gitstrata.functions.scale import cut
+from gitstrata.functions.scale import Rounds, cut
 
 
 def _all(pattern: str) -> Column:
@@ -86,18 +86,10 @@ def module_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     A path grows only to modules larger than its start and not yet on it, so every
     cycle is met once and in one rotation.  Edges that leave or enter a dead end
     are trimmed first.  The loop stops when no path is left; ``max_len`` stops it
-    earlier.
+    earlier.  A dense graph has exponentially many simple cycles: ``shortest_cycles``
+    and ``cycle_flags`` stay polynomial.
     """
-    live = cut(edges.select("repo_id", "source", "target").distinct())
-    size = live.count()
-    while True:
-        heads = live.select("repo_id", F.col("source").alias("target")).distinct()
-        tails = live.select("repo_id", F.col("target").alias("source")).distinct()
-        live = cut(live.join(heads, ["repo_id", "target"], "left_semi").join(tails, ["repo_id", "source"], "left_semi"))
-        now = live.count()
-        if now == size:
-            break
-        size = now
+    live = _on_cycles(edges.select("repo_id", "source", "target").distinct())
     e = live.select("repo_id", F.col("source").alias("at"), F.col("target").alias("to"))
     path = e.where("at < to").select("repo_id", F.array("at", "to").alias("modules"), F.col("to").alias("at"))
     found = None
@@ -116,6 +108,105 @@ def module_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     return found.select("repo_id", "modules", F.size("modules").alias("length"))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(repo_id, node, component) of every node on a cycle; component is the greatest node of its component.
+
+    Forward-backward colouring: the greatest name that reaches a node is its colour, and the
+    nodes of a colour that lead back to the node of that name are one component.  Nodes
+    without edges in or out are trimmed before every turn; what is left after a turn takes the
+    next.  A node with an edge to itself counts as a cycle.  Null ends are ignored.
+    """
+    lists = [Rounds(edges.sparkSession) for _ in range(4)]
+    pair = edges.select("repo_id", "source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    live = cut(pair)
+    done = live.where("source = target").select("repo_id", F.col("source").alias("node"), F.col("source").alias("component"))
+    live = live.where("source <> target")
+    while True:
+        live = _on_cycles(live)
+        if live.isEmpty():
+            return done.distinct().groupBy("repo_id", "node").agg(F.max("component").alias("component"))
+        colour = cut(live.select("repo_id", F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        fresh = colour
+        while True:  # only nodes whose colour has changed hand it on
+            offers = live.join(fresh.withColumnRenamed("node", "source"), ["repo_id", "source"]).groupBy("repo_id", F.col("target").alias("node")).agg(F.max("colour").alias("_new"))
+            fresh = lists[0].lay(offers.join(colour, ["repo_id", "node"]).where("_new > colour").select("repo_id", "node", F.col("_new").alias("colour")))
+            if fresh.isEmpty():
+                break
+            colour = lists[1].lay(colour.union(fresh).groupBy("repo_id", "node").agg(F.max("colour").alias("colour")))
+        of = lambda end: colour.select("repo_id", F.col("node").alias(end), F.col("colour").alias(f"_{end}"))
+        inside = cut(live.join(of("source"), ["repo_id", "source"]).join(of("target"), ["repo_id", "target"]).where("_source = _target").select(
+            "repo_id", "source", "target", F.col("_source").alias("colour")
+        ))
+        back = cut(colour.where("node = colour").select("repo_id", "node"))
+        fresh = back
+        while True:
+            steps = inside.join(fresh.withColumnRenamed("node", "target"), ["repo_id", "target"]).select("repo_id", F.col("source").alias("node")).distinct()
+            fresh = lists[2].lay(steps.join(back, ["repo_id", "node"], "left_anti"))
+            if fresh.isEmpty():
+                break
+            back = lists[3].lay(back.union(fresh))
+        found = cut(back.join(colour, ["repo_id", "node"]))
+        many = found.groupBy("repo_id", "colour").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        done = cut(done.union(found.join(many, ["repo_id", "colour"]).select("repo_id", "node", F.col("colour").alias("component"))))
+        gone = found.select("repo_id", "node")
+        live = live.join(gone.withColumnRenamed("node", "source"), ["repo_id", "source"], "left_anti")
+        live = live.join(gone.withColumnRenamed("node", "target"), ["repo_id", "target"], "left_anti").select("repo_id", "source", "target")
+
+
+def _on_cycles(live: DataFrame) -> DataFrame:
+    """Edges left after those that leave or enter a dead end have gone, round by round."""
+    live = cut(live)
+    size = live.count()
+    while True:
+        heads = live.select("repo_id", F.col("source").alias("target")).distinct()
+        tails = live.select("repo_id", F.col("target").alias("source")).distinct()
+        live = cut(live.join(heads, ["repo_id", "target"], "left_semi").join(tails, ["repo_id", "source"], "left_semi").select("repo_id", "source", "target"))
+        now = live.count()
+        if now == size:
+            return live
+        size = now
+
+
+def cycle_flags(edges: DataFrame) -> DataFrame:
+    """Per repository with a cycle: how many components hold one, and how many nodes lie on one; nothing is listed."""
+    return strong_components(edges).groupBy("repo_id").agg(
+        F.count_distinct("component").alias("components"), F.count(F.lit(1)).alias("nodes")
+    )
+
+
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """For every edge inside a component a shortest cycle through it, each cycle once, from its smallest module.
+
+    Of equally short ways back the first in the order of names is taken, so the result is
+    determined.  A component of n modules gives no more cycles than it has edges, and no more
+    than n * n ways are held, where listing all cycles could take exponentially many.
+    """
+    home = strong_components(edges)
+    of = lambda end: home.select("repo_id", F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    inside = edges.select("repo_id", "source", "target").distinct().join(of("source"), ["repo_id", "source"]).join(of("target"), ["repo_id", "target"])
+    inside = cut(inside.where("_source = _target").select("repo_id", "source", "target"))
+    step = inside.select("repo_id", F.col("source").alias("at"), F.col("target").alias("to"))
+    # An edge u -> v is closed by a way from v back to u: ways grow from v until all such u are met.
+    wanted = inside.select("repo_id", F.col("target").alias("start"), F.col("source").alias("at"))
+    ways = cut(wanted.select("repo_id", "start").distinct().select("repo_id", "start", F.col("start").alias("at"), F.array("start").alias("modules")))
+    seen, found = ways.select("repo_id", "start", "at"), None
+    lists = [Rounds(edges.sparkSession) for _ in range(4)]
+    while True:
+        hits = ways.join(wanted, ["repo_id", "start", "at"]).select("repo_id", "modules")
+        found = lists[0].lay(hits if found is None else found.union(hits))
+        wanted = lists[1].lay(wanted.join(ways, ["repo_id", "start", "at"], "left_anti"))
+        open_ = wanted.select("repo_id", "start").distinct()
+        if open_.isEmpty():
+            break
+        grown = ways.join(open_, ["repo_id", "start"], "left_semi").join(step, ["repo_id", "at"])
+        best = grown.groupBy("repo_id", "start", F.col("to").alias("at")).agg(F.min("modules").alias("modules"))
+        ways = lists[2].lay(best.join(seen, ["repo_id", "start", "at"], "left_anti").select("repo_id", "start", "at", F.concat("modules", F.array("at")).alias("modules")))
+        seen = lists[3].lay(seen.union(ways.select("repo_id", "start", "at")))
+    first = F.array_position("modules", F.array_min("modules")).cast("int")
+    turned = F.concat(F.slice("modules", first, F.size("modules")), F.slice("modules", F.lit(1), first - 1))
+    return found.select("repo_id", turned.alias("modules")).distinct().withColumn("length", F.size("modules"))
+
+
 def cycle_evidence(cycles: DataFrame, facts: DataFrame, order: str = "ord") -> DataFrame:
     """Imports that link neighbouring modules of a cycle, one per file pair.
 

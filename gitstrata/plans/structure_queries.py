@@ -90,6 +90,48 @@ def _(src):
     return out.select("repo_id", F.array_join("modules", ">").alias("cycle"), "length")
 
 
+REACHES = f"""(WITH RECURSIVE e AS (SELECT * FROM {MODULES}), r AS (SELECT repo_id, source, target FROM e
+  UNION SELECT r.repo_id, r.source, e.target FROM r JOIN e ON e.repo_id = r.repo_id AND e.source = r.target)
+ SELECT a.repo_id, a.source AS node, max(a.target) AS component FROM r a JOIN r b ON b.repo_id = a.repo_id AND b.source = a.target AND b.target = a.source GROUP BY 1, 2)"""
+# Every cycle in each rotation closes the edge from its last module to its first: the least rotation is that edge's cycle.
+SHORTEST = f"""(SELECT DISTINCT repo_id, cycle, length FROM (
+ SELECT repo_id, array_to_string(modules, '>') AS cycle, len(modules) AS length, list_concat(modules[i:], modules[:i - 1]) AS turned
+ FROM (SELECT *, unnest(generate_series(1, len(modules))) AS i FROM {CYCLES})
+) QUALIFY row_number() OVER (PARTITION BY repo_id, turned[1], turned[length] ORDER BY length, turned) = 1)"""
+
+
+@query("module_components", f"SELECT * FROM {REACHES}")
+def _(src):
+    return G.strong_components(G.module_edges(facts(src)))
+
+
+@query("module_cycle_flags", f"SELECT repo_id, count(DISTINCT component) AS components, count(*) AS nodes FROM {REACHES} GROUP BY 1")
+def _(src):
+    return G.cycle_flags(G.module_edges(facts(src)))
+
+
+@query("shortest_module_cycles", f"SELECT * FROM {SHORTEST}")
+def _(src):
+    return G.shortest_cycles(G.module_edges(facts(src))).select("repo_id", F.array_join("modules", ">").alias("cycle"), "length")
+
+
+def evidence_sql(cycles):
+    return f"""
+WITH p AS (SELECT repo_id, cycle, string_split(cycle, '>') AS modules, unnest(generate_series(1, length)) AS i FROM {cycles}),
+pairs AS (SELECT repo_id, cycle, modules[i] AS module, modules[i % len(modules) + 1] AS to_module FROM p),
+hits AS (SELECT f.repo_id, f.path, f.module, t.module AS to_module, f.imp, arg_min(t.path, t.ord) AS target FROM
+  (SELECT repo_id, path, module, imp_a AS imp FROM {FACTS} UNION SELECT repo_id, path, module, imp_b FROM {FACTS}) f
+  JOIN {FACTS} t ON t.repo_id = f.repo_id AND starts_with(f.imp, t.pkg || '.') GROUP BY ALL)
+SELECT q.repo_id, q.cycle, q.module, q.to_module, h.path AS source, min(h.imp) AS "import", h.target FROM pairs q
+JOIN hits h ON h.repo_id = q.repo_id AND h.module = q.module AND h.to_module = q.to_module GROUP BY q.repo_id, q.cycle, q.module, q.to_module, h.path, h.target"""
+
+
+@query("shortest_cycle_evidence", evidence_sql(SHORTEST))
+def _(src):
+    f = facts(src)
+    return G.cycle_evidence(G.shortest_cycles(G.module_edges(f)), f)
+
+
 @query("cycle_evidence", f"""
 WITH p AS (SELECT repo_id, array_to_string(modules, '>') AS cycle, modules, unnest(generate_series(1, len(modules))) AS i FROM {CYCLES}),
 pairs AS (SELECT repo_id, cycle, modules[i] AS module, modules[i % len(modules) + 1] AS to_module FROM p),
@@ -142,6 +184,16 @@ def _(src):
     return G.impact_scope(affected(src, f), G.module_cycles(G.module_edges(f)), G.layer_violations(f))
 
 
+@query("impact_scope_by_components", f"""
+SELECT a.repo_id, a.direct_files, a.indirect_files, coalesce(c.n, 0) AS cycles, coalesce(v.n, 0) AS violations, CASE WHEN c.n > 0 THEN 'HIGH' WHEN v.n > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk
+FROM (SELECT repo_id, count(*) FILTER (reach = 'direct') AS direct_files, count(*) FILTER (reach = 'indirect') AS indirect_files FROM {AFFECTED} GROUP BY 1) a
+LEFT JOIN (SELECT repo_id, count(DISTINCT component) AS n FROM {REACHES} GROUP BY 1) c USING (repo_id) LEFT JOIN (SELECT repo_id, count(*) AS n FROM {LAYERS} GROUP BY 1) v USING (repo_id)""")
+def _(src):
+    f = facts(src)
+    components = G.strong_components(G.module_edges(f)).select("repo_id", "component").distinct()
+    return G.impact_scope(affected(src, f), components, G.layer_violations(f))
+
+
 @query("risk_signals", f"""
 SELECT repo_id, 'cycle' AS kind, array_to_string(modules, ' > ') AS signal FROM {CYCLES} UNION SELECT repo_id, 'layer', source || ' > ' || target FROM {LAYERS}""")
 def _(src):
@@ -483,3 +535,27 @@ LEFT JOIN commits l ON l.repo_id = t.repo_id AND l.id = t.last_hash AND l.branch
 def _(src):
     starts = T.since_hash(marks(src), src.commits.select("repo_id", "branch").distinct())
     return T.incremental(src.commits, starts).select("repo_id", "branch", "id")
+
+
+# Two branches a repository: the newest commit, and a merge in the middle of the history.  A mark is a commit that was
+# the tip before; dates of commits don't follow the history, so many unread commits are older than the mark.
+TIPS = """
+SELECT repo_id, 'main' AS branch, MAX(id) AS tip, LPAD(CAST(MAX(ord) - MAX(ord) % 100 - 300 + MAX(ord % 4) AS STRING), 8, '0') AS marked FROM commits GROUP BY repo_id
+UNION ALL
+SELECT repo_id, 'topic' AS branch, MAX(CASE WHEN parent2 IS NOT NULL AND ord < half THEN id END) AS tip,
+  CASE WHEN repo_id = 'repo3' THEN 'nowhere' WHEN repo_id <> 'repo1' THEN LPAD(CAST(200 + MAX(ord % 4) AS STRING), 8, '0') END AS marked
+FROM (SELECT *, (SELECT MAX(o_orderkey) / 2 FROM orders) AS half FROM commits) c GROUP BY repo_id
+"""
+
+
+@query("incremental_by_reachability", f"""
+WITH RECURSIVE ends AS ({TIPS}),
+links AS (SELECT repo_id, id, parent1 AS p FROM commits WHERE parent1 IS NOT NULL UNION ALL SELECT repo_id, id, parent2 FROM commits WHERE parent2 IS NOT NULL),
+inside AS (SELECT repo_id, branch, tip AS id FROM ends UNION SELECT i.repo_id, i.branch, l.p FROM inside i JOIN links l ON l.repo_id = i.repo_id AND l.id = i.id),
+outside AS (SELECT repo_id, branch, marked AS id FROM ends WHERE marked IS NOT NULL UNION SELECT i.repo_id, i.branch, l.p FROM outside i JOIN links l ON l.repo_id = i.repo_id AND l.id = i.id)
+SELECT i.repo_id, i.branch, i.id FROM inside i JOIN commits c ON c.repo_id = i.repo_id AND c.id = i.id WHERE NOT EXISTS (SELECT 1 FROM outside o WHERE o.repo_id = i.repo_id AND o.branch = i.branch AND o.id = i.id)""")
+def _(src):
+    ends = src.sql(TIPS)
+    starts = T.since_hash(ends.select("repo_id", "branch", F.col("marked").alias("last_hash")), ends)
+    commits = src.commits.withColumn("parent_ids", F.array_compact(F.array("parent1", "parent2")))
+    return T.unread(commits, starts, ends).select("repo_id", "branch", "id")
