@@ -212,16 +212,25 @@ def module_summary(
     )
 
 
+def method_candidates(symbols: DataFrame, requests: DataFrame, n: int | None = None) -> DataFrame:
+    """Functions of every requested method name, once per (repo, method): all, or the first ``n`` in input order.
+
+    Rows grow with methods and functions, whatever number of classes ask for one method.
+    ``candidate`` is the rank with ``n``, else the ``ord``.
+    """
+    methods = split_symbol(requests).select("repo_id", F.col("method").alias("name")).distinct()
+    functions = symbols.where(F.col("kind") == "Function").join(methods, ["repo_id", "name"], "left_semi")
+    found = functions.withColumn("candidate", F.col("ord")) if n is None else _top(functions, ["repo_id", "name"], [F.col("ord")], n, "candidate")
+    return found.withColumnRenamed("name", "method")
+
+
 def symbol_candidates(symbols: DataFrame, requests: DataFrame, n: int | None = None) -> DataFrame:
     """Functions with the method name of each requested symbol, in input order: all, or the first ``n``.
 
-    With ``n``, candidates are picked once per (repo, method), not per request, and
-    before the join.  ``candidate`` is then their rank, without it their ``ord``.
+    The result holds a row per symbol and candidate; ``method_candidates`` has each candidate
+    once, and ``resolve_symbols`` needs neither.
     """
-    asked = split_symbol(requests)
-    functions = symbols.where(F.col("kind") == "Function")
-    found = functions.withColumn("candidate", F.col("ord")) if n is None else _top(functions, ["repo_id", "name"], [F.col("ord")], n, "candidate")
-    return asked.join(found.withColumnRenamed("name", "method"), ["repo_id", "method"])
+    return split_symbol(requests).join(method_candidates(symbols, requests, n), ["repo_id", "method"])
 
 
 def split_symbol(requests: DataFrame) -> DataFrame:
@@ -232,17 +241,45 @@ def split_symbol(requests: DataFrame) -> DataFrame:
     )
 
 
+def suffix_index(functions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(repo_id, symbol, target): of the functions whose qualified name ends with a symbol, the first by ``ord``.
+
+    A function is entered once for every length of symbol that is asked of its method, under
+    the end of its name of that length, so requests meet their function by equality.
+    """
+    lengths = asked.select("repo_id", "method", F.length("symbol").alias("_len")).distinct()
+    ends = functions.select("repo_id", F.col("name").alias("method"), "qualified_name", "ord").join(lengths, ["repo_id", "method"])
+    ends = ends.where(F.length("qualified_name") >= F.col("_len")).withColumn("symbol", F.expr("right(qualified_name, _len)"))
+    first = ends.groupBy("repo_id", "method", "symbol").agg(F.min_by("qualified_name", F.struct("ord", "qualified_name")).alias("target"))
+    return asked.select("repo_id", "method", "symbol").join(first, ["repo_id", "method", "symbol"]).select("repo_id", "symbol", "target")
+
+
 def resolve_symbols(symbols: DataFrame, requests: DataFrame) -> DataFrame:
-    """``Class.method`` to a graph node: by ending, then by class in path or name; bare names take the first."""
-    c = symbol_candidates(symbols, requests)
-    qn = F.col("qualified_name")
-    ends = qn.endswith(F.concat_ws(".", "cls", "method"))
-    loose = qn.contains(F.concat(F.lit("."), F.col("method"))) & (F.col("file").contains(F.col("cls")) | qn.contains(F.col("cls")))
-    step = F.when(F.col("cls").isNull(), 0).when(ends, 0).when(loose, 1)
-    return (
-        c.withColumn("_step", step).where("_step IS NOT NULL")
-        .groupBy("repo_id", "symbol").agg(F.min_by("qualified_name", F.struct("_step", "candidate")).alias("target"))
-    )
+    """``Class.method`` to a graph node: by ending, then by class in path or name; bare names take the first.
+
+    Endings are found through ``suffix_index``.  Only what it leaves looks for functions of the
+    method whose path or name holds the class part, by its rarest token; no request meets all
+    functions of its name.
+    """
+    asked = split_symbol(requests)
+    functions = symbols.where((F.col("kind") == "Function") & F.col("qualified_name").isNotNull())
+    order = F.struct("ord", "qualified_name")
+    firsts = functions.groupBy("repo_id", F.col("name").alias("method")).agg(F.min_by("qualified_name", order).alias("target"))
+    bare = asked.where("cls IS NULL").join(firsts, ["repo_id", "method"]).select("repo_id", "symbol", "target")
+    whole = asked.where("cls IS NOT NULL")
+    ended = cut(whole.join(suffix_index(functions, whole), ["repo_id", "symbol"], "left").select("repo_id", "symbol", "cls", "method", "target"))
+    by_end = ended.where("target IS NOT NULL").select("repo_id", "symbol", "target")
+    rest = ended.where("target IS NULL").drop("target")
+    named = functions.withColumnRenamed("name", "method").join(rest.select("repo_id", "method").distinct(), ["repo_id", "method"], "left_semi")
+    named = named.where(F.col("qualified_name").contains(F.concat(F.lit("."), F.col("method"))))
+    side = lambda k, c: named.select("repo_id", "method", "qualified_name", "ord", F.lit(k).alias("_side"), F.col(c).alias("body"))
+    texts = side(0, "qualified_name").union(side(1, "file").where("body IS NOT NULL"))
+    words = rest.select("repo_id", "method", F.col("cls").alias("word"))
+    held = containing(texts, words, ["repo_id", "method"], ["qualified_name", "ord", "_side"])
+    loose = held.groupBy("repo_id", "method", F.col("word").alias("cls")).agg(F.min_by("qualified_name", order).alias("target"))
+    any_ = named.groupBy("repo_id", "method").agg(F.min_by("qualified_name", order).alias("target")).withColumn("cls", F.lit(""))
+    loose = loose.unionByName(any_)
+    return by_end.union(bare).union(rest.join(loose, ["repo_id", "method", "cls"]).select("repo_id", "symbol", "target"))
 
 
 def caller_facts(edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -67,6 +67,35 @@ def old_ranges(hunks: DataFrame) -> DataFrame:
     return kept.withColumn("first", F.col("old_start")).withColumn("last", F.col("old_start") + F.col("old_count") - 1)
 
 
+def aligned(first: Column, last: Column) -> Column:
+    """The range as at most two aligned nodes a level: (level, node) stands for 2**level lines from node * 2**level.
+
+    A range of any length gives less than two nodes per doubling of it, so a header that claims
+    two thousand million lines costs a few dozen rows.
+    """
+    low, end = first.cast("long"), last.cast("long") + 1
+    left = lambda k: F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+    right = lambda k: F.call_function("shiftright", end, k)
+    node = lambda on, k, n: F.when(on, F.struct(k.alias("level"), n.alias("node")))
+    of = lambda k: F.array(
+        node((left(k) < right(k)) & (left(k) % 2 == 1), k, left(k)), node((left(k) < right(k)) & (right(k) % 2 == 1), k, right(k) - 1)
+    )
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(32)), of)))
+
+
+def in_ranges(lines: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``lines`` (keys, line_no, ...) with every row of ``ranges`` (keys, first, last, ...) that holds their line.
+
+    An interval join by equality: a range is put under its aligned nodes, a line under those
+    nodes above it whose level some range of the same keys uses.
+    """
+    nodes = ranges.where((F.col("first") >= 0) & (F.col("first") <= F.col("last"))).withColumn("_n", F.explode(aligned(F.col("first"), F.col("last"))))
+    nodes = nodes.select(*ranges.columns, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+    levels = nodes.select(*keys, "_level").distinct()
+    placed = lines.join(levels, keys).withColumn("_node", F.expr("shiftright(cast(line_no AS bigint), _level)"))
+    return placed.join(nodes, [*keys, "_level", "_node"]).drop("_level", "_node")
+
+
 def old_lines(hunks: DataFrame) -> DataFrame:
     return old_ranges(hunks).withColumn("line_no", F.explode(F.sequence("first", "last")))
 

@@ -12,6 +12,9 @@ from gitstrata.operators import hunks as H
 from gitstrata.operators.commits import UNKNOWN
 
 
+BLAMED_FILE = ["repo_id", "commit_id_at", "path"]
+
+
 def fix_commits(commits: DataFrame) -> DataFrame:
     return commits.where(F.col("category") == "bugfix")
 
@@ -20,25 +23,22 @@ def single_parent(commits: DataFrame) -> DataFrame:
     return commits.where(F.size("parent_ids") == 1)
 
 
-def fixed_lines(fixes: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Old lines of every file a fix touches but does not delete, with the parent to blame."""
+def fixed_ranges(fixes: DataFrame, diffs: DataFrame) -> DataFrame:
+    """Ranges of old lines of every file a fix touches but does not delete, with the parent to blame."""
     f = single_parent(fixes).select("repo_id", F.col("id").alias("commit_id"), F.element_at("parent_ids", 1).alias("commit_id_at"))
     touched = diffs.where(F.upper(F.coalesce("change_type", F.lit("MODIFY"))) != "DELETE").join(f, ["repo_id", "commit_id"])
-    return H.old_lines(H.hunks(touched)).select(
-        "repo_id", F.col("commit_id").alias("fix_id"), "commit_id_at", "path", "line_no"
-    ).distinct()
+    return H.old_ranges(H.hunks(touched)).select("repo_id", F.col("commit_id").alias("fix_id"), *BLAMED_FILE[1:], "first", "last").distinct()
 
 
-def blamed_lines(lines: DataFrame, blame: DataFrame) -> DataFrame:
+def blamed_lines(ranges: DataFrame, blame: DataFrame) -> DataFrame:
     """Author and commit of each fixed line; lines outside the file and null authors drop out.
 
-    Both sides are line tables keyed by (repo, revision, path, line): bucket or
-    cluster ``blame`` on these columns and the join needs no shuffle of it.
+    Ranges meet lines through ``hunks.in_ranges``, so their length costs nothing.  Only files
+    that are asked for are read; bucket or cluster ``blame`` on (repo, revision, path) and it
+    needs no shuffle.
     """
-    b = blame.where(F.col("author_name").isNotNull()).select(
-        "repo_id", "commit_id_at", "path", "line_no", F.col("author_name").alias("author"), "commit_id"
-    )
-    return lines.join(b, ["repo_id", "commit_id_at", "path", "line_no"])
+    b = blame.where(F.col("author_name").isNotNull()).select(*BLAMED_FILE, "line_no", F.col("author_name").alias("author"), "commit_id")
+    return H.in_ranges(b, ranges, BLAMED_FILE).select("repo_id", "commit_id_at", "path", "line_no", "fix_id", "author", "commit_id").distinct()
 
 
 def per_file(blamed: DataFrame, credit: str = "commit") -> DataFrame:
@@ -75,7 +75,7 @@ def with_share(links: DataFrame) -> DataFrame:
 
 
 def bug_links(fixes: DataFrame, diffs: DataFrame, blame: DataFrame, credit: str = "commit") -> DataFrame:
-    links = with_share(across_files(per_file(blamed_lines(fixed_lines(fixes, diffs), blame), credit)))
+    links = with_share(across_files(per_file(blamed_lines(fixed_ranges(fixes, diffs), blame), credit)))
     who = fixes.select(
         "repo_id", F.col("id").alias("fix_id"), F.coalesce("author_name", F.lit(UNKNOWN)).alias("fixed_by"),
         F.col("message").alias("fixed_message"), F.col("created_at").alias("fixed_at"),
