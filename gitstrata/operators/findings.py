@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -71,7 +72,7 @@ def parse_replies(replies: DataFrame, schema: str) -> DataFrame:
     """Add ``parsed``; a document that does not parse is repaired once and tried again.
 
     Numbers are read as text and cast field by field, so one odd value costs that value,
-    not the reply.  Only failed documents carry text to the Python worker, the others pass null.
+    not the reply.  Failed documents are split off first, so no other row passes through Python.
     ``rejected`` marks what still does not parse, for a bad-records table.
     """
     options = {"columnNameOfCorruptRecord": "_corrupt", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true",
@@ -79,12 +80,12 @@ def parse_replies(replies: DataFrame, schema: str) -> DataFrame:
     first = replies.withColumn("json", isolate_json(F.col("body"))).withColumn(
         "parsed", F.from_json("json", schema, options)
     )
-    failed = (F.col("json") != "") & F.col("parsed._corrupt").isNotNull()
-    second = first.withColumn("_fixed", repair_json(F.when(failed, F.col("json"))))
-    retried = second.withColumn(
-        "parsed", F.when(F.col("_fixed").isNotNull(), F.from_json("_fixed", schema, options)).otherwise(F.col("parsed"))
-    ).drop("_fixed")
-    return retried.withColumn("rejected", (F.col("json") == "") | F.col("parsed._corrupt").isNotNull())
+    failed = F.coalesce((F.col("json") != "") & F.col("parsed._corrupt").isNotNull(), F.lit(False))
+    mended = first.where(failed).withColumn("_fixed", repair_json("json"))
+    mended = mended.withColumn("parsed", F.from_json("_fixed", schema, options)).drop("_fixed")
+    return first.where(~failed).unionByName(mended).withColumn(
+        "rejected", (F.col("json") == "") | F.col("parsed._corrupt").isNotNull()
+    )
 
 
 def whole_number(value: Column) -> Column:
@@ -242,12 +243,19 @@ MERGED_TEXTS = ["evidence", "suggested_fix", "trigger_text", "conclusion", "owne
 
 
 def islands(findings: DataFrame) -> DataFrame:
-    """Add ``island``: the first line of the run of overlapping findings a row belongs to."""
-    keys, order = ["repo_id", "file"], [F.col("start_line"), F.col("ord")]
-    ends = running(findings, keys, order, {"_reach": ("max", F.col("end_line"))}, inclusive=False)
+    """Add ``island``: the first line of the run of overlapping findings a row belongs to.
+
+    It depends on file and first line alone, so only those and the farthest last line are
+    sorted and checkpointed, once per different first line; texts stay where they are.
+    """
+    keys, order = ["repo_id", "file"], [F.col("start_line")]
+    spans = findings.groupBy(*keys, "start_line").agg(F.max("end_line").alias("end_line"))
+    ends = running(spans, keys, order, {"_reach": ("max", F.col("end_line"))}, inclusive=False)
     opens = F.col("_reach").isNull() | (F.col("_reach") < F.col("start_line"))
-    out = running(ends, keys, order, {"island": ("max", F.when(opens, F.col("start_line")))})
-    return out.drop("_reach")
+    lines = running(ends, keys, order, {"island": ("max", F.when(opens, F.col("start_line")))})
+    lines = lines.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "start_line")], "island")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "start_line")])
+    return findings.join(lines, same).select(*findings.columns, "island")
 
 
 def _join_text(acc: Column, nxt: Column) -> Column:
@@ -265,7 +273,7 @@ def merge_overlaps(findings: DataFrame) -> DataFrame:
     minimum before anything is collected, and the list that is folded is no longer
     than the text it produces.  Findings without a file are one file.
     """
-    rows = cut(islands(findings.withColumn("file", F.coalesce("file", F.lit(NO_FILE)))))
+    rows = islands(findings.withColumn("file", F.coalesce("file", F.lit(NO_FILE))))
     keys = ["repo_id", "file", "island"]
     texts = [c for c in MERGED_TEXTS if c in rows.columns]
     place = F.struct(F.col("start_line"), F.col("ord"))

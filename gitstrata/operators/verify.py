@@ -124,13 +124,16 @@ def reject_compile_errors(findings: DataFrame) -> DataFrame:
     return findings.where(F.coalesce(F.col("category"), F.lit("")) != "COMPILE_ERROR")
 
 
+def review_steps(findings, blame, last_authors, reviews, sources) -> tuple[DataFrame, DataFrame]:
+    """(reviewed, merged): raw findings deduplicated, owned and cross reviewed; then masked, with lines checked and overlaps merged."""
+    reviewed = cut(N.apply_reviews(N.trace_owner(N.dedupe_exact(findings), blame, last_authors), reviews))
+    return reviewed, N.merge_overlaps(check_lines(N.mask_findings(reviewed), sources)).drop("merged_count")
+
+
 def review_chain(findings, blame, last_authors, reviews, sources, resolved, callers) -> DataFrame:
     """From raw findings to report input: dedupe, owner, cross review, masking, checks, secrets."""
-    first = N.dedupe_exact(findings)
-    reviewed = cut(N.apply_reviews(N.trace_owner(first, blame, last_authors), reviews))
+    reviewed, merged = review_steps(findings, blame, last_authors, reviews, sources)
     secrets = N.secret_findings(reviewed)
-    masked = N.mask_findings(reviewed)
-    merged = N.merge_overlaps(check_lines(masked, sources)).drop("merged_count")
     kept = outcomes(merged, resolved, callers).where(F.col("outcome") != "rejected")
     return kept.unionByName(secrets.withColumn("outcome", F.lit("secret")), allowMissingColumns=True)
 

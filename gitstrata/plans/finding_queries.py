@@ -388,13 +388,38 @@ CHAIN = ["repo_id", "file", "start_line", "end_line", "severity", "category", "s
 SECRET_ANY = " OR ".join(sql_any_match(c, PATTERNS) for c in N.SECRET_FIELDS)
 
 
-@query("review_chain", f"""
+# The steps of the chain; what each gives is a query of its own too.
+STEPS = f"""
 WITH s1 AS MATERIALIZED (SELECT * FROM {EXACT}), s2 AS MATERIALIZED (SELECT * FROM {traced_sql('s1')}), s3 AS MATERIALIZED (SELECT * FROM {reviewed_sql('s2')}),
 s4 AS MATERIALIZED (SELECT * REPLACE ({', '.join(f"{sql_mask(c)} AS {c}" for c in N.SECRET_FIELDS)}) FROM s3),
 s5h AS MATERIALIZED (SELECT * FROM {hits_sql("s4")}), s5 AS MATERIALIZED (SELECT * FROM {checked_sql("s4", "s5h")}),
-s6 AS MATERIALIZED (SELECT * FROM {merged_sql("s5")}), s7 AS MATERIALIZED (SELECT * FROM {outcome_sql('s6')})
-SELECT {', '.join(CHAIN)} FROM s7 WHERE outcome <> 'rejected' UNION ALL
-SELECT repo_id, file, start_line, end_line, 'P0', 'SECRET_EXPOSURE', 'UNREVIEWED', CAST(0.9 AS DOUBLE), 'secret', owner FROM s3 WHERE ({SECRET_ANY}) AND coalesce(category, '') <> 'SECRET_EXPOSURE'""")
+s6 AS MATERIALIZED (SELECT * FROM {merged_sql("s5")}), resolved AS MATERIALIZED (SELECT * FROM {RESOLVED}), callers AS MATERIALIZED (SELECT * FROM {CALLERS}),
+s7 AS MATERIALIZED (SELECT * FROM {outcome_sql('s6').replace(RESOLVED, 'resolved').replace(CALLERS, 'callers')})
+"""
+SECRETS = f"""SELECT repo_id, file, start_line, end_line, 'P0' AS severity, 'SECRET_EXPOSURE' AS category, 'UNREVIEWED' AS status, CAST(0.9 AS DOUBLE) AS confidence,
+  'secret' AS outcome, owner FROM s3 WHERE ({SECRET_ANY}) AND coalesce(category, '') <> 'SECRET_EXPOSURE'"""
+
+
+def through(step: str) -> str:
+    """SQL of the steps up to ``step``."""
+    return STEPS[:STEPS.index(f"{step} AS MATERIALIZED (")].rstrip().rstrip(",")
+
+
+def chain_parts(src):
+    return V.review_steps(src.findings_small, src.blame_lines, lasts(src), src.reviews, src.sources)
+
+
+@query("review_chain_reviewed", through("s4") + " SELECT ord, severity, category, status, confidence, owner FROM s3", once=True)
+def _(src):
+    return chain_parts(src)[0].select("ord", "severity", "category", "status", "confidence", "owner")
+
+
+@query("review_chain_merged", through("resolved") + " SELECT repo_id, file, start_line, end_line, severity, category, status, confidence, owner FROM s6", once=True)
+def _(src):
+    return chain_parts(src)[1].select(*[c for c in CHAIN if c != "outcome"])
+
+
+@query("review_chain", f"{STEPS} SELECT {', '.join(CHAIN)} FROM s7 WHERE outcome <> 'rejected' UNION ALL SELECT {', '.join(CHAIN)} FROM ({SECRETS})", once=True)
 def _(src):
     out = V.review_chain(src.findings_small, src.blame_lines, lasts(src), src.reviews, src.sources, *call_facts(src))
     return out.select(*CHAIN)

@@ -213,9 +213,10 @@ def _closure(sql: str) -> list[str]:
     return need
 
 
-def with_views(sql: str, *, engine: str = "duckdb") -> str:
-    """``sql`` with the views it reads written in front of it."""
-    head = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in _closure(sql))
+def with_views(sql: str, *, engine: str = "duckdb", once: bool = False) -> str:
+    """``sql`` with the views it reads written in front of it; ``once`` has each worked out a single time."""
+    kept = "MATERIALIZED " if once else ""
+    head = ", ".join(f"{n} AS {kept}({VIEWS[n].strip()})" for n in _closure(sql))
     body = sql.strip()
     if head:
         recursive = re.match(r"(?i)with\s+(recursive\s+)?", body)

@@ -31,8 +31,8 @@ class Source:
         return self.spark.sql(with_views(text, engine="spark"))
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(src)`` under ``name``; ``sql`` is what DuckDB runs."""
+def query(name: str, sql: str | None = None, *, once: bool = False):
+    """Register ``fn(src)`` under ``name``; ``sql`` is what DuckDB runs, with every view worked out ``once`` if asked."""
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = with_views(sql, once=once)
         return fn
 
     return wrap

@@ -263,6 +263,17 @@ EXTERNAL = f"(SELECT * FROM {EVERY_CALLER} WHERE rn <= 10)"
 MFLOWS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, module ORDER BY criticality DESC, id) AS rank FROM
  (SELECT DISTINCT t.repo_id, f.module, t.id, t.name, t.criticality FROM flows t
   JOIN flow_files x ON x.repo_id = t.repo_id AND x.id = t.id JOIN files f ON f.repo_id = x.repo_id AND f.path = x.file)) WHERE rank <= 5)"""
+# The same without bounds: callers into any symbol, every flow.
+EVERY_ALL = """(SELECT t.repo_id, t.module, c.name AS caller, c.file AS caller_file, t.name AS callee, t.file AS callee_file
+ FROM symbols t JOIN call_edges e ON e.repo_id = t.repo_id AND e.target = t.qualified_name AND t.kind = 'Function'
+ JOIN symbols c ON c.repo_id = e.repo_id AND c.qualified_name = e.source WHERE c.module <> t.module)"""
+FLOWS_ALL = MFLOWS.replace(" WHERE rank <= 5", "")
+
+
+def unbounded(sql: str) -> str:
+    return sql.replace(EVERY_CALLER, EVERY_ALL).replace(MFLOWS, FLOWS_ALL)
+
+
 COMM = """(SELECT f.repo_id, f.module, arg_min(c.name, (-c.size, c.id)) AS community FROM files f JOIN communities c ON c.repo_id = f.repo_id AND contains(lower(f.path), replace(lower(c.name), '-', '')) GROUP BY ALL)"""
 
 
@@ -331,15 +342,23 @@ def _(src):
     return K.impact_radius(links(src), src.files.where("module = 'auth' AND layer = 'dao'"), 2)
 
 
-@query("core_edge_split", f"""
+CORE = f"""
 WITH seeds AS (SELECT repo_id, module, file FROM {MHUBS} UNION SELECT repo_id, module, callee_file FROM {EVERY_CALLER}
  UNION SELECT m.repo_id, m.module, x.file FROM {MFLOWS} m JOIN flow_files x ON x.repo_id = m.repo_id AND x.id = m.id JOIN files f ON f.repo_id = m.repo_id AND f.module = m.module AND f.path = x.file),
 core AS (SELECT * FROM seeds UNION SELECT s.repo_id, s.module, l.b FROM seeds s JOIN {BOTH} l ON l.repo_id = s.repo_id AND l.a = s.file)
-SELECT f.repo_id, f.module, f.path AS file, CASE WHEN c.file IS NULL THEN 'edge' ELSE 'core' END AS part FROM files f LEFT JOIN core c ON c.repo_id = f.repo_id AND c.module = f.module AND c.file = f.path""")
+SELECT f.repo_id, f.module, f.path AS file, CASE WHEN c.file IS NULL THEN 'edge' ELSE 'core' END AS part FROM files f LEFT JOIN core c ON c.repo_id = f.repo_id AND c.module = f.module AND c.file = f.path"""
+
+
+@query("core_edge_split", CORE)
 def _(src):
     return K.core_files(src.call_edges, src.symbols, modules(src), src.flows, src.flow_files, called_hubs=K.CALLED_HUBS, n_flows=K.FLOWS)
 
 
+@query("core_edge_split_all", unbounded(CORE))
+def _(src):
+    return K.core_files(src.call_edges, src.symbols, modules(src), src.flows, src.flow_files)
+
+
 TOTALS = f"""(SELECT f.repo_id, f.module, f.files, coalesce(x.n, 0) AS external_callers, CASE WHEN x.n > 0 THEN f.files // 3 ELSE 0 END AS high_impact_files
  FROM (SELECT repo_id, module, count(*) AS files FROM files GROUP BY ALL) f LEFT JOIN (SELECT repo_id, module, count(*) AS n FROM {EVERY_CALLER} GROUP BY ALL) x USING (repo_id, module))"""
 
@@ -350,6 +369,12 @@ def _(src):
     return K.module_totals(m, K.external_callers(src.call_edges, src.symbols, m, K.CALLED_HUBS))
 
 
+@query("module_totals_all", f"SELECT * FROM {unbounded(TOTALS)}")
+def _(src):
+    m = modules(src)
+    return K.module_totals(m, K.external_callers(src.call_edges, src.symbols, m))
+
+
 @query("symbol_search", """
 SELECT r.repo_id, r.symbol, s.qualified_name, s.candidate FROM (SELECT DISTINCT repo_id, symbol, split_part(symbol, '.', -1) AS method FROM findings) r
 JOIN (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY ord) AS candidate FROM symbols WHERE kind = 'Function' QUALIFY candidate <= 15) s ON s.repo_id = r.repo_id AND s.name = r.method""")
@@ -367,16 +392,24 @@ def _(src):
     return K.caller_facts(src.call_edges, symbols(src))
 
 
-@query("module_summary", f"""
+SUMMARY = f"""
 SELECT t.*, coalesce(h.n, 0) AS hubs, coalesce(w.n, 0) AS flows, c.community FROM {TOTALS} t
 LEFT JOIN (SELECT repo_id, module, count(*) AS n FROM {MHUBS} GROUP BY ALL) h USING (repo_id, module) LEFT JOIN (SELECT repo_id, module, count(*) AS n FROM {MFLOWS} GROUP BY ALL) w USING (repo_id, module)
-LEFT JOIN {COMM} c USING (repo_id, module)""")
+LEFT JOIN {COMM} c USING (repo_id, module)"""
+
+
+@query("module_summary", SUMMARY)
 def _(src):
     return K.module_summary(
         src.call_edges, src.symbols, modules(src), src.flows, src.flow_files, src.communities, called_hubs=K.CALLED_HUBS, n_flows=K.FLOWS
     )
 
 
+@query("module_summary_all", unbounded(SUMMARY))
+def _(src):
+    return K.module_summary(src.call_edges, src.symbols, modules(src), src.flows, src.flow_files, src.communities)
+
+
 # ---- review preparation
 
 # One path per diff row: some of them are no code.
