@@ -113,6 +113,18 @@ def fixes(links: DataFrame) -> DataFrame:
     ).drop("_p")
 
 
+def fix_introducers(links: DataFrame, commits: DataFrame) -> DataFrame:
+    """One row per fix, introducing commit and author, with that commit's message; a fix of any size gathers no list."""
+    told = commits.select("repo_id", F.col("id").alias("commit_id"), F.col("message").alias("introduced_message"))
+    named = links.where(F.coalesce("fix_id", F.lit("")) != "").select("repo_id", "fix_id", "commit_id", "author", "fixed_by").distinct()
+    return named.join(told, ["repo_id", "commit_id"], "left").select("repo_id", "fix_id", "commit_id", "author", "fixed_by", "introduced_message")
+
+
+def fix_paths(per_file: DataFrame) -> DataFrame:
+    """One row per fix and file with the lines it took back from each introducing commit."""
+    return per_file.where(F.coalesce("fix_id", F.lit("")) != "").groupBy("repo_id", "fix_id", "path", "commit_id").agg(F.sum("lines").alias("lines"))
+
+
 def fixes_made(links: DataFrame) -> DataFrame:
     one = links.where(F.coalesce("fix_id", F.lit("")) != "").select("repo_id", "fix_id", "fixed_by").distinct()
     return one.groupBy("repo_id", F.col("fixed_by").alias("author")).agg(F.count(F.lit(1)).alias("fixes_made"))

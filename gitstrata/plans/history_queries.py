@@ -164,6 +164,17 @@ def _(src):
     return f.select("repo_id", "fix_id", "fixed_by", F.array_join("introducers", ";").alias("introducers"), F.array_join("commits", ";").alias("commits"))
 
 
+@query("fix_introducers", f"""
+SELECT DISTINCT b.repo_id, b.fix_id, b.commit_id, b.author, b.fixed_by, c.message AS introduced_message FROM {BUGS} b LEFT JOIN commits c ON c.repo_id = b.repo_id AND c.id = b.commit_id""")
+def _(src):
+    return E.fix_introducers(links(src), src.commits)
+
+
+@query("fix_paths", f"SELECT repo_id, fix_id, path, commit_id, CAST(sum(lines) AS BIGINT) AS lines FROM {PER_FILE} GROUP BY ALL")
+def _(src):
+    return E.fix_paths(E.per_file(blamed(src)))
+
+
 @query("fixes_made", f"SELECT repo_id, fixed_by AS author, count(DISTINCT fix_id) AS fixes_made FROM {BUGS} GROUP BY ALL")
 def _(src):
     return E.fixes_made(links(src))
