@@ -29,7 +29,7 @@ from gitstrata.llm.sized import settled, sized
 GROWTH = 1.4  # each size band ends that much above the one before
 SHORT = 8  # 64-bit words of the whole sketch
 SKETCH = [f"s{i}" for i in range(SHORT)]
-ROUNDS = 3  # in which components name their closest neighbour, before all pairs left are compared
+ROUNDS = 2  # in which components name their closest neighbour, before all pairs left are compared
 CHUNK = 512  # sets of one block value compared in one piece; larger groups are compared piece by piece
 REMEMBERED = 1_000_000  # words whose hash a worker keeps
 
@@ -297,7 +297,7 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     tried = settled(best)
     facts = cut(facts_of(signed))
     linked = settled(verify(docs, signed, likely(tried, facts, rule), rule))
-    members = members.select("key", "h")
+    members, tasks = members.select("key", "h"), max(tried.rdd.getNumPartitions(), linked.rdd.getNumPartitions())
     for _ in range(ROUNDS):
         opened = _open(members, linked)
         members = opened.select("key", "h")
@@ -309,8 +309,8 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
         fresh = settled(near.join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
-        tried = tried.union(fresh)
-        linked = settled(linked.union(verify(docs, signed, fresh, rule)))
+        tried = tried.union(fresh).coalesce(tasks)  # a union has the tasks of both sides, and rounds would add them up
+        linked = settled(linked.union(verify(docs, signed, fresh, rule)).coalesce(tasks))
     opened = _open(members, linked)
     rest = close_pairs(_met(opened, facts), rule, closest=False).select("a", "b").distinct()
     return linked.union(verify(docs, signed, rest.join(tried, ["a", "b"], "left_anti"), rule))
