@@ -19,6 +19,7 @@ EDITS = 1
 LEAST_CHARS = 24  # shorter lines are repeats only when equal
 STEP = 32  # an equal start is skipped in steps of so many characters
 LETTERS = "eantriosl"  # counted per line; one edit moves two counts by one
+FEW = 4  # of them are compared first
 
 DOC = ["doc_id", "text_hash"]
 
@@ -64,9 +65,10 @@ def letter_counts(line: Column) -> Column:
     return packed
 
 
-def count_gap(a: Column, b: Column) -> Column:
+def count_gap(a: Column, b: Column, letters: int) -> Column:
+    """Sum of the differences in the counts of the first ``letters`` letters."""
     gap = F.lit(0)
-    for i in range(len(LETTERS)):
+    for i in range(letters):
         one = F.shiftright(a, 7 * i).bitwiseAND(F.lit(127)) - F.shiftright(b, 7 * i).bitwiseAND(F.lit(127))
         gap = gap + F.abs(one)
     return gap
@@ -160,10 +162,12 @@ def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
     own = rows(0, edits + 1)
     probing = rows(edits + 1, total)
     a = own.select(F.col("h1").alias("a"), F.col("letters").alias("la"), "k")
+    # A few letters rule most pairs out, so all of them are compared for the rest only.
+    few = lambda n: count_gap(F.col("la"), F.col("lb"), n) <= 2 * edits
     pairs = None
     for other, order in ((own, F.col("a") < F.col("b")), (probing, F.col("a") != F.col("b"))):
         b = other.select(F.col("h1").alias("b"), F.col("letters").alias("lb"), F.col("k").alias("kb"))
-        found = a.join(b, (a["k"] == b["kb"]) & order & (count_gap(F.col("la"), F.col("lb")) <= 2 * edits)).select(
+        found = a.join(b, (a["k"] == b["kb"]) & order & few(FEW) & few(len(LETTERS))).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         )
         pairs = found if pairs is None else pairs.union(found)
