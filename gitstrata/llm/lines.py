@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gitstrata.functions.scale import cut
 from gitstrata.llm.graph import components
 from gitstrata.llm.rows import without_repeated_rows
-from gitstrata.llm.sized import sized
+from gitstrata.llm.sized import settled, sized
 
 EDITS = 1
 LEAST_CHARS = 24  # shorter lines are repeats only when equal
@@ -209,7 +209,8 @@ def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     shared = classed.where("times > 1 or component is not null").withColumn("class", F.coalesce("component", "h1"))
     # A line known once and linked to nothing stands for itself; only the others meet again.
     first = shared.groupBy("class").agg(F.min("place").alias("first"))
-    stays = shared.select("h1", "h2", "class").join(first, "class").select("h1", "h2", "first")
+    # Written here, so that what was shuffled to find it is gone before texts are.
+    stays = settled(shared.select("h1", "h2", "class").join(first, "class").select("h1", "h2", "first"))
     found = occurrences(docs).select("doc_id", "text_hash", "line_no", "h1", "h2").join(stays, ["h1", "h2"])
     mine = F.struct("doc_id", "text_hash", "line_no")
     return found.where(~mine.eqNullSafe(F.col("first"))).groupBy(*DOC).agg(F.collect_set("line_no").alias("removed"))
