@@ -12,3 +12,30 @@ def test_no_table_is_broadcast_by_a_guess(spark, name):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_diffs_of_other_commits_go_at_the_scan(spark):
+    """The subquery sits below the window that numbers all line items, so their diffs are never built."""
+    from gitstrata.operators import origins as E
+    from gitstrata.plans import history_queries as h
+    from gitstrata.plans.registry import Source
+
+    src = Source(spark, FOLDER)
+    plan = E.fixed_ranges(h.fixing(src), src.diffs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = {word: min((len(line) - len(line.lstrip(" :|+-")) for line in plan if word in line), default=None) for word in ("Window [", "Join LeftSemi")}
+    assert depth["Join LeftSemi"] is not None and depth["Join LeftSemi"] > depth["Window ["]
+
+
+def test_every_line_of_a_range_lies_in_one_node(spark):
+    from pyspark.sql import functions as F
+
+    from gitstrata.operators import hunks as H
+
+    ranges = [(0, 0), (0, 7), (1, 8), (5, 5), (6, 70), (63, 64), (1, 4096), (4095, 8192), (7, 2_000_000_000)]
+    rows = spark.createDataFrame(ranges, "first int, last int").select("first", "last", F.explode(H.aligned(F.col("first"), F.col("last"))).alias("n")).select("first", "last", "n.*").collect()
+    for first, last in ranges:
+        at = first
+        for low, high in sorted((r.node << r.level, (r.node + 1) << r.level) for r in rows if (r.first, r.last) == (first, last)):
+            assert low == at
+            at = high
+        assert at == last + 1
