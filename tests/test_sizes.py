@@ -39,3 +39,34 @@ def test_every_line_of_a_range_lies_in_one_node(spark):
             assert low == at
             at = high
         assert at == last + 1
+
+
+def test_running_without_and_with_chunks(spark):
+    """Narrow keys take a plain window without a checkpoint; with ``most`` 0 the same rows come chunk by chunk."""
+    from pyspark.sql import functions as F
+
+    from gitstrata.functions import scale
+
+    df = spark.range(400).select((F.col("id") % 7).alias("k"), "id")
+    outs = {"s": ("sum", F.col("id")), "m": ("last", F.when(F.col("id") % 5 == 0, F.col("id")))}
+    whole, cut = (scale.running(df, ["k"], [F.col("id")], outs, inclusive=False, most=most) for most in (100, 0))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    assert "ExistingRDD" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert scale.widest(df, ["k"]) >= 58
+
+
+def test_turns_hold_the_events_of_a_line(spark):
+    from pyspark.sql import functions as F
+
+    from gitstrata.operators import churn as X
+
+    rows = [(i, o, oc, n, nc) for i, (o, oc, n, nc) in enumerate([(5, 3, 5, 1), (5, 0, 6, 2), (9, 2, 9, 0), (4, 1, 8, 2), (7, 0, 7, 0)])]
+    hunks = spark.createDataFrame(rows, "hunk_no int, old_start int, old_count int, new_start int, new_count int").selectExpr(
+        "*", "'r' AS repo_id", "'p' AS path", "1L AS seq", "'c' AS commit_id", "'a' AS author_name", "1 AS created_at", "1 AS line_start", "1 AS line_end"
+    )
+    from gitstrata.operators import hunks as H
+
+    hunks = H.with_kind(hunks)
+    want = X.line_events(hunks).groupBy("hunk_no", "line_no").agg(F.max(F.col("step") == 0).alias("checked"), F.max("step").alias("step"))
+    got = X.line_turns(hunks).select("hunk_no", "line_no", "checked", "step")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
