@@ -70,3 +70,17 @@ def test_turns_hold_the_events_of_a_line(spark):
     want = X.line_events(hunks).groupBy("hunk_no", "line_no").agg(F.max(F.col("step") == 0).alias("checked"), F.max("step").alias("step"))
     got = X.line_turns(hunks).select("hunk_no", "line_no", "checked", "step")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_large_batches_of_a_stream_are_many_files(spark):
+    from pyspark.sql import functions as F
+
+    from gitstrata.plans import stream_queries as S
+    from gitstrata.plans.registry import Source
+
+    rows = spark.range(4000).select("id", (F.col("id") % 4).alias("part"))
+    stream = S.in_batches(Source(spark, FOLDER), rows, F.col("part"), F.col("id") % 5 == 0, files=3, many=500)
+    seen = []
+    stream.writeStream.foreachBatch(lambda df, k: seen.append((len(df.inputFiles()), df.select("part").distinct().count(), df.count()))).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and sum(s[2] for s in seen) == 4800
+    assert [s[1] for s in seen] == [1, 2, 2, 2]
