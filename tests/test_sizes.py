@@ -84,3 +84,8 @@ def test_large_batches_of_a_stream_are_many_files(spark):
     stream.writeStream.foreachBatch(lambda df, k: seen.append((len(df.inputFiles()), df.select("part").distinct().count(), df.count()))).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 4 and sum(s[2] for s in seen) == 4800
     assert [s[1] for s in seen] == [1, 2, 2, 2]
+
+
+def test_links_of_calls_are_worked_out_once(spark):
+    """The last of two steps reads written links, no line items."""
+    assert not [f for f in QUERIES["impact_radius_2"](spark, FOLDER).inputFiles() if "lineitem" in f]
