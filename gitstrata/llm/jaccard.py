@@ -3,8 +3,9 @@
 Every shingle of a set flips one bit of its sketch, so the Hamming distance of two sketches
 is at most the size of the sets' symmetric difference.  Sets of similar size (a band) that
 may differ in d shingles are cut into more than d blocks by hash: linked sets have an equal
-block.  Sets that share a block are compared by a short whole sketch, what passes is
-verified on the full sets, and links are closed into components.
+block.  Sets that share a block are compared by a short whole sketch, then by a long one that
+follows the size of the set, what passes is verified on the full sets, and links are closed
+into components.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from gitstrata.llm.sized import settled, sized
 GROWTH = 1.4  # each size band ends that much above the one before
 SHORT = 8  # 64-bit words of the whole sketch
 SKETCH = [f"s{i}" for i in range(SHORT)]
-ROUNDS = 2  # in which components name their closest neighbour, before all pairs left are compared
+FINE = 8  # bits of a long sketch for each shingle in which linked sets may differ, at least
+ROUNDS = 2  # in which the components of a block are joined along their closest pairs, before all pairs left are compared
 CHUNK = 512  # sets of one block value compared in one piece; larger groups are compared piece by piece
 REMEMBERED = 1_000_000  # words whose hash a worker keeps
 
@@ -82,6 +84,14 @@ class Rule:
         """Most shingles in which linked sets with so many shingles in sum can differ."""
         return both * (100 - self.percent) // (100 + self.percent)
 
+    def least_common(self, small: np.ndarray, large: np.ndarray) -> np.ndarray:
+        """Least number of keys that linked sets of these sizes share: blocks of the larger one's band that no difference can reach."""
+        tops = [1]
+        while len(large) and tops[-1] < large.max():
+            tops.append(max(tops[-1] + 1, int(tops[-1] * GROWTH)))
+        top = np.asarray(tops, dtype=np.int64)[np.searchsorted(tops, large)]
+        return np.maximum(self.differing(2 * top) - self.differing(small + large), 0) + 1
+
     def bands(self, n: int) -> list[tuple[int, int]]:
         """(band, its largest size) of the own band, and of the next if a larger partner may be there."""
         band, top = 0, 1
@@ -121,26 +131,58 @@ class Rule:
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def short_sketch(sets: np.ndarray) -> np.ndarray:
-    flips = np.bincount((mix(sets ^ _C) & U(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT)
+def sketch(sets: np.ndarray, bits: int) -> np.ndarray:
+    flips = np.bincount((mix(sets ^ _C) & U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
+def short_sketch(sets: np.ndarray) -> np.ndarray:
+    return sketch(sets, 64 * SHORT)
+
+
+def long_sketch(sets: np.ndarray, rule: Rule) -> bytes:
+    """A power of two of bits, so that a longer sketch folds to the length of a shorter one."""
+    bits = 64 * SHORT
+    while bits < FINE * rule.differing(2 * len(sets)):
+        bits *= 2
+    return sketch(sets, bits).tobytes()
+
+
+def sketches_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which long sketches differ, pair by pair, at the shorter one's length; never more than their sets differ in."""
+    out = np.zeros(len(x), dtype=np.int64)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (p, q) in enumerate(zip(x, y, strict=True)):
+        kinds.setdefault((len(p), len(q)), []).append(i)
+    for (p, q), rows in kinds.items():
+        sides = []
+        for side, size in ((x, p), (y, q)):
+            words = np.frombuffer(b"".join(side[i] for i in rows), dtype=np.uint64).reshape(len(rows), -1)
+            while size > min(p, q):
+                size //= 2
+                words = words[:, :size // 8] ^ words[:, size // 8:]
+            sides.append(words)
+        out[rows] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
+    return out
+
+
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, set hash h, text hash, short sketch s0.. and block keys of every document."""
+    """doc_id, n, set hash h, text hash, short sketch s0.., long sketch and block keys of every document."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()  # sets this task has given keys for: copies need none
         for batch in batches:
-            n, h, short, keys = [], [], [], []
+            n, h, short, long, keys = [], [], [], [], []
             for text in batch["text"]:
                 sets = shingles(text, rule.words)
                 n.append(len(sets))
                 h.append(xxhash.xxh3_64_intdigest(sets.tobytes()))
                 short.append(short_sketch(sets))
-                keys.append(rule.keys(sets).view(np.int64) if len(sets) and h[-1] not in met else np.zeros(0, dtype=np.int64))
+                new = len(sets) > 0 and h[-1] not in met
+                keys.append(rule.keys(sets).view(np.int64) if new else np.zeros(0, dtype=np.int64))
+                long.append(long_sketch(sets, rule) if new else None)
                 met.add(h[-1])
-            out = batch[["doc_id", "text_hash"]].assign(n=n, h=np.asarray(h, dtype=np.uint64).view(np.int64), keys=keys)
+            out = batch[["doc_id", "text_hash"]].assign(n=n, h=np.asarray(h, dtype=np.uint64).view(np.int64), long=long, keys=keys)
             words = np.asarray(short).reshape(-1, SHORT)
             yield out.assign(**{f"s{i}": words[:, i] for i in range(SHORT)})
 
@@ -148,7 +190,7 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     rows = as_text(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id"])
     kind = rows.schema["doc_id"].dataType.simpleString()
     shorts = ", ".join(f"s{i} long" for i in range(SHORT))
-    signed = rows.mapInPandas(sign, f"doc_id {kind}, text_hash long, n long, h long, keys array<long>, {shorts}")
+    signed = rows.mapInPandas(sign, f"doc_id {kind}, text_hash long, n long, h long, long binary, keys array<long>, {shorts}")
     return restored(signed, numbers)
 
 
@@ -181,12 +223,30 @@ def expanded(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+def longs_of(signed: DataFrame) -> DataFrame:
+    """One row per different set: h, n and the long sketch."""
+    return signed.where("long IS NOT NULL").groupBy("h").agg(F.max("n").alias("n"), F.first("long").alias("long"))
+
+
+def closer(pairs: DataFrame, longs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose long sketches don't rule a link out; these are a small part of the sets."""
+    sides = pairs.join(longs.toDF("b", "nb", "lb"), "b").join(longs.toDF("a", "na", "la"), "a")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            apart = sketches_apart(list(batch["la"]), list(batch["lb"]))
+            yield batch.loc[apart <= rule.differing((batch["na"] + batch["nb"]).to_numpy()), ["a", "b"]]
+
+    return sides.select("a", "b", "na", "nb", "la", "lb").mapInPandas(compare, "a long, b long")
+
+
+def verify(docs: DataFrame, signed: DataFrame, longs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of set hashes whose whole sets are similar enough.
 
-    Sets are laid out by hash once; each pair then takes its second set to its first one.
+    Sets are laid out by hash once; each pair that the long sketches let through then takes its
+    second set to its first one.
     """
-    pairs = cut(pairs)
+    pairs = settled(closer(pairs, longs, rule))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     one = sized(signed.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text_hash").alias("t")))
     texts = docs.select("text", F.xxhash64("text").alias("t")).join(one, "t").select("h", "text")
@@ -216,14 +276,35 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, rule: Rule) ->
     return sides.select("a", "b", "fa", "fb").mapInPandas(compare, "a long, b long")
 
 
+def forest(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of pairs of components, closest first, those that join what the ones before have not."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = root[x]
+        return x
+
+    ordered = pairs.sort_values(["apart", "a", "b"])
+    low, high = np.minimum(ordered["ca"], ordered["cb"]), np.maximum(ordered["ca"], ordered["cb"])
+    ordered = ordered.assign(low=low, high=high).drop_duplicates(["low", "high"])
+    keep = np.zeros(len(ordered), dtype=bool)
+    for i, (x, y) in enumerate(zip(ordered["low"].tolist(), ordered["high"].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            root[y], keep[i] = x, True
+    return ordered[keep]
+
+
 def close_pairs(grouped: DataFrame, rule: Rule, *, closest: bool) -> DataFrame:
     """Pairs of one block value in different components whose short sketches may be close enough.
 
     ``grouped``: key, h, comp, n, s0.., part (chunk of the set in a group) and i, j (the two
     chunks that meet).  Rows of a meeting are neighbours after sorting; each is compared with
-    the ones after it, all meetings of a batch at once.  With ``closest`` every component
-    names only the pair to the closest other one it meets, so a group gives no more pairs
-    than it has members.
+    the ones after it, all meetings of a batch at once.  With ``closest`` only a forest of
+    closest pairs is named, so a meeting gives fewer pairs than it has components.  Without, a
+    pair must share as many keys as its sizes ask for.
     """
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         new = (rows[MEETING] != rows[MEETING].shift()).any(axis=1).to_numpy()
@@ -249,17 +330,19 @@ def close_pairs(grouped: DataFrame, rule: Rule, *, closest: bool) -> DataFrame:
             here = here[behind[here] >= step]
         a, b = np.concatenate(a), np.concatenate(b)
         a, b = np.where(h[a] < h[b], a, b), np.where(h[a] < h[b], b, a)
-        found = {"a": h[a], "b": h[b], "ca": comp[a], "cb": comp[b], "apart": np.concatenate(far)}
-        pairs = pd.DataFrame(found).drop_duplicates()
         if closest:
-            both = pd.concat([pairs.assign(own=pairs["ca"]), pairs.assign(own=pairs["cb"])]).sort_values(["apart", "a", "b"])
-            pairs = both.drop_duplicates("own").drop_duplicates(["a", "b"])
-        return pairs[["a", "b", "ca", "cb", "apart"]]
+            found = {"a": h[a], "b": h[b], "ca": comp[a], "cb": comp[b], "apart": np.concatenate(far)}
+            return forest(pd.DataFrame(found))[["a", "b"]].assign(times=1, need=1)
+        need = rule.least_common(np.minimum(n[a], n[b]), np.maximum(n[a], n[b]))
+        pairs = pd.DataFrame({"a": h[a], "b": h[b], "need": need})
+        return pairs.groupby(["a", "b", "need"]).size().rename("times").reset_index()[["a", "b", "times", "need"]]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return whole_meetings(batches, meet)
 
-    return grouped.mapInPandas(scan, "a long, b long, ca long, cb long, apart long").distinct()
+    found = grouped.mapInPandas(scan, "a long, b long, times long, need long")
+    shared = found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    return shared.where("times >= need").select("a", "b")
 
 
 def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
@@ -279,9 +362,9 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) of set hashes that connect what the exact join connects.
 
     First every set is verified against the smallest set of the block it shares most often.
-    Then components grow as in Boruvka's algorithm: in the most frequent block of its sets,
-    each component names the closest other one, these few pairs are verified, and a round
-    begins anew; what failed is not named again.  Last, block values that still hold several
+    Then components grow along closest pairs: in the most frequent open block of its sets, the
+    components that meet name a forest, these few pairs are verified, and a round begins anew;
+    what failed is not verified again.  Last, block values that still hold several
     components compare all their sets of different components, so no link is missed.  A
     group's sets are cut into chunks that meet in pairs, so no task holds more than two.
     """
@@ -295,8 +378,8 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
         .select(F.least("h", "m.low").alias("a"), F.greatest("h", "m.low").alias("b")).distinct()
     )
     tried = settled(best)
-    facts = cut(facts_of(signed))
-    linked = settled(verify(docs, signed, likely(tried, facts, rule), rule))
+    facts, longs = cut(facts_of(signed)), cut(longs_of(signed))
+    linked = settled(verify(docs, signed, longs, likely(tried, facts, rule), rule))
     members, tasks = members.select("key", "h"), max(tried.rdd.getNumPartitions(), linked.rdd.getNumPartitions())
     for _ in range(ROUNDS):
         opened = _open(members, linked)
@@ -304,16 +387,14 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
         favourite = opened.groupBy("h").agg(F.max(F.struct("size", "key")).alias("m")).select("h", F.col("m.key").alias("key"))
         few = opened.join(favourite, ["h", "key"])
         named = close_pairs(_met(few, facts), rule, closest=True)
-        sides = named.select("ca", "apart", "a", "b").union(named.select("cb", "apart", "a", "b"))
-        near = sides.groupBy("ca").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        fresh = settled(near.join(tried, ["a", "b"], "left_anti"))
+        fresh = settled(named.join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
         tried = tried.union(fresh).coalesce(tasks)  # a union has the tasks of both sides, and rounds would add them up
-        linked = settled(linked.union(verify(docs, signed, fresh, rule)).coalesce(tasks))
+        linked = settled(linked.union(verify(docs, signed, longs, fresh, rule)).coalesce(tasks))
     opened = _open(members, linked)
-    rest = close_pairs(_met(opened, facts), rule, closest=False).select("a", "b").distinct()
-    return linked.union(verify(docs, signed, rest.join(tried, ["a", "b"], "left_anti"), rule))
+    rest = settled(close_pairs(_met(opened, facts), rule, closest=False).join(tried, ["a", "b"], "left_anti"))
+    return linked.union(verify(docs, signed, longs, rest, rule))
 
 
 def grouped(docs: DataFrame, rule: Rule) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from cases import empty, frame, odd, prose
 from pyspark.sql import functions as F
@@ -109,6 +110,32 @@ def test_sketch_distance_never_exceeds_the_difference():
         assert bits <= len(np.setxor1d(a, b))
 
 
+def test_long_sketches_and_shared_keys_rule_out_only_what_is_not_linked():
+    rng, rule = np.random.default_rng(2), jaccard.Rule(5, 80)
+    for _ in range(40):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(20, 3000)), dtype=np.uint64))
+        b = np.union1d(a[rng.random(len(a)) < rng.uniform(0.88, 1)], rng.integers(0, 2**63, len(a) // 20, dtype=np.uint64))
+        differ, most = len(np.setxor1d(a, b)), rule.differing(len(a) + len(b))
+        assert jaccard.sketches_apart([jaccard.long_sketch(a, rule)], [jaccard.long_sketch(b, rule)])[0] <= differ
+        if differ <= most:
+            sizes = sorted([len(a), len(b)])
+            assert len(np.intersect1d(rule.keys(a), rule.keys(b))) >= rule.least_common(np.array(sizes[:1]), np.array(sizes[1:]))[0]
+    # Sets of three thousand that share two thirds: 512 bits let such a pair through, the long sketch does not.
+    a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    b = np.concatenate([a[:2000], rng.integers(0, 2**63, 1000, dtype=np.uint64)])
+    most = rule.differing(6000)
+    assert np.bitwise_count((jaccard.short_sketch(a) ^ jaccard.short_sketch(b)).view(np.uint64)).sum() <= most
+    assert jaccard.sketches_apart([jaccard.long_sketch(a, rule)], [jaccard.long_sketch(b, rule)])[0] > most
+
+
+def test_a_meeting_names_fewer_pairs_than_it_has_components():
+    n = 60
+    a, b = np.triu_indices(n, 1)
+    pairs = pd.DataFrame({"a": a, "b": b, "ca": a, "cb": b, "apart": (b - a)})
+    named = jaccard.forest(pairs)
+    assert len(named) == n - 1 and set(named["apart"]) == {1}
+
+
 def test_jaccard_stands_odd_rows(spark):
     got = jaccard.groups(odd(spark)).toPandas()
     assert len(got) == 10 and set(got[got.doc_id.isin([4, 5])].component_id) == {4}
