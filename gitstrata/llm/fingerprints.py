@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gitstrata.functions.scale import cut
 from gitstrata.llm.carry import as_text, restored, whole_numbers
-from gitstrata.llm.jaccard import known_words, mix
+from gitstrata.llm.jaccard import hashed, mix
 
 WORDS = 5
 BINS = 512  # a power of two
@@ -35,7 +35,7 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     if not parts:
         return np.zeros(0, dtype=np.uint64)
     n = min(words, len(parts))
-    h = np.fromiter(map(known_words().__getitem__, parts), dtype=np.uint64, count=len(parts))
+    h = hashed(parts)
     out = np.full(len(h) - n + 1, U(n), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):

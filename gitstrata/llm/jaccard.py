@@ -10,7 +10,6 @@ into components.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,6 @@ SKETCH = [f"s{i}" for i in range(SHORT)]
 FINE = 8  # bits of a long sketch for each shingle in which linked sets may differ, at least
 ROUNDS = 2  # in which the components of a block are joined along their closest pairs, before all pairs left are compared
 CHUNK = 512  # sets of one block value compared in one piece; larger groups are compared piece by piece
-REMEMBERED = 1_000_000  # words whose hash a worker keeps
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -41,22 +39,17 @@ _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * _B
-        x = (x ^ (x >> U(27))) * _C
-        return x ^ (x >> U(31))
-
-
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+        x = x ^ (x >> U(30))
+        x *= _B
+        x ^= x >> U(27)
+        x *= _C
+        x ^= x >> U(31)
+        return x
 
 
-@functools.cache
-def known_words() -> Words:
-    return Words()
+def hashed(words: list[bytes]) -> np.ndarray:
+    """Hashes of words; working one out is cheaper than a look into a table of hundreds of thousands."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -65,7 +58,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     if not parts:
         return np.zeros(0, dtype=np.uint64)
     n = min(words, len(parts))
-    h = np.fromiter(map(known_words().__getitem__, parts), dtype=np.uint64, count=len(parts))
+    h = hashed(parts)
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):

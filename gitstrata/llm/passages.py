@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gitstrata.functions.scale import cut
 from gitstrata.llm.carry import as_text, restored, whole_numbers
 from gitstrata.llm.graph import components
-from gitstrata.llm.jaccard import known_words, mix
+from gitstrata.llm.jaccard import hashed, mix
 from gitstrata.llm.meetings import MEETING, arrange, whole_meetings
 from gitstrata.llm.sized import settled, sized
 
@@ -31,6 +31,7 @@ RECALL = 0.95  # of pairs at SIMILARITY
 CHUNK = 512  # paragraphs of one band value compared in one piece; larger groups piece by piece
 HOLDERS = 200_000  # documents, each with the paragraphs asked of it, that are broadcast at most
 ELEMENTS = 2_000_000  # shingles of pairs compared at once
+CHARACTERS = 1 << 18  # of texts whose paragraphs are worked out at once
 SHINGLES = LENGTH - WORDS + 1
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -71,95 +72,158 @@ def layout(lines: list[int]) -> list[tuple[int, int]]:
 
 
 class Paragraphs:
-    """First word, words, hash, band keys and shingles of a text's paragraphs: anchored ones, then whole ones."""
+    """First word, words, hash, band keys and shingles of the paragraphs of some texts.
 
-    def __init__(self, text: str | None) -> None:
-        lines = [line.split() for line in (text or "").encode("utf-8", "replace").lower().split(b"\n")]
-        parts = [word for line in lines for word in line]
-        whole = layout([len(line) for line in lines])
-        self.runs, self.pair, anchored = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    The words of all texts lie on end, so a step over them is one array operation; no run that
+    spans two texts is ever read.  ``at`` counts from the first of these words, ``offsets`` says
+    where each text's paragraphs begin: anchored ones, then whole ones.
+    """
+
+    def __init__(self, texts: list[str | None]) -> None:
+        parts: list[bytes] = []
+        firsts, sizes, whole, n_whole = [], [], [], []
+        for text in texts:
+            first, lines = len(parts), []
+            for line in (text or "").encode("utf-8", "replace").lower().split(b"\n"):
+                words = line.split()
+                parts += words
+                lines.append(len(words))
+            found = layout(lines)
+            firsts.append(first)
+            sizes.append(len(parts) - first)
+            whole += [(first + at, n) for at, n in found]
+            n_whole.append(len(found))
+        self.first, size = np.asarray(firsts, dtype=np.int64), np.asarray(sizes, dtype=np.int64)
+        self.runs, self.pair = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
         if len(parts) >= WORDS:
-            h = np.fromiter(map(known_words().__getitem__, parts), dtype=np.uint64, count=len(parts))
+            h = hashed(parts)
             self.runs = np.full(len(h) - WORDS + 1, WORDS, dtype=np.uint64)
             with np.errstate(over="ignore"):
                 self.pair = mix(h[:-1] * _GOLD + h[1:])
                 for j in range(WORDS):
-                    self.runs = self.runs * _GOLD + h[j:j + len(self.runs)]
+                    self.runs *= _GOLD
+                    self.runs += h[j:j + len(self.runs)]
                     self.runs ^= self.runs >> np.uint64(29)
         with np.errstate(over="ignore"):
             self.total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(self.runs))))
-        if len(parts) >= LENGTH:
-            anchored = self._anchored(len(parts))
-        self.anchors = len(anchored)
-        self.at = np.concatenate((anchored, np.asarray([at for at, _ in whole], dtype=np.int64)))
-        self.words = np.concatenate((np.full(len(anchored), LENGTH), np.asarray([n for _, n in whole], dtype=np.int64)))
-
-    def _anchored(self, n: int) -> np.ndarray:
-        if len(self.pair) <= WINDOW:
-            at = np.asarray([int(np.argmin(self.pair))])
-        else:
-            low = np.argmin(np.lib.stride_tricks.sliding_window_view(self.pair, WINDOW), axis=1)
-            low += np.arange(len(low))
-            at = low[np.concatenate(([True], low[1:] != low[:-1]))]
-        at = at[at + LENGTH <= n]
-        at = at if len(at) else np.zeros(1, dtype=np.int64)
-        sums = self.total[at + SHINGLES] - self.total[at]
-        return at[np.concatenate(([True], sums[1:] != sums[:-1]))]  # one anchor for a run of the same words
+        anchored, text_of = self._anchored(size)
+        given = np.asarray(whole, dtype=np.int64).reshape(-1, 2)
+        text_of = np.concatenate((text_of, np.repeat(np.arange(len(texts)), n_whole)))
+        order = np.argsort(text_of, kind="stable")
+        self.text = text_of[order]
+        self.at = np.concatenate((anchored, given[:, 0]))[order]
+        self.words = np.concatenate((np.full(len(anchored), LENGTH), given[:, 1]))[order]
+        self.anchor = order < len(anchored)
+        self.offsets = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def _anchored(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors and their texts; a text of LENGTH words has one at least."""
+        long = np.flatnonzero(size >= LENGTH)
+        if not len(long):
+            return np.zeros(0, dtype=np.int64), long
+        views = np.maximum(size[long] - WINDOW, 1)
+        of = np.repeat(long, views)
+        start = self.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(views) - views, views)
+        wide = min(WINDOW, LENGTH - 1)
+        at = start + np.argmin(np.lib.stride_tricks.sliding_window_view(self.pair, wide)[start], axis=1)
+        keep = self._new(at, of) & (at + LENGTH <= self.first[of] + size[of])
+        at, of = at[keep], of[keep]
+        bare = np.setdiff1d(long, of)
+        order = np.argsort(np.concatenate((of, bare)), kind="stable")
+        at, of = np.concatenate((at, self.first[bare]))[order], np.concatenate((of, bare))[order]
+        keep = self._new(self.total[at + SHINGLES] - self.total[at], of)  # one anchor for a run of the same words
+        return at[keep], of[keep]
+
+    @staticmethod
+    def _new(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.concatenate(([True], (values[1:] != values[:-1]) | (of[1:] != of[:-1])))
+
+    def starts(self) -> np.ndarray:
+        """First words, counted from each text's own first one."""
+        return self.at - self.first[self.text]
 
     def hashes(self) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = mix(self.total[self.at + self.words - WORDS + 1] - self.total[self.at])
-            h[self.anchors:] = mix(h[self.anchors:] + _WHOLE)
-        return h
+            return np.where(self.anchor, h, mix(h + _WHOLE))
 
-    def keys(self) -> list[np.ndarray]:
-        """Per band one key per paragraph: minima of the band's rows, with the anchor of anchored ones.
+    def keys(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per band one key per paragraph, and where each text's begin: minima of the band's rows, with the anchor of anchored ones.
 
         Without the anchor, paragraphs that overlap in one text would collide; copies share it.
         Bands beyond BANDS have whole paragraphs only.
         """
-        anchored, whole = self.at[:self.anchors], self.at[self.anchors:]
-        ends = whole + self.words[self.anchors:] - WORDS + 1
-        made = []
+        anchored, whole = self.at[self.anchor], self.at[~self.anchor]
+        ends = whole + self.words[~self.anchor] - WORDS + 1
+        spans = np.stack((whole, ends), axis=1).ravel()
+        fewer = np.searchsorted(self.text[~self.anchor], np.arange(len(self.offsets)))
+        orders, made = {}, []
+
+        def order(number: int) -> np.ndarray:
+            if number not in orders:
+                # One place more, so that a last end is a place too.
+                orders[number] = np.append(mix(self.runs ^ np.uint64(1 + number) * _GOLD), np.uint64(0))
+            return orders[number]
+
         with np.errstate(over="ignore"):
             for b in range(WHOLE_BANDS):
-                key = np.zeros(0, dtype=np.uint64)
-                if b < BANDS and len(anchored):
-                    key = mix(self.pair[anchored] + np.uint64(b))
-                    for r in range(ROWS):
-                        lows = np.lib.stride_tricks.sliding_window_view(self._order(b * ROWS + r), SHINGLES)[anchored].min(axis=1)
-                        key = mix(key * _GOLD + lows)
                 rest = np.full(len(whole), _WHOLE + np.uint64(b))
                 if len(whole):
                     for r in range(WHOLE_ROWS):
-                        order = np.append(self._order(b * WHOLE_ROWS + r), np.uint64(0))  # so that a last end is a place too
-                        rest = mix(rest * _GOLD + np.minimum.reduceat(order, np.stack((whole, ends), axis=1).ravel())[::2])
-                made.append(np.concatenate((key, rest)))
+                        rest = mix(rest * _GOLD + np.minimum.reduceat(order(b * WHOLE_ROWS + r), spans)[::2])
+                if b >= BANDS:
+                    made.append((rest, fewer))
+                    continue
+                both = np.zeros(len(self.at), dtype=np.uint64)
+                both[~self.anchor] = rest
+                if len(anchored):
+                    key = mix(self.pair[anchored] + np.uint64(b))
+                    for r in range(ROWS):
+                        lows = np.lib.stride_tricks.sliding_window_view(order(b * ROWS + r), SHINGLES)[anchored].min(axis=1)
+                        key = mix(key * _GOLD + lows)
+                    both[self.anchor] = key
+                made.append((both, self.offsets))
         return made
 
-    def _order(self, number: int) -> np.ndarray:
-        return mix(self.runs ^ np.uint64(1 + number) * _GOLD)
-
     def shingles(self, which: np.ndarray) -> list[np.ndarray]:
         """Sorted 32-bit shingle fingerprints of the chosen paragraphs; of whole ones each once."""
         made = []
         for i in which:
             part = (mix(self.runs[self.at[i]:self.at[i] + self.words[i] - WORDS + 1]) >> np.uint64(32)).astype(np.uint32)
-            made.append(np.sort(part) if i < self.anchors else np.unique(part))
+            made.append(np.sort(part) if self.anchor[i] else np.unique(part))
         return made
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts with some CHARACTERS in sum, or of one longer text."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= CHARACTERS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def parted(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    at = offsets.tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
 def place(docs: DataFrame) -> DataFrame:
     """Per document: first words, words, hashes and band keys of its paragraphs."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [Paragraphs(t) for t in batch["text"]]
-            keys = [[k.view(np.int64) for k in p.keys()] for p in found]
-            yield batch[["doc_id", "text_hash"]].assign(
-                at=[p.at.astype(np.int32) for p in found], words=[p.words.astype(np.int32) for p in found], h=[p.hashes().view(np.int64) for p in found],
-                **{f"k{b}": [k[b] for k in keys] for b in range(WHOLE_BANDS)},
-            )
+            texts = batch["text"].tolist()
+            for x, y in pieces(texts):
+                p = Paragraphs(texts[x:y])
+                yield batch.iloc[x:y][["doc_id", "text_hash"]].assign(
+                    at=parted(p.starts().astype(np.int32), p.offsets), words=parted(p.words.astype(np.int32), p.offsets),
+                    h=parted(p.hashes().view(np.int64), p.offsets),
+                    **{f"k{b}": parted(key.view(np.int64), offsets) for b, (key, offsets) in enumerate(p.keys())},
+                )
 
     numbers = whole_numbers(docs, ["doc_id"])
     rows = as_text(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id"])
@@ -190,14 +254,13 @@ def linked(docs: DataFrame, placed: DataFrame) -> DataFrame:
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()  # copies of a text have nothing to add
         for batch in batches:
-            for t, text, asked in zip(batch["t"], batch["text"], batch["asked"], strict=True):
-                if t in met:
-                    continue
-                met.add(t)
-                p = Paragraphs(text)
+            rows = batch[[t not in met and not met.add(t) for t in batch["t"]]]
+            texts, asked = rows["text"].tolist(), rows["asked"].tolist()
+            for x, y in pieces(texts):
+                p = Paragraphs(texts[x:y])
                 h = p.hashes().view(np.int64)
                 _, which = np.unique(h, return_index=True)
-                which = which[np.isin(h[which], asked)]
+                which = which[np.isin(h[which], np.concatenate(asked[x:y]))]
                 yield pd.DataFrame({"h": h[which], "full": [s.tobytes() for s in p.shingles(which)]})
 
     texts = docs.select("text", F.xxhash64("text").alias("t")).join(asked, "t").select("t", "text", "asked")

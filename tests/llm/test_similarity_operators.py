@@ -343,6 +343,21 @@ def test_whole_paragraphs_with_changed_words_are_found(spark):
     assert all(d // 2 == f // 2 for d, f, _ in got)
 
 
+def test_paragraphs_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [None, "", "a b c", prose(3001, 300), "x " * 100, prose(3002, 31), "five words of a heading\n\n" + prose(3003, 60), " ", prose(3004, 32)]
+
+    def told(some):
+        p = passages.Paragraphs(some)
+        kinds = [p.starts(), p.words, p.hashes()]
+        made = [passages.parted(k, p.offsets) for k in kinds] + [passages.parted(k, o) for k, o in p.keys()]
+        return [[k[i].tolist() for k in made] for i in range(len(some))]
+
+    together = told(texts)
+    assert together == [told([t])[0] for t in texts]
+    assert [len(t[0]) > 0 for t in together] == [False, False, False, True, True, True, True, False, True]
+    assert list(passages.pieces([None, "a" * passages.CHARACTERS, "b"])) == [(0, 2), (2, 3)]
+
+
 def test_a_line_is_no_repeat_of_its_own_block(spark):
     line = prose(77, 60)
     got = passages.repeats(frame(spark, [f"five words of a heading\n{line}\n\n{prose(78, 40)}", line])).collect()
