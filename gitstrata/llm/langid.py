@@ -23,7 +23,7 @@ RAREST = 1 / 20_000  # share of a language's n-grams that one must reach; so at
 SLOTS = 1 << 20
 PROBES = 2
 UNDETERMINED = "und"
-LETTERS_AT_ONCE = 1 << 22
+LETTERS_AT_ONCE = 1 << 19  # some 50 bytes of scratch each
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -78,7 +78,7 @@ def grams(low: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of some million characters, so memory is bounded by one text."""
+    """Runs of texts of some LETTERS_AT_ONCE characters, so memory is bounded by one text."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -143,6 +143,7 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[Column]) -> DataFrame:
     """``keep`` columns, lang_pred, score and known (share of n-grams its language knows).
 
+    A ``keep`` column named text is the text itself.
     Score is the winner's share of what the two best languages know: 1 with no rival, 0.5
     at a tie, which the first name wins.  A null text, one without letters, or a model
     without languages gives ``und`` and 0; letters no language knows give the first name and 0.
@@ -152,23 +153,23 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[Col
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)  # SLOTS x 8 bytes for each 64 languages
     fill = [((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() ** PROBES for i in range(len(names))]
-    rows = docs.select(*keep, F.col("text").alias("text_in"))
-    kept = rows.columns[:-1]
+    rows = docs.select(*keep)
+    kept, body = rows.columns, "text"
+    if body not in kept:  # a kept text goes to the workers once
+        body = "text_in"
+        rows = docs.select(*keep, F.col("text").alias(body))
     numbers = whole_numbers(rows, kept)
     rows = as_text(rows, kept)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(kept)])
 
     def decide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, masks = Letters(), shared.value
         for part in parts:
-            texts = part["text_in"].fillna("").tolist()
-            picked, score, share = [], [], []
+            texts = part[body].fillna("").tolist()
             for a, b in batches_of(texts):
-                for best, s, k in _decide(letters, masks, fill, texts[a:b]):
-                    picked.append(names[best] if best >= 0 else UNDETERMINED)
-                    score.append(s)
-                    share.append(k)
-            yield part[kept].assign(lang_pred=picked, score=score, known=share)
+                best, score, share = zip(*_decide(letters, masks, fill, texts[a:b]), strict=True)
+                picked = [names[i] if i >= 0 else UNDETERMINED for i in best]
+                yield part.iloc[a:b][kept].assign(lang_pred=picked, score=score, known=share)
 
     judged = rows.mapInPandas(decide, f"{types}, lang_pred string, score double, known double")
     return restored(judged, numbers)

@@ -52,6 +52,20 @@ def test_a_text_is_judged_alone(spark):
         assert got == [alone[i] for i in order]
 
 
+def test_kept_texts_go_to_the_workers_once_and_pieces_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names, table = langid.learn(docs)
+    alone = langid.predict(docs, names, table, [docs["doc_id"]]).select("doc_id", "lang_pred", "score", "known")
+    kept = langid.predict(docs, names, table, [docs["doc_id"], docs["text"]])
+    assert kept.columns == ["doc_id", "text", "lang_pred", "score", "known"]
+    assert "text_in" not in kept._jdf.queryExecution().analyzed().toString()
+    assert sorted(kept.drop("text").collect()) == sorted(alone.collect())
+    assert kept.join(docs, ["doc_id", "text"]).count() == docs.where("text is not null").count()
+    monkeypatch.setattr(langid, "LETTERS_AT_ONCE", 500)
+    texts = ["a" * 400, "b" * 400, "", "c" * 900]
+    assert list(langid.batches_of(texts)) == [(0, 2), (2, 4)]
+
+
 def test_copies_teach_once(spark):
     rows = [(i, f"alpha beta gamma{i}", "a") for i in range(30)] + [(100 + i, "delta epsilon zeta", "b") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
