@@ -89,3 +89,18 @@ def test_large_batches_of_a_stream_are_many_files(spark):
 def test_links_of_calls_are_worked_out_once(spark):
     """The last of two steps reads written links, no line items."""
     assert not [f for f in QUERIES["impact_radius_2"](spark, FOLDER).inputFiles() if "lineitem" in f]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_are_merged_behind_one_shuffle_by_file(spark):
+    from test_traps import merge_rows
+
+    from gitstrata.operators import findings as N
+
+    rows = merge_rows(spark).unionByName(merge_rows(spark).selectExpr("* EXCEPT (file, ord)", "CAST(NULL AS STRING) AS file", "ord + 9 AS ord"))
+    merged = N.merge_overlaps(rows)
+    assert plan_of(merged).count("Exchange hashpartitioning") == 1 and "Join" not in plan_of(merged)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, N.merge_overlaps(rows, most=0).select(*merged.columns).collect()))
