@@ -104,3 +104,39 @@ def test_overlaps_are_merged_behind_one_shuffle_by_file(spark):
     merged = N.merge_overlaps(rows)
     assert plan_of(merged).count("Exchange hashpartitioning") == 1 and "Join" not in plan_of(merged)
     assert sorted(map(str, merged.collect())) == sorted(map(str, N.merge_overlaps(rows, most=0).select(*merged.columns).collect()))
+
+
+def test_owners_are_traced_without_spreading_ranges(spark):
+    from gitstrata.operators import findings as N
+
+    rows = [("r", "f", 1, 4, "P0"), ("r", "f", 4, 4, "P1"), ("r", "f", 7, 2, "P2"), ("r", "f", 9, 2_000_000_000, "P0"), ("r", "f", None, 9, "P0"),
+            ("r", "f", 1, 4, "P3"), ("r", "g", 1, 4, "P0"), ("r", None, 1, 4, "P0"), ("r", "f", 10, 10, None), ("r", "f", 10, 12, "P1")]
+    df = spark.createDataFrame(rows, "repo_id string, file string, start_line int, end_line int, severity string")
+    df = df.selectExpr("*", "'old' AS candidate_handler", "'old' AS owner")
+    lines = [("r", "f", 3, "b"), ("r", "f", 3, "a"), ("r", "f", 7, "c"), ("r", "f", 10, None), ("r", "f", 12, "d"), ("r", "h", 1, "z")]
+    blame = spark.createDataFrame(lines, "repo_id string, path string, line_no int, author_name string")
+    last = spark.createDataFrame([("r", "f", "last")], "repo_id string, path string, author_name string")
+    want = {(1, 4, "P0"): "a", (4, 4, "P1"): "last", (7, 2, "P2"): "c", (9, 2_000_000_000, "P0"): "d", (None, 9, "P0"): "last",
+            (1, 4, "P3"): "old", (10, 10, None): "old", (10, 12, "P1"): "d"}
+    for width in (None, 2_000_000):
+        out = N.trace_owner(df, blame, last, width=width)
+        assert "Generate" not in plan_of(out)
+        assert {(r.start_line, r.end_line, r.severity): r.owner for r in out.where("file = 'f'").collect()} == want
+        assert {r.candidate_handler for r in out.where("file IS NULL OR file = 'g'").collect()} == {"old"}
+
+
+def test_checked_lines_go_to_the_merge_without_another_shuffle(spark):
+    from gitstrata.operators import findings as N
+    from gitstrata.operators import verify as V
+    from gitstrata.plans.fixtures import view
+
+    found, sources = view(spark, FOLDER, "findings_small"), view(spark, FOLDER, "sources").withColumnRenamed("n", "_n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    checked = V.check_lines(found, sources)
+    assert plan_of(N.merge_overlaps(checked)).count("Exchange") == plan_of(checked).count("Exchange")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reviewed_findings_are_a_packed_table(spark):
+    assert all("FileScan parquet" in plan_of(QUERIES[q](spark, FOLDER)) and "ExistingRDD" not in plan_of(QUERIES[q](spark, FOLDER))
+               for q in ("review_chain_reviewed", "review_chain_merged"))
