@@ -140,3 +140,24 @@ def test_checked_lines_go_to_the_merge_without_another_shuffle(spark):
 def test_reviewed_findings_are_a_packed_table(spark):
     assert all("FileScan parquet" in plan_of(QUERIES[q](spark, FOLDER)) and "ExistingRDD" not in plan_of(QUERIES[q](spark, FOLDER))
                for q in ("review_chain_reviewed", "review_chain_merged"))
+
+
+def test_core_files_read_written_calls(spark):
+    """Seeds and neighbours come from numbered calls that were written once, no line items."""
+    assert not [f for f in QUERIES["core_edge_split_all"](spark, FOLDER).inputFiles() if "lineitem" in f]
+
+
+def test_numbers_keep_the_order_of_names_and_every_call(spark):
+    from gitstrata.operators import callgraph as K
+
+    names = [f"n{i * 37 % 100:02}" for i in range(100)]
+    symbols = spark.createDataFrame([(r, n) for r in "ab" for n in [*names, "n05", None]], "repo_id string, qualified_name string").repartition(7)
+    edges = spark.createDataFrame([("a", "n01", "n02"), ("a", "n01", "lost"), ("b", None, "n03"), ("c", "n01", "n01")], "repo_id string, source string, target string")
+    calls, known = K.numbered_calls(edges, symbols)
+    rows = [r for r in known.collect() if r.repo_id == "a"]
+    assert len(rows) == 102 and sum(r.qualified_name is None for r in rows) == 1
+    ranked = sorted({(r.qualified_name, r.full_name) for r in rows if r.full_name})
+    assert len(ranked) == 100 and [n for _, n in ranked] == sorted(set(names))
+    of = {(r.repo_id, r.full_name): r.qualified_name for r in known.collect()}
+    assert sorted(map(str, calls.collect())) == sorted(
+        f"Row(repo_id='{e.repo_id}', source={of.get((e.repo_id, e.source))}, target={of.get((e.repo_id, e.target))})" for e in edges.collect())
