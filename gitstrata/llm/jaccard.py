@@ -19,12 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gitstrata.functions.scale import cut
 from gitstrata.llm.carry import as_text, restored, whole_numbers
 from gitstrata.llm.graph import components
 from gitstrata.llm.meetings import MEETING, arrange, whole_meetings
 from gitstrata.llm.rows import without_repeated_rows
-from gitstrata.llm.sized import settled, sized
+from gitstrata.llm.sized import freed, settled, sized
 
 GROWTH = 1.4  # each size band ends that much above the one before
 SHORT = 8  # 64-bit words of the whole sketch
@@ -351,7 +350,30 @@ def _met(opened: DataFrame, facts: DataFrame) -> DataFrame:
     return arrange(opened.select("key", "h", "comp").join(facts, "h"), hot, "h")
 
 
-def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
+def _members(keyed: DataFrame) -> DataFrame:
+    """(key, low, h) of block values that several sets share; low is the smallest of these sets."""
+    each = keyed.where("n > 0").select("h", F.explode("keys").alias("key"))
+    lows = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    shared = settled(lows.where("low < high").select("key", "low"))
+    return each.join(shared, "key").distinct()
+
+
+def _best(members: DataFrame) -> DataFrame:
+    """Every set with the smallest set of the block it shares most often."""
+    return (
+        members.where("h != low").groupBy("h", "low").agg(F.count("*").alias("times"))
+        .groupBy("h").agg(F.max(F.struct("times", "low")).alias("m"))
+        .select(F.least("h", "m.low").alias("a"), F.greatest("h", "m.low").alias("b")).distinct()
+    )
+
+
+def _closest(opened: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """Closest pairs of components in the most frequent open block of their sets."""
+    favourite = opened.groupBy("h").agg(F.max(F.struct("size", "key")).alias("m")).select("h", F.col("m.key").alias("key"))
+    return close_pairs(_met(opened.join(favourite, ["h", "key"]), facts), rule, closest=True)
+
+
+def links(docs: DataFrame, signed: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) of set hashes that connect what the exact join connects.
 
     First every set is verified against the smallest set of the block it shares most often.
@@ -360,40 +382,39 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     what failed is not verified again.  Last, block values that still hold several
     components compare all their sets of different components, so no link is missed.  A
     group's sets are cut into chunks that meet in pairs, so no task holds more than two.
+
+    ``members`` comes from ``_members``; it is the widest table, so no name keeps one that a
+    round has replaced.
     """
-    each = signed.where("n > 0").select("h", F.explode("keys").alias("key"))
-    lows = each.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    shared = settled(lows.where("low < high").select("key", "low"))
-    members = settled(each.join(shared, "key").distinct())
-    best = (
-        members.where("h != low").groupBy("h", "low").agg(F.count("*").alias("times"))
-        .groupBy("h").agg(F.max(F.struct("times", "low")).alias("m"))
-        .select(F.least("h", "m.low").alias("a"), F.greatest("h", "m.low").alias("b")).distinct()
-    )
-    tried = settled(best)
-    facts, longs = cut(facts_of(signed)), cut(longs_of(signed))
+    tried = settled(_best(members))
+    facts, longs = settled(facts_of(signed)), settled(longs_of(signed))
     linked = settled(verify(docs, signed, longs, likely(tried, facts, rule), rule))
     members, tasks = members.select("key", "h"), max(tried.rdd.getNumPartitions(), linked.rdd.getNumPartitions())
     for _ in range(ROUNDS):
         opened = _open(members, linked)
         members = opened.select("key", "h")
-        favourite = opened.groupBy("h").agg(F.max(F.struct("size", "key")).alias("m")).select("h", F.col("m.key").alias("key"))
-        few = opened.join(favourite, ["h", "key"])
-        named = close_pairs(_met(few, facts), rule, closest=True)
-        fresh = settled(named.join(tried, ["a", "b"], "left_anti"))
+        freed(docs.sparkSession)
+        fresh = settled(_closest(opened, facts, rule).join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
         tried = tried.union(fresh).coalesce(tasks)  # a union has the tasks of both sides, and rounds would add them up
         linked = settled(linked.union(verify(docs, signed, longs, fresh, rule)).coalesce(tasks))
     opened = _open(members, linked)
+    del members
+    freed(docs.sparkSession)
     rest = settled(close_pairs(_met(opened, facts), rule, closest=False).join(tried, ["a", "b"], "left_anti"))
+    del opened
+    freed(docs.sparkSession)
     return linked.union(verify(docs, signed, longs, rest, rule))
 
 
 def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, text_hash, n, component_id (smallest doc_id reachable by links) of every document."""
-    signed = cut(signatures(docs, rule))
-    joined = components(cut(links(docs, signed, rule)))
+    keyed = settled(signatures(docs, rule))
+    members = [settled(_members(keyed))]  # handed over by pop, so that no name here keeps it
+    signed = settled(keyed.drop("keys"))
+    del keyed
+    joined = components(settled(links(docs, signed, members.pop(), rule)))
     rooted = signed.where("n > 0").select("doc_id", "text_hash", "n", "h").join(
         joined.select(F.col("node").alias("h"), "component"), "h", "left"
     ).select("doc_id", "text_hash", "n", F.coalesce("component", "h").alias("root"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gitstrata.functions.scale import cut
@@ -12,15 +12,24 @@ from gitstrata.functions.scale import cut
 BROADCAST_ROWS = 100_000  # narrow rows sent to every task at most; more are joined by shuffle
 
 
+def freed(spark: SparkSession) -> None:
+    """Collect the driver's garbage, after which Spark removes shuffle files and checkpoints of tables nobody holds.
+
+    Listeners hold the last plan that has run until another one has: a tiny one takes its place.
+    """
+    spark.range(1).collect()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df``, written once; shuffle files that only its making needed may then be removed.
 
-    Spark removes them when the driver's garbage is collected, which by itself may be long
-    after the last reader.
+    By itself Spark removes them long after the last reader, and only once no plan that has run
+    is held: a copy of ``df`` is run, as callers may still hold ``df`` itself.
     """
-    kept = cut(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    kept = cut(df.select("*"))
+    freed(df.sparkSession)
     return kept
 
 

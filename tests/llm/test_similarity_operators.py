@@ -381,3 +381,27 @@ def test_meetings_bring_every_two_rows_together_once(spark):
         m = list(zip(g.h, g.part, strict=True))
         met.update((a, b) for x, (a, p) in enumerate(m) for b, q in m[x + 1:] if i == j or p != q)
     assert len(met) == 50 * 49 // 2 and set(met.values()) == {1}
+
+
+def test_shuffles_of_a_settled_table_go_while_its_plan_is_held(spark):
+    import gc
+    import time
+
+    from gitstrata.llm.sized import settled
+
+    def shuffles():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    def fewer(n):
+        for _ in range(40):
+            if shuffles() <= n:
+                return True
+            time.sleep(0.25)
+        return False
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = shuffles()
+    held = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    assert len(settled(held).collect()) == 7 and fewer(before) and held.columns
