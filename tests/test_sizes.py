@@ -161,3 +161,14 @@ def test_numbers_keep_the_order_of_names_and_every_call(spark):
     of = {(r.repo_id, r.full_name): r.qualified_name for r in known.collect()}
     assert sorted(map(str, calls.collect())) == sorted(
         f"Row(repo_id='{e.repo_id}', source={of.get((e.repo_id, e.source))}, target={of.get((e.repo_id, e.target))})" for e in edges.collect())
+
+
+def test_changes_are_spread_to_lines_behind_the_shuffle(spark):
+    from gitstrata.operators import churn as X
+    from gitstrata.plans.history_queries import changes
+    from gitstrata.plans.registry import Source
+
+    hunks = changes(Source(spark, FOLDER))
+    found, spread = X.repeated_changes(hunks), X.repeated_changes(hunks, most=0)
+    assert plan_of(found).count("Exchange") == 1 < plan_of(spread).count("Exchange")
+    assert sorted(map(str, found.collect())) == sorted(map(str, spread.collect()))
