@@ -172,3 +172,16 @@ def test_changes_are_spread_to_lines_behind_the_shuffle(spark):
     found, spread = X.repeated_changes(hunks), X.repeated_changes(hunks, most=0)
     assert plan_of(found).count("Exchange") == 1 < plan_of(spread).count("Exchange")
     assert sorted(map(str, found.collect())) == sorted(map(str, spread.collect()))
+
+
+def test_shares_of_owners_take_one_shuffle_by_file(spark):
+    from gitstrata.operators import findings as N
+
+    ranges = [("r", "f", a, b) for a, b in [(1, 4), (1, 4), (60, 70), (64, 127), (1, 2_000_000_000), (9, 3), (None, 4), (200, 300)]]
+    df = spark.createDataFrame([*ranges, ("r", None, 1, 4), ("r", "g", 1, 4)], "repo_id string, file string, start_line int, end_line int")
+    lines = [("r", "f", n, f"d{n % 3}") for n in (1, 2, 2, 3, 5, 63, 64, 66, 70, 100, 127, 128, 199)]
+    blame = spark.createDataFrame([*lines, ("r", "f", 4, None), ("r", None, 1, "z")], "repo_id string, path string, line_no int, author_name string")
+    at_once, spread = N.owner_shares(df, blame), N.owner_shares(df, blame, most=0)
+    assert plan_of(at_once).count("Exchange") == 1 < plan_of(spread).count("Exchange")
+    got = sorted(map(str, at_once.collect()))
+    assert got == sorted(map(str, spread.collect())) and len(got) == 10
